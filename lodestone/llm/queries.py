@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import bpe
+from lodestone.llm import bpe, secrets
+from lodestone.llm.common import sha256_hex
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -17,12 +19,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", sha256_hex(F.col("base_spans")).alias("base_sha256"), "spans")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER, ids_as_text=True))
 
 
 def queries() -> dict:
-    return {"op10_bpe": op10_bpe}
+    return {"op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:

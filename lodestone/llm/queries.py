@@ -9,39 +9,59 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, secrets
+from lodestone.llm import bpe, exact_dedup, license_scan, secrets
 from lodestone.llm.common import sha256_hex
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+_QUERIES: dict = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def queries() -> dict:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+@_query(license_scan.oracle())
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
-OP5_SQL = """
+@_query(
+    """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
+)
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@_query()
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", sha256_hex(F.col("base_spans")).alias("base_sha256"), "spans")
 
 
+@_query()
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER, ids_as_text=True))
-
-
-def queries() -> dict:
-    return {"op5_exact_dedup": op5_exact_dedup, "op9_secrets": op9_secrets, "op10_bpe": op10_bpe}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}

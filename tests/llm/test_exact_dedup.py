@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_query_matches_sql(spark):
-    same(queries.op5_exact_dedup(spark, SF), queries.OP5_SQL, SF)
+    same(queries.op5_exact_dedup(spark, SF), queries.oracle_sql()["op5_exact_dedup"], SF)
 
 
 ROWS = [(1, "a"), (2, "a"), (3, ""), (4, None), (5, "b"), (None, "b"), (6, "ab"), (7, "ba"), (8, "ba"), (9, "x" * 100000), (10, "x" * 100000), (10, "x" * 100000)]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, license_scan, secrets
+from lodestone.llm import bpe, exact_dedup, license_scan, mixing, secrets
 from lodestone.llm.common import sha256_hex
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query(mixing.oracle())
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.plan(docs, mixing.domain_of(F.col("source")), F.col("tokens") * mixing.PART, mixing.WEIGHTS, mixing.SEED, mixing.MAX_EPOCHS)
+
+
 @_query(license_scan.oracle())
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents")).drop("matches")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, license_scan, mixing, secrets, topk_search
+from lodestone.llm import bpe, exact_dedup, license_scan, mixing, quality, secrets, topk_search
 from lodestone.llm.common import sha256_hex
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +76,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@_query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query()
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(_table(spark, sf_dir, "documents"))

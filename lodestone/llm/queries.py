@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, license_scan, mixing, quality, secrets, topk_search
+from lodestone.llm import bpe, exact_dedup, license_scan, mixing, quality, secrets, substring_dedup, topk_search
 from lodestone.llm.common import sha256_hex
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query(
+    """
+WITH held AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+place AS (SELECT rid, unnest(range(len(words) - 34)) AS pos FROM held WHERE len(words) >= 35),
+win AS (SELECT p.rid, p.pos, array_to_string(h.words[p.pos + 1 : p.pos + 35], ' ') AS run FROM place p JOIN held h USING (rid)),
+twice AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY run) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, pos + s.k AS pos FROM twice, range(35) AS s(k)),
+word AS (SELECT rid, unnest(words) AS w, unnest(range(len(words))) AS pos FROM held),
+kept AS (SELECT word.rid, count(*) AS n, string_agg(w, ' ' ORDER BY pos) AS kept_text FROM word ANTI JOIN gone USING (rid, pos) GROUP BY word.rid)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256 FROM held LEFT JOIN kept USING (rid)
+"""
+)
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
+
+
 @_query(mixing.oracle())
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")

@@ -31,20 +31,34 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import buckets, materialize
+from lodestone.llm.common import bucketed, buckets
 
 #: Characters of text, and distinct words, that close a chunk after the document that reaches them.
-CHUNK_CHARS = 4_000_000
-CHUNK_WORDS = 60_000
+CHUNK_CHARS = 8_000_000
+CHUNK_WORDS = 300_000
 
 _PACKED = "chunk long, bucket int, doc_ids array<long>, sizes binary, places binary, order binary, words binary"
 _REPLY = "chunk long, bucket int, lens binary, ids binary"
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """Unsigned integers as compressed byte planes; the first byte tells the width."""
+    width = 2 if not len(values) or int(values.max()) < 1 << 16 else 4
+    planes = np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _expand(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}").astype(np.uint32)
+
+
 def _pack(packed_buckets: int, chunk_chars: int):
     """Documents to chunks: a row with positions, and a row per bucket of its distinct words."""
 
@@ -56,12 +70,13 @@ def _pack(packed_buckets: int, chunk_chars: int):
         def chunk() -> pa.RecordBatch:
             words = list(index)
             at = np.fromiter((zlib.crc32(w) % packed_buckets for w in words), np.int64, len(words))
-            order = np.argsort(at, kind="stable").astype(np.uint32)
+            order = np.array(sorted(range(len(words)), key=words.__getitem__), np.uint32)
+            order = order[np.argsort(at[order], kind="stable")]
             ends = np.searchsorted(at[order], np.arange(packed_buckets + 1))
             sizes = np.array([len(p) for p in places], np.uint32)
-            out = [((task << 32) | made, -1, doc_ids, sizes.tobytes(), np.concatenate(places).tobytes(), order.tobytes(), None)]
+            out = [((task << 32) | made, -1, doc_ids, _squeeze(sizes), _squeeze(np.concatenate(places)), _squeeze(order), None)]
             for b in np.flatnonzero(np.diff(ends)):
-                out.append(((task << 32) | made, int(b), None, None, None, None, b"\n".join([words[k] for k in order[ends[b] : ends[b + 1]]])))
+                out.append(((task << 32) | made, int(b), None, None, None, None, zstandard.compress(b"\n".join([words[k] for k in order[ends[b] : ends[b + 1]]]), 3)))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PACKED_ARROW)], schema=_PACKED_ARROW)
 
         for batch in batches:
@@ -102,7 +117,7 @@ def _encode_bucket(spec):
 
     def answer(asked: pa.Table) -> pa.Table:
         tokenizer = _tokenizer(spec.value)
-        lists = [x.split(b"\n") for x in asked.column("words").to_pylist()]
+        lists = [zstandard.decompress(x).split(b"\n") for x in asked.column("words").to_pylist()]
         index: dict[bytes, int] = defaultdict(count().__next__)
         places = [np.array([index[w] for w in words], np.uint32) for words in lists]
         words = [w.decode("utf-8") for w in index]
@@ -116,8 +131,8 @@ def _encode_bucket(spec):
         for p in places:
             n = lens[p]
             at = np.repeat(starts[p] - np.concatenate([[0], np.cumsum(n, dtype=np.int64)[:-1]]), n) + np.arange(int(n.sum()))
-            out_lens.append(n.astype(np.uint32).tobytes())
-            out_ids.append(flat[at].tobytes())
+            out_lens.append(_squeeze(n))
+            out_ids.append(_squeeze(flat[at]))
         return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(out_lens, pa.binary()), pa.array(out_ids, pa.binary())], schema=_REPLY_ARROW)
 
     return answer
@@ -129,9 +144,9 @@ def _assemble(spec, ids_as_text: bool, out_schema: pa.Schema):
     def answer(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         tokenizer = _tokenizer(spec.value)
         replies = replies.sort_by("bucket")
-        lens = np.concatenate([np.frombuffer(x, np.uint32) for x in replies.column("lens").to_pylist()] or [np.zeros(0, np.uint32)])
-        flat = np.concatenate([np.frombuffer(x, np.uint32) for x in replies.column("ids").to_pylist()] or [np.zeros(0, np.uint32)])
-        order = np.frombuffer(chunk.column("order")[0].as_py(), np.uint32)
+        lens = np.concatenate([_expand(x) for x in replies.column("lens").to_pylist()] or [np.zeros(0, np.uint32)])
+        flat = np.concatenate([_expand(x) for x in replies.column("ids").to_pylist()] or [np.zeros(0, np.uint32)])
+        order = _expand(chunk.column("order")[0].as_py())
         used, flat_at = np.unique(flat, return_inverse=True)
         names = [str(i) for i in used.tolist()]
         pieces = [_piece(tokenizer, i) for i in used.tolist()]
@@ -144,8 +159,8 @@ def _assemble(spec, ids_as_text: bool, out_schema: pa.Schema):
         for k, end in zip(order.tolist(), ends):
             id_of[k], piece_of[k] = " ".join(numbers[start:end]), " ".join(parts[start:end])
             start = end
-        places = np.frombuffer(chunk.column("places")[0].as_py(), np.uint32)
-        stops = np.cumsum(np.frombuffer(chunk.column("sizes")[0].as_py(), np.uint32), dtype=np.int64).tolist()
+        places = _expand(chunk.column("places")[0].as_py())
+        stops = np.cumsum(_expand(chunk.column("sizes")[0].as_py()), dtype=np.int64).tolist()
         n_tokens, ids, decoded, start = [], [], [], 0
         silent = bool((lens == 0).any())
         for stop in stops:
@@ -183,7 +198,7 @@ def encode(docs: DataFrame, tokenizer_path: str, ids_as_text: bool = False, chun
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(file.read())
     packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack(buckets(spark), chunk_chars), _PACKED)
-    packed = materialize(packed, "bpe-chunks")
+    packed = bucketed(packed, "chunk", "bpe_chunks")
     asked = packed.where("bucket >= 0").select("chunk", "bucket", "words")
     replies = asked.groupBy("bucket").applyInArrow(_encode_bucket(spec), _REPLY)
     chunks = packed.where("bucket < 0").select("chunk", "doc_ids", "sizes", "places", "order")

@@ -57,6 +57,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``materialize``, dealt by ``key`` at writing: a later step by ``key`` reads it without a shuffle."""
+    spark = df.sparkSession
+    path, name = f"{scratch(spark, name)}/rows", f"{name}_{uuid.uuid4().hex}"
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def buckets(spark: SparkSession, per_partition: int = 1, least: int = 64) -> int:
     """How many hash buckets to deal work into: follows the session's shuffle partitions."""
     return max(least, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))

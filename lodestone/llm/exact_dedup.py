@@ -29,7 +29,12 @@ from pyspark.sql.utils import AnalysisException
 
 from lodestone.llm.common import materialize, scratch, sha256_hex
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; changes rather than whole files go to the checkpoint folder; no disk space is set aside ahead of use, as state is spread over many small stores.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Bytes of staged digests that one micro-batch takes.
 BATCH_BYTES = 4 << 30
 #: Groups with hits up to which their digests (about 200 bytes a group) are sent to every executor; more are joined by shuffle.
@@ -78,9 +83,9 @@ def run_stream(spark: SparkSession, events_dir: str, batch_bytes: int = BATCH_BY
         rows = changed.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep_locator"), "group_size")
         rows.write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
 
-    held = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    held = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()

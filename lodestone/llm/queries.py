@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, license_scan, mixing, quality, secrets, substring_dedup, topk_search
+from lodestone.llm import bpe, exact_dedup, license_scan, minhash_dedup, mixing, quality, secrets, substring_dedup, topk_search
 from lodestone.llm.common import sha256_hex
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -93,6 +93,24 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@_query(
+    """
+WITH RECURSIVE held AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k : k + 2], ' '))) END AS s FROM held),
+item AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM grams),
+link AS (SELECT a.doc_id AS u, b.doc_id AS v FROM item a JOIN item b ON a.g = b.g AND a.doc_id <> b.doc_id
+         GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM grams UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u)
+SELECT g.doc_id, len(g.s) AS n_shingles, r.component_id, g.doc_id = r.component_id AS kept
+FROM grams g JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) r ON r.u = g.doc_id
+"""
+)
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.classes(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 @_query()
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

@@ -5,11 +5,12 @@ Each query reads its whole tables with production parameters.
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, license_scan, minhash_dedup, mixing, quality, secrets, substring_dedup, topk_search
+from lodestone.llm import bpe, chat_format, exact_dedup, license_scan, minhash_dedup, mixing, quality, secrets, substring_dedup, topk_search
 from lodestone.llm.common import sha256_hex
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -111,6 +112,12 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.classes(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+@_query()
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.conversations(_table(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", "position", "turn", "role", "parent_turn", "root_turn", "depth", "n_quotes", "n_linked", sha256_hex(F.col("text")).alias("text_sha256"))
+
+
 @_query()
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -125,3 +132,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER, ids_as_text=True))
+
+
+@_query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -2,42 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestone.plans import corpus_queries, search_queries, text_queries  # noqa: F401  register their queries
+from lodestone.plans.registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lodestone.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-FLAGSHIP = "category_counts"
-
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Add a query under ``name`` with the SQL that gives the same rows."""
-
-    def add(fn: Query) -> Query:
-        _QUERIES[name] = fn
-        if sql is not None:
-            _ORACLES[name] = sql
-        return fn
-
-    return add
+FLAGSHIP = "ask_normal"
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
-@register("category_counts", "SELECT lang AS category, count(*) AS n_docs FROM documents GROUP BY lang")
-def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("n_docs"))
+    return dict(ORACLES)

@@ -208,11 +208,22 @@ def messages_per_session(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("session_id")).agg(F.count("*").alias("n"))
 
 
-@register()
+@register(
+    """
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS k, 0::BIGINT AS n, NULL::TIMESTAMP AS until, false AS blocked FROM events
+      UNION ALL
+      SELECT e.user_id, e.event_id, e.k, CASE WHEN o.c >= 2 THEN o.c WHEN e.failed THEN o.c + 1 ELSE 0 END,
+             CASE WHEN o.c >= 2 THEN o.u WHEN e.failed THEN coalesce(o.u, e.ts + INTERVAL 1 DAY) END, o.c >= 2
+      FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1,
+      LATERAL (SELECT CASE WHEN f.until IS NOT NULL AND e.ts >= f.until THEN 0 ELSE f.n END AS c, CASE WHEN f.until IS NOT NULL AND e.ts >= f.until THEN NULL ELSE f.until END AS u) o)
+SELECT user_id, event_id, n, blocked FROM f WHERE event_id IS NOT NULL
+"""
+)
 def login_limiter(spark, sf_dir):
     """Error events as failed attempts, by user: at most two failures a day."""
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
-    return incremental.login_limits(rows, limit=2, seconds=86400)
+    return incremental.login_limits(rows, limit=2, seconds=86400).drop("ts")
 
 
 @register(

@@ -59,11 +59,11 @@ def weighted_context(spark, sf_dir):
     return found.select("vec_id", F.round("weight", 6).alias("weight"), "line").where(F.col("line").isNotNull())
 
 
-@register(f"WITH {_SCORED} SELECT vec_id, round(2 - 2 * sim, 6) AS distance FROM s ORDER BY round(2 - 2 * sim, 9), vec_id LIMIT 5")
+@register(f"WITH {_SCORED} SELECT vec_id, round(2 - 2 * sim, 6) + 0.0::DOUBLE AS distance FROM s ORDER BY round(2 - 2 * sim, 9), vec_id LIMIT 5")
 def l2_topk(spark, sf_dir):
     rows = search.scored(_vectors(spark, sf_dir), _query_vector(spark, sf_dir))
     d = F.lit(2.0) - 2 * F.col("similarity")
-    return rows.select("vec_id", d.alias("d")).orderBy(F.round("d", 9), "vec_id").limit(5).select("vec_id", F.round("d", 6).alias("distance"))
+    return rows.select("vec_id", d.alias("d")).orderBy(F.round("d", 9), "vec_id").limit(5).select("vec_id", (F.round("d", 6) + F.lit(0.0)).alias("distance"))
 
 
 @register("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS length, len(embedding) > 15 AS valid, len(embedding) AS size FROM embeddings")

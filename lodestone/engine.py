@@ -85,3 +85,13 @@ class Engine:
 
     def list_sessions(self, titles: DataFrame, index: DataFrame, now: str, search_text: str = "", mode: str = "all", limit: int = 50) -> DataFrame:
         return sessions.list_sessions(sessions.merge_sessions(titles, index, now), search_text, mode, limit)
+
+    def upsert_session(self, titles: DataFrame, index: DataFrame, session_id: str, now: str, title: str | None = None, pinned: bool | None = None) -> tuple[DataFrame, DataFrame]:
+        return sessions.upsert_session(titles, index, session_id, now, title, pinned)
+
+    def delete_session(self, titles: DataFrame, index: DataFrame, session_id: str) -> tuple[DataFrame, DataFrame]:
+        return sessions.delete_session(titles, index, session_id)
+
+    def store(self, history: DataFrame, session_id: str, query: str, answer: str, now: str) -> DataFrame:
+        """The history with one exchange more."""
+        return history.unionByName(sessions.exchange_row(history, session_id, query, answer, now))

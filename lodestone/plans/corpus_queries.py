@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import rules
 from lodestone.functions.text import plain_tokens
 from lodestone.operators import analytics, sessions
+from lodestone.plans import ingest
 from lodestone.plans.registry import register, sql_list, sql_words
+from lodestone.seams import HashingEmbedder
 from lodestone.session import table
 from lodestone.streaming import incremental
 
@@ -28,6 +30,21 @@ def category_counts(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("n_docs"))
 
 
+@register()
+def prepare_corpus(spark, sf_dir):
+    """The whole preparation chain, as sizes of its parts."""
+    rows = ingest.prepare(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("filename"), "text"))
+    return rows.select("filename", F.size("tokens").alias("n_tokens"), F.size("entities").alias("n_entities"), "metadata.extraction_quality", "category")
+
+
+@register("SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 1) AS n_odd FROM documents WHERE doc_id % 2 = 1")
+def embed_new_chunks(spark, sf_dir):
+    """Vectors of the documents that have none yet (the even ones have)."""
+    chunks = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    made = ingest.embed_new(chunks, chunks.where("chunk_id % 2 = 0"), HashingEmbedder())
+    return made.agg(F.count("*").alias("n"), F.count_if((F.size("embedding") == 64) & (F.col("chunk_id") % 2 == 1)).alias("n_odd"))
+
+
 @register(f"SELECT doc_id, len(text) AS n_chars, len({_PLAIN}) AS n_tokens FROM documents")
 def document_sizes(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size(plain_tokens(F.col("text"))).cast("long").alias("n_tokens"))

@@ -309,3 +309,16 @@ SELECT source AS filename, doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 2 = 0
 def citation_lookup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("filename"), F.col("doc_id").cast("string").alias("chunk_id"), F.left("text", F.lit(20)).alias("text"), "doc_id")
     return sessions.cited(docs.select("filename", "chunk_id"), docs.where("doc_id % 2 = 0"))
+
+
+@register()
+def lsh_search(spark, sf_dir):
+    """Approximate nearest vectors by random projections: the alternative to cells."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    rows = _vectors(spark, sf_dir).select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=6, seed=11).fit(rows)
+    found = model.approxNearestNeighbors(rows, Vectors.dense(_query_vector(spark, sf_dir)), 5, distCol="distance")
+    return found.select("vec_id", F.round("distance", 6).alias("distance"))

@@ -11,6 +11,7 @@ from lodestone import seams
 from lodestone.engine import Engine
 from lodestone.functions import intent, text, vectors
 from lodestone.operators import chunking, consistency, packing, search, sessions
+from lodestone.plans import ingest
 from lodestone.sources import files, sinks, web
 from lodestone.streaming import incremental
 
@@ -271,3 +272,34 @@ def test_engine_answers_with_citations(spark):
 
 def test_lexical_score_counts_phrases(spark):
     assert one(spark, search.lexical_score(F.col("t"), F.lit('pressure of "flight deck"')), t="The Flight-Deck pressure") == 5
+
+
+def test_prepare_chunk_and_embed(spark):
+    docs = spark.createDataFrame([("a.pdf", "Title: Wing report\nth flight crew saw Part 121 and JFK aircraft"), (None, "x"), ("b.pdf", None)], "filename string, text string")
+    rows = {r.filename: r for r in ingest.prepare(docs).collect()}
+    assert set(rows) == {"a.pdf", "b.pdf"}
+    a = rows["a.pdf"]
+    assert a.metadata.title == "Wing report" and a.section_references == ["Part 121"] and a.category == "operations"
+    assert [(e.text, e.label) for e in a.entities] == [("JFK", "AIRPORT_CODE"), ("Part 121", "SECTION_REF")]
+    chunks = ingest.chunk(ingest.prepare(docs), docs.where("filename = 'b.pdf'"))
+    assert [r.chunk_id for r in chunks.collect()] == ["a.pdf_0"]
+    made = ingest.embed_new(chunks.union(chunks), chunks.limit(0), seams.HashingEmbedder(8))
+    assert [len(r.embedding) for r in made.collect()] == [8]
+
+
+def test_steps_retry_and_go_on(spark):
+    calls = {"bad": 0, "good": 0}
+
+    def bad():
+        calls["bad"] += 1
+        raise ValueError("no")
+
+    def good():
+        calls["good"] += 1
+
+    report = ingest.run_steps([("bad", bad), ("good", good)], sleep=lambda s: None)
+    assert [(n, d) for n, d, _, _ in report] == [("bad", False), ("good", True)] and calls == {"bad": 3, "good": 1}
+    assert [r[0] for r in ingest.run_steps([("bad", bad), ("good", good)], only="good")] == ["good"]
+    rows, watch = ingest.observed(spark.range(5), "seen", most=F.max("id"))
+    rows.collect()
+    assert watch.get == {"rows": 5, "most": 4}

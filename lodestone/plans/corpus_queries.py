@@ -37,12 +37,12 @@ def prepare_corpus(spark, sf_dir):
     return rows.select("filename", F.size("tokens").alias("n_tokens"), F.size("entities").alias("n_entities"), "metadata.extraction_quality", "category")
 
 
-@register("SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 1) AS n_odd FROM documents WHERE doc_id % 2 = 1")
+@register("SELECT doc_id AS chunk_id, 64 AS size FROM documents ANTI JOIN labels USING (doc_id)")
 def embed_new_chunks(spark, sf_dir):
-    """Vectors of the documents that have none yet (the even ones have)."""
+    """Vectors of the documents that have none yet; those with a label stand for the ones that have."""
     chunks = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
-    made = ingest.embed_new(chunks, chunks.where("chunk_id % 2 = 0"), HashingEmbedder())
-    return made.agg(F.count("*").alias("n"), F.count_if((F.size("embedding") == 64) & (F.col("chunk_id") % 2 == 1)).alias("n_odd"))
+    made = ingest.embed_new(chunks, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id")), HashingEmbedder())
+    return made.select("chunk_id", F.size("embedding").alias("size"))
 
 
 @register(f"SELECT doc_id, len(text) AS n_chars, len({_PLAIN}) AS n_tokens FROM documents")
@@ -173,22 +173,23 @@ def random_sample(spark, sf_dir):
     return _docs(spark, sf_dir).orderBy(F.rand(7)).limit(100).agg(F.count("*").alias("n"))
 
 
-# Sessions: a title for every second conversation, an index row for all but every third.
-_TITLES = "SELECT 's' || lpad(conv_id::VARCHAR, 6, '0') AS session_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:7], ' ') AS title FROM conversations WHERE turn = 0 AND conv_id % 2 = 0"
-_INDEX = "SELECT 's' || lpad(conv_id::VARCHAR, 6, '0') AS session_id, '2026-01-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') AS created_at, CASE WHEN conv_id % 5 = 0 THEN '' ELSE '2026-02-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') END AS updated_at, conv_id % 4 = 0 AS pinned FROM conversations WHERE turn = 0 AND conv_id % 3 <> 0"
+# Sessions: a title where a user begins, an index row where there are five turns, pinned where there are seven.
+_TITLES = "SELECT 's' || lpad(conv_id::VARCHAR, 6, '0') AS session_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:7], ' ') AS title FROM conversations WHERE turn = 0 AND role = 'user'"
+_INDEX = "SELECT 's' || lpad(conv_id::VARCHAR, 6, '0') AS session_id, '2026-01-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') AS created_at, CASE WHEN max(turn) = 5 THEN '' ELSE '2026-02-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') END AS updated_at, max(turn) >= 6 AS pinned FROM conversations GROUP BY conv_id HAVING max(turn) >= 4"
 _MERGED = f"""t AS ({_TITLES}), i AS ({_INDEX}),
 m AS (SELECT session_id AS id, coalesce(nullif(trim(title), ''), 'Session ' || left(session_id, 8)) AS title, coalesce(nullif(trim(created_at), ''), nullif(trim(updated_at), ''), '2026-03-01') AS created_at,
       coalesce(nullif(trim(updated_at), ''), nullif(trim(created_at), ''), '2026-03-01') AS updated_at, coalesce(pinned, false) AS pinned FROM t FULL JOIN i USING (session_id))"""
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "conversations").where("turn = 0")
+    rows = table(spark, sf_dir, "conversations")
     key = F.concat(F.lit("s"), F.lpad(F.col("conv_id").cast("string"), 6, "0")).alias("session_id")
     title = F.array_join(F.slice(F.array_remove(F.split("text", "\\s+"), ""), 1, 7), " ")
     day = F.lpad((F.col("conv_id") % 28 + 1).cast("string"), 2, "0")
-    titles = first.where("conv_id % 2 = 0").select(key, title.alias("title"))
-    updated = F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.concat(F.lit("2026-02-"), day))
-    index = first.where("conv_id % 3 <> 0").select(key, F.concat(F.lit("2026-01-"), day).alias("created_at"), updated.alias("updated_at"), (F.col("conv_id") % 4 == 0).alias("pinned"))
+    titles = rows.where("turn = 0 AND role = 'user'").select(key, title.alias("title"))
+    last = rows.groupBy("conv_id").agg(F.max("turn").alias("last")).where("last >= 4")
+    updated = F.when(F.col("last") == 5, "").otherwise(F.concat(F.lit("2026-02-"), day))
+    index = last.select(key, F.concat(F.lit("2026-01-"), day).alias("created_at"), updated.alias("updated_at"), (F.col("last") >= 6).alias("pinned"))
     return sessions.merge_sessions(titles, index, "2026-03-01")
 
 

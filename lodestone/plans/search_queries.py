@@ -49,12 +49,12 @@ def dynamic_topn(spark, sf_dir):
 @register(
     f"""
 WITH {_SCORED}, t AS (SELECT * FROM s ORDER BY sim DESC, vec_id LIMIT 5), z AS (SELECT sum(sim) AS z FROM t)
-SELECT t.vec_id, round(sim / z, 6) AS weight, concat(printf('%.2f', sim / z), ' * ', left(d.text, 50)) AS line FROM t, z, documents d WHERE d.doc_id = t.vec_id
+SELECT t.vec_id, round(sim / z, 6) AS weight, concat(printf('%.2f', sim / z), ' * ', d.text) AS line FROM t, z, documents d WHERE d.doc_id = t.vec_id
 """
 )
 def weighted_context(spark, sf_dir):
     top = search.top_k(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 5, "vec_id")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.left("text", F.lit(50)).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     found = search.weighted(top.select("vec_id", "similarity").join(docs, "vec_id", "left"), "vec_id", "text")
     return found.select("vec_id", F.round("weight", 6).alias("weight"), "line").where(F.col("line").isNotNull())
 
@@ -262,12 +262,12 @@ def files_with_new_chunks(spark, sf_dir):
     return consistency.with_new_parts(docs.select("source").distinct(), docs, table(spark, sf_dir, "labels"), "source", "doc_id")
 
 
-@register("SELECT CASE WHEN vec_id % 7 = 0 THEN 'missing' WHEN vec_id % 5 = 0 THEN 'mismatch' ELSE 'match' END AS status, count(*) AS n FROM embeddings GROUP BY 1")
+@register("SELECT CASE WHEN label = 3 THEN 'missing' WHEN label = 5 THEN 'mismatch' ELSE 'match' END AS status, count(*) AS n FROM embeddings GROUP BY 1")
 def consistency_check(spark, sf_dir):
-    """Local vectors against a store that lacks every seventh and differs in every fifth."""
+    """Local vectors against a store that lacks one label and differs in another."""
     local = _vectors(spark, sf_dir)
-    off = F.transform("embedding", lambda x: x + F.when(F.col("vec_id") % 5 == 0, F.lit(1e-3)).otherwise(F.lit(0.0)))
-    stored = local.where(F.col("vec_id") % 7 != 0).select("vec_id", off.alias("embedding"))
+    off = F.transform("embedding", lambda x: x + F.when(F.col("label") == 5, F.lit(1e-3)).otherwise(F.lit(0.0)))
+    stored = local.where(F.col("label") != 3).select("vec_id", off.alias("embedding"))
     return consistency.compare(local, stored, "vec_id").groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -291,24 +291,24 @@ def corpus_append(spark, sf_dir):
 
 @register(
     """
-WITH c AS (SELECT conv_id, turn, role, 0 AS new FROM conversations UNION ALL SELECT conv_id, turn, upper(role), 1 FROM conversations WHERE turn % 3 = 0)
+WITH c AS (SELECT conv_id, turn, role, 0 AS new FROM conversations UNION ALL SELECT conv_id, turn, upper(role), 1 FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, new DESC) AS r FROM c) WHERE r = 1
 """
 )
 def upsert_latest(spark, sf_dir):
     now = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    changes = now.where("turn % 3 = 0").withColumn("role", F.upper("role"))
+    changes = now.where("role = 'assistant'").withColumn("role", F.upper("role"))
     return consistency.upsert(now, changes, "conv_id", "turn")
 
 
 @register(
     """
-SELECT source AS filename, doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) ELSE 'Source text is not available.' END AS text FROM documents
+SELECT source AS filename, doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN text ELSE 'Source text is not available.' END AS text FROM documents
 """
 )
 def citation_lookup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("filename"), F.col("doc_id").cast("string").alias("chunk_id"), F.left("text", F.lit(20)).alias("text"), "doc_id")
-    return sessions.cited(docs.select("filename", "chunk_id"), docs.where("doc_id % 2 = 0"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("filename"), F.col("doc_id").cast("string").alias("chunk_id"), "text", "doc_id")
+    return sessions.cited(docs.select("filename", "chunk_id"), docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi"))
 
 
 @register()

@@ -49,7 +49,8 @@ PLACES = 128
 #: Probability at which a pair that should be linked may be missed by all trees.
 MISS = 1e-9
 #: Sets in a leaf, branchings before a node is compared in blocks, sets in a cluster's task.
-LEAF, DEEPEST, CLUSTER = 1024, 5, 2048
+#: A full leaf is under 1 MB of sketches and at most about half a second of comparisons.
+LEAF, DEEPEST, CLUSTER = 8192, 5, 2048
 #: Documents up to which the ids to fetch are sent to every executor (8 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 NO_ID = -(2**63)
@@ -194,8 +195,10 @@ def _likely(least: int):
         for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
             block = bits[start : start + size]
             label = np.arange(size)
-            for k in range(0, size, 256):
-                far = np.bitwise_count(block[k : k + 256, None, :] ^ block[None, :, :]).sum(-1)
+            for k in range(0, size, 128):
+                if not label.any():
+                    break  # all of them hang together
+                far = np.bitwise_count(block[k : k + 128, None, :] ^ block[None, :, :]).sum(-1)
                 i, j = np.nonzero(far <= 2 * 64 - least)
                 i = i + k
                 apart = (i < j) & (label[i] != label[j])

@@ -22,9 +22,9 @@ Defined results: A-Z lower-cased, words are runs of anything but ASCII white
 space; with fewer words than a shingle the whole sequence is one shingle; a null
 or wordless text has the empty set, is linked with nothing and stays;
 component_id is the smallest doc_id of the component, null if it has none;
-a row stays if its doc_id is the component's (rows that share both doc_id and
-set all stay in ``classes``, one of them in ``survivors``); an empty table gives
-an empty table; further columns are ignored by ``classes`` and pass through
+a row stays if its doc_id is the component's; rows that share the doc_id share
+that, and ``survivors`` returns one of those with equal texts and every row that
+has no doc_id, as it cannot be named; an empty table gives an empty table; further columns are ignored by ``classes`` and pass through
 ``survivors``.
 """
 
@@ -369,8 +369,10 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, **opti
 
 
 def survivors(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
-    """One document of each component, with all its columns."""
-    kept = materialize(classes(docs, size, percent, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct(), "near-kept")
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__of"))
-    held = rows.join(kept, F.col("__of").eqNullSafe(F.col("__id")), "left_semi")
-    return held.dropDuplicates(["__of"]).select("__row.*")
+    """One document of each component, with all its columns; of rows with equal id and text one, rows without an id all."""
+    kept = classes(docs, size, percent, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
+    kept = materialize(kept, "near-kept")
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__text"))
+    # Plain equality on the id, so that the texts are dealt once for the join and for the repeats.
+    held = rows.join(kept, "__id", "left_semi").dropDuplicates(["__id", "__text"])
+    return held.unionByName(rows.where(F.col("__id").isNull())).select("__row.*")

@@ -134,8 +134,9 @@ def verify(rows: DataFrame, state: DataFrame) -> DataFrame | None:
     members = rows.select("__digest", "__id", "__locator", "__text").join(hits, "__digest")
     held = members.where(_is_kept()).dropDuplicates(["__digest"]).select("__digest", F.col("__text").alias("__kept_text"))
     wrong = members.join(held, "__digest").where(F.col("__text") != F.col("__kept_text"))
-    wrong = materialize(wrong.select("__digest").distinct(), "exact-collisions")
-    return None if wrong.isEmpty() else wrong
+    # Written before it is made distinct: so the join's hot digests can still be split among tasks.
+    wrong = materialize(wrong.select("__digest"), "exact-collisions")
+    return None if wrong.isEmpty() else wrong.distinct()
 
 
 def _resolved(rows: DataFrame, state: DataFrame, wrong: DataFrame | None) -> DataFrame:

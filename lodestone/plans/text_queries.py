@@ -228,6 +228,12 @@ def nfkc_output(spark, sf_dir):
     return rows.where("same")
 
 
+@register()
+def nfkc_text(spark, sf_dir):
+    """The NFKC text of every document, changed or not; SQL has no NFKC."""
+    return _docs(spark, sf_dir).select("doc_id", text.nfkc(F.col("text")).alias("text"))
+
+
 @register(
     """
 WITH s AS (SELECT source, list({'filename': source, 'chunk_id': doc_id::VARCHAR, 'text': text} ORDER BY doc_id)[1:20] AS s FROM documents GROUP BY source),

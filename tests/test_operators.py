@@ -1,6 +1,7 @@
 """Operators that need rows of their own: rules, packing, chunking, sessions, files, streams, seams."""
 
 import io
+import unicodedata
 import zipfile
 
 import pandas as pd
@@ -11,7 +12,7 @@ from lodestone import seams
 from lodestone.engine import Engine
 from lodestone.functions import intent, text, vectors
 from lodestone.operators import chunking, consistency, packing, search, sessions
-from lodestone.plans import ingest
+from lodestone.plans import catalogue, ingest
 from lodestone.sources import files, sinks, web
 from lodestone.streaming import incremental
 
@@ -303,3 +304,10 @@ def test_steps_retry_and_go_on(spark):
     rows, watch = ingest.observed(spark.range(5), "seen", most=F.max("id"))
     rows.collect()
     assert watch.get == {"rows": 5, "most": 4}
+
+
+def test_nfkc_text_returns_every_document(spark, tmp_path):
+    rows = [(1, "plain"), (2, "ﬁn ② ｆｕｌｌ"), (3, "e\u0301"), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in catalogue.queries()["nfkc_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in rows}

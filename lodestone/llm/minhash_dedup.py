@@ -5,8 +5,11 @@ set are one set from here on. A set becomes a minwise signature; a tree of
 paths branches the sets: at a node one signature place is chosen by a hash of
 the node's path, and sets go to children by their minwise token at that place.
 A node that is small enough is a leaf; a larger one is branched again. Two sets
-of similarity J share a child with probability J, so independent trees are
-repeated until a linked pair is missed with probability ``MISS`` at most.
+of similarity J share a child with probability J, so trees are repeated until a
+pair at the threshold is missed with probability ``MISS`` at most, taking trees as
+independent. The chance to stay together falls with every branching, so the sets
+of a node that is still large after two get further trees of their own, placed at
+the next depth at once, as many as that depth asks for (``trees_for``).
 
 Leaves are compared exhaustively on 128-bit sketches, many leaves at once, and
 give a forest of likely links (at most one row per set and tree), not pairs. A
@@ -285,9 +288,12 @@ def _in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
     return met.select(*rows.columns, F.xxhash64(group, pair).alias("pair"))
 
 
-def trees_for(percent: int, miss: float = MISS) -> int:
-    """Trees so that a pair at the threshold that must share two branchings is missed at most so often."""
-    return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** 2))
+def trees_for(percent: int, miss: float = MISS, depth: int = 2) -> int:
+    """Trees so that a pair at the threshold that must share ``depth`` branchings is missed at most so often.
+
+    A pair that is lost shared no node at some depth from 2 on; each depth has half of the one before, ``miss`` in all.
+    """
+    return math.ceil(math.log(miss / 2 ** (depth - 1)) / math.log(1 - (percent / 100) ** depth))
 
 
 def sketch_bits_for(percent: int) -> int:
@@ -297,7 +303,7 @@ def sketch_bits_for(percent: int) -> int:
 
 
 def likely_links(sets: DataFrame, percent: int, trees: int, leaf: int, deepest: int) -> DataFrame:
-    """u, v: likely links among distinct sets (key, sig), found by all trees."""
+    """u, v: likely links among distinct sets (key, sig), found by all trees; ``trees`` holds down to depth 2."""
     spark = sets.sparkSession
     n = buckets(spark, 2)
     judged = _likely(sketch_bits_for(percent))
@@ -315,6 +321,10 @@ def likely_links(sets: DataFrame, percent: int, trees: int, leaf: int, deepest:
             rest = _in_blocks(placed.join(large, "node"), "node", leaf).drop("size_of", "node").withColumnRenamed("pair", "node")
             return found.unionByName(rest.select("tree", "node", "key", "bits").groupBy("node").applyInArrow(judged, _sql(_EDGE)))
         kept = materialize(placed.join(large, "node", "left_semi").select("tree", "key"), "paths-open")
+        deeper = trees_for(percent, depth=depth + 1)
+        if depth > 1 and deeper > trees:
+            kept = kept.unionByName(kept.select("key").distinct().select(F.explode(F.sequence(F.lit(trees), F.lit(deeper - 1))).alias("tree"), "key"))
+            trees = deeper
         open_ = kept.join(sets, "key").select("key", "sig", "tree")
     return found
 

@@ -85,3 +85,25 @@ def test_exact_labels_judges_every_pair():
     sets = [np.arange(k, k + 100, dtype=np.uint64) for k in range(0, 60, 6)]
     assert set(minhash_dedup.exact_labels(sets, 85)) == {0}
     assert list(minhash_dedup.exact_labels(sets[::2], 85)) == list(range(5))
+
+
+def test_trees_hold_the_miss_at_every_depth():
+    for percent in (80, 85):
+        lost = [(1 - (percent / 100) ** d) ** minhash_dedup.trees_for(percent, depth=d) for d in range(2, minhash_dedup.DEEPEST + 1)]
+        assert sum(lost) <= minhash_dedup.MISS
+
+
+def test_pairs_in_large_nodes_are_found(spark):
+    """Pairs at the threshold among sets that share enough to branch to the last depth."""
+    rng = np.random.default_rng(5)
+    places, base, rows = minhash_dedup.PLACES, rng.integers(0, 2**31, minhash_dedup.PLACES), []
+    for k in range(600):
+        a = np.where(rng.random(places) < 0.9, base, rng.integers(0, 2**31, places)) * 2 + rng.integers(0, 2, places)
+        b = a.copy()
+        b[rng.permutation(places)[:25]] = rng.integers(0, 2**32, 25)
+        rows += [(f"{k}-{n}".encode(), bytearray(s.astype(np.uint32).tobytes())) for n, s in (("a", a), ("b", b))]
+    sets = spark.createDataFrame([(bytearray(i), s) for i, s in rows], "key binary, sig binary")
+    found = components(minhash_dedup.likely_links(sets, 80, 4, 4, 5))
+    label = {bytes(r.node).decode(): bytes(r.label) for r in found.collect()}
+    lost = [k for k in range(600) if f"{k}-a" not in label or label[f"{k}-a"] != label.get(f"{k}-b")]
+    assert len(lost) <= 2 * 600 * (1 - 0.8**2) ** 4  # four trees miss so many by depth 2; deeper nodes add next to none

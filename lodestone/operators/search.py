@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,40 @@ def weighted(top: DataFrame, key: str, text: str) -> DataFrame:
     return top.join(F.broadcast(total)).select(key, weight.alias("weight"), F.concat(F.format_string("%.2f", weight), F.lit(" * "), F.col(text)).alias("line"))
 
 
+def _unit(rows) -> np.ndarray:
+    v = np.asarray(rows, np.float64)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def fit_centres(sample: list[list[float]], n: int = 10, rounds: int = 25) -> list[tuple[int, list[float]]]:
+    """Spherical k-means of a bounded sample (no zero vectors), begun at its first ``n`` distinct rows."""
+    s = _unit(sample)
+    first = np.sort(np.unique(s, axis=0, return_index=True)[1])[:n]
+    centres = s[first]
+    for _ in range(rounds):
+        cell = (s @ centres.T).argmax(1)
+        sums = np.stack([s[cell == k].sum(0) for k in range(len(centres))])
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
+    return [(k, c.tolist()) for k, c in enumerate(centres)]
+
+
+def probes_for(sample: list[list[float]], centres: list[tuple[int, list[float]]], k: int, least: float, queries: int = 512) -> int:
+    """The fewest probes with a mean recall of ``least`` among the sample's own k nearest, a query's own row left out."""
+    s, c = _unit(sample), _unit([c for _, c in centres])
+    near = s @ c.T
+    cell, asked = near.argmax(1), min(queries, len(s))
+    k = min(k, len(s) - 1)
+    if k < 1:
+        return len(c)
+    sims = s[:asked] @ s.T
+    sims[np.arange(asked), np.arange(asked)] = -np.inf
+    best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-near[:asked], axis=1, kind="stable"), axis=1)
+    need = np.take_along_axis(place, cell[best], axis=1)
+    return next((p for p in range(1, len(c)) if (need < p).mean() >= least), len(c))
+
+
 def assign_cells(data: DataFrame, centres: list[tuple[int, list[float]]], vector: str = "embedding") -> DataFrame:
     """``cell``: the nearest of a few fixed centres; write partitioned by it to prune at search."""
     dist = [F.struct(vectors.squared_l2(F.col(vector), F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("cell")) for i, c in centres]

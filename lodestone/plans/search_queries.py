@@ -72,10 +72,13 @@ def vector_validity(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", F.round(vectors.norm(e), 6).alias("length"), vectors.is_valid(e).alias("valid"), F.size(e).cast("long").alias("size"))
 
 
-def _centres(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
-    """Ten cell centres: the first vector of each label, a bounded table."""
-    first = _vectors(spark, sf_dir).groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).orderBy("label").limit(10)
-    return [(int(r.label), [float(x) for x in r.c]) for r in first.collect()]
+CELLS, SAMPLE, RECALL = 10, 8192, 0.9
+
+
+def _sample(spark: SparkSession, sf_dir: str, dims: int) -> list[list[float]]:
+    """At most ``SAMPLE`` vectors in the order of their id's hash: what the cells are fitted on."""
+    good = _vectors(spark, sf_dir).where((F.size("embedding") == dims) & (vectors.norm(F.col("embedding")) > 0))
+    return [list(r.embedding) for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()]
 
 
 @register(
@@ -91,9 +94,13 @@ SELECT vec_id, round(sim, 6) AS similarity FROM s ORDER BY sim DESC, vec_id LIMI
 """
 )
 def cell_search(spark, sf_dir):
-    centres = _centres(spark, sf_dir)
+    """Cells fitted on a sample, as many probed as the sample's own neighbours need; the SQL's are first vectors of labels, three probed."""
+    query = _query_vector(spark, sf_dir)
+    sample = _sample(spark, sf_dir, len(query))
+    centres = search.fit_centres(sample, CELLS)
     rows = search.assign_cells(_vectors(spark, sf_dir), centres)
-    return search.cell_search(rows, _query_vector(spark, sf_dir), centres, 5, "vec_id", probes=3).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    probes = search.probes_for(sample, centres, 5, RECALL)
+    return search.cell_search(rows, query, centres, 5, "vec_id", probes=probes).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 def _terms(q: str) -> str:

@@ -4,6 +4,7 @@ import io
 import unicodedata
 import zipfile
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -311,3 +312,22 @@ def test_nfkc_text_returns_every_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text for r in catalogue.queries()["nfkc_text"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in rows}
+
+
+def test_cell_search_recall(spark):
+    """Mean recall of 0.9 against brute force over many queries, the query's own row left out."""
+    from lodestone.plans import search_queries
+
+    sf = "/root/testdata/sf0.1"
+    sample = search_queries._sample(spark, sf, 64)
+    centres = search.fit_centres(sample, search_queries.CELLS)
+    probes = search.probes_for(sample, centres, 5, search_queries.RECALL)
+    rows = search.assign_cells(spark.read.parquet(f"{sf}/embeddings.parquet"), centres).select("vec_id", "embedding", "cell").orderBy("vec_id").collect()
+    v = np.array([r.embedding for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    cell, found = np.array([r.cell for r in rows]), []
+    for q in range(0, len(v), 5):
+        best = [x for x in np.argsort(-(v @ v[q]), kind="stable")[:6] if x != q][:5]
+        found.append(np.isin(cell[best], search.nearest_cells(v[q].tolist(), centres, probes)).mean())
+    print("recall", np.mean(found), "probes", probes, "queries", len(found))
+    assert len(found) >= 300 and np.mean(found) >= 0.9 and probes < len(centres)

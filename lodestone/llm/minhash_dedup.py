@@ -25,10 +25,13 @@ Defined results: A-Z lower-cased, words are runs of anything but ASCII white
 space; with fewer words than a shingle the whole sequence is one shingle; a null
 or wordless text has the empty set, is linked with nothing and stays;
 component_id is the smallest doc_id of the component, null if it has none;
-a row stays if its doc_id is the component's; rows that share the doc_id share
-that, and ``survivors`` returns one of those with equal texts and every row that
-has no doc_id, as it cannot be named; an empty table gives an empty table; further columns are ignored by ``classes`` and pass through
-``survivors``.
+in ``classes`` a row is kept if its doc_id is the component's, so rows that share
+the doc_id, or have none, share that. ``survivors`` returns exactly one row of each
+component, named by doc_id and a 128-bit digest of its text: the smallest doc_id, a
+row without one only where the component has none, then the smallest digest. Of
+wordless rows with equal doc_id and text it returns one, those without a doc_id all.
+An empty table gives an empty table; further columns are ignored by ``classes`` and
+pass through ``survivors``.
 """
 
 from __future__ import annotations
@@ -103,7 +106,7 @@ def _key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-_SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
+_SKETCH = pa.schema([("id", pa.int64()), ("mark", pa.binary()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
 _NODE = pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("key", pa.binary()), ("bits", pa.binary())])
 _EDGE = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 _SET = pa.schema([("key", pa.binary()), ("shingles", pa.binary())])
@@ -120,12 +123,12 @@ def _sketch(size: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part, out = batch.slice(at, 2048), ([], [], [])
-                for text in part.column(1):
+                for text in part.column(2):
                     s = shingles(text.as_py(), size, index)
                     out[0].append(len(s))
                     out[1].append(_key(s) if len(s) else None)
                     out[2].append(signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(out, list(_SKETCH)[1:]))], schema=_SKETCH)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, f.type) for c, f in zip(out, list(_SKETCH)[2:]))], schema=_SKETCH)
 
     return rows
 
@@ -359,30 +362,50 @@ def links(docs: DataFrame, sketches: DataFrame, size: int, percent: int, trees:
     return components(edges)
 
 
-def sketched(docs: DataFrame, size: int) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
+def _id():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _mark():
+    """A digest of the text: with the id it names a row but for repeats. A null text has an empty one."""
+    return F.coalesce(F.unhex(F.md5(F.col("text").cast("string").cast("binary"))), F.lit(b""))
+
+
+def sketched(docs: DataFrame, size: int, marked: bool = False) -> DataFrame:
+    """id, mark (null unless asked for), n, key and sig of every row."""
+    mark = _mark() if marked else F.lit(None).cast("binary")
+    rows = docs.select(_id().alias("id"), mark.alias("mark"), F.col("text").cast("string").alias("text"))
     return materialize(rows.mapInArrow(_sketch(size), _sql(_SKETCH)), "near-sketches")
 
 
+def _labelled(docs: DataFrame, sketches: DataFrame, size: int, percent: int, **options) -> DataFrame:
+    """id, mark, n and label (component) of every row with words."""
+    linked = links(docs, sketches, size, percent, **options)
+    rows = sketches.where("n > 0").select("id", "mark", "n", "key")
+    return rows.join(linked.select(F.col("node").alias("key"), "label"), "key", "left").select("id", "mark", "n", F.coalesce("label", "key").alias("label"))
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     sketches = sketched(docs, size)
-    linked = links(docs, sketches, size, percent, **options)
-    rows = sketches.select("id", "n", "key")
-    whole = rows.where("n > 0").join(linked.select(F.col("node").alias("key"), "label"), "key", "left").select("id", "n", F.coalesce("label", "key").alias("label"))
+    whole = _labelled(docs, sketches, size, percent, **options).drop("mark")
     # The smallest id per component from one row per distinct set and task.
     least = whole.groupBy("label").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("component_id"))
     real = F.when(F.col("id") != NO_ID, F.col("id"))
     found = whole.join(least, "label").select(real.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    found = found.unionByName(rows.where("n = 0").select(real.alias("doc_id"), F.col("n").alias("n_shingles"), real.alias("component_id")))
+    found = found.unionByName(sketches.where("n = 0").select(real.alias("doc_id"), F.col("n").alias("n_shingles"), real.alias("component_id")))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def survivors(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
-    """One document of each component, with all its columns; of rows with equal id and text one, rows without an id all."""
-    kept = classes(docs, size, percent, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    kept = materialize(kept, "near-kept")
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__text"))
-    # Plain equality on the id, so that the texts are dealt once for the join and for the repeats.
-    held = rows.join(kept, "__id", "left_semi").dropDuplicates(["__id", "__text"])
-    return held.unionByName(rows.where(F.col("__id").isNull())).select("__row.*")
+    """One document of each component, with all its columns, whatever its id."""
+    sketches = sketched(docs, size, marked=True)
+    best = F.min(F.struct((F.col("id") == NO_ID).alias("none"), "id", "mark")).alias("best")
+    kept = _labelled(docs, sketches, size, percent, **options).groupBy("label").agg(best).select("best.id", "best.mark")
+    wordless = sketches.where((F.col("n") == 0) & (F.col("id") != NO_ID)).select("id", "mark").distinct()
+    kept = materialize(kept.unionByName(wordless).toDF("__id", "__mark"), "near-kept")
+    rows = docs.select(F.struct("*").alias("__row"), _id().alias("__id"), _mark().alias("__mark"))
+    # Equality on the same two columns, so that the texts are dealt once for the join and for the repeats.
+    held = rows.join(kept, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
+    unnamed = rows.where((F.col("__id") == NO_ID) & ~F.coalesce(F.col("__row.text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
+    return held.unionByName(unnamed).select("__row.*")

@@ -107,3 +107,14 @@ def test_pairs_in_large_nodes_are_found(spark):
     label = {bytes(r.node).decode(): bytes(r.label) for r in found.collect()}
     lost = [k for k in range(600) if f"{k}-a" not in label or label[f"{k}-a"] != label.get(f"{k}-b")]
     assert len(lost) <= 2 * 600 * (1 - 0.8**2) ** 4  # four trees miss so many by depth 2; deeper nodes add next to none
+
+
+def test_survivors_keep_one_row_of_each_component_whatever_its_id(spark):
+    a, b, c, d = (" ".join(f"{x}{n}" for n in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a + " more"), (None, a), (None, b), (4, b + " more"), (5, c), (5, d), (2, d + " more"), (None, None), (None, None), (None, " "), (7, None), (7, ""), (7, "")]
+    left = minhash_dedup.survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85)
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    words = [x for x in got if x[1] and x[1].strip()]
+    assert len([i for i, t in words if t.startswith("a0")]) == 1
+    assert sorted(x for x in words if not x[1].startswith("a0")) == [(2, d + " more"), (4, b + " more"), (5, c)]
+    assert sorted(map(str, (x for x in got if x not in words))) == sorted(map(str, [(None, None), (None, None), (None, " "), (7, None), (7, "")]))

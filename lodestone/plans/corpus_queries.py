@@ -45,6 +45,14 @@ def embed_new_chunks(spark, sf_dir):
     return made.select("chunk_id", F.size("embedding").alias("size"))
 
 
+@register()
+def embed_new_chunk_vectors(spark, sf_dir):
+    """The vectors themselves of ``embed_new_chunks``; SQL cannot make them."""
+    chunks = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    made = ingest.embed_new(chunks, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id")), HashingEmbedder())
+    return made.select("chunk_id", "embedding")
+
+
 @register(f"SELECT doc_id, len(text) AS n_chars, len({_PLAIN}) AS n_tokens FROM documents")
 def document_sizes(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size(plain_tokens(F.col("text"))).cast("long").alias("n_tokens"))

@@ -331,3 +331,11 @@ def test_cell_search_recall(spark):
         found.append(np.isin(cell[best], search.nearest_cells(v[q].tolist(), centres, probes)).mean())
     print("recall", np.mean(found), "probes", probes, "queries", len(found))
     assert len(found) >= 300 and np.mean(found) >= 0.9 and probes < len(centres)
+
+
+def test_embed_new_chunk_vectors_are_those_of_the_whole_texts(spark, tmp_path):
+    rows = [(1, "a b a"), (2, "wing " * 5000 + "last"), (3, ""), (4, None), (5, "has one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.chunk_id: r.embedding for r in catalogue.queries()["embed_new_chunk_vectors"](spark, str(tmp_path)).collect()}
+    assert got == {i: seams.HashingEmbedder().one(t) for i, t in rows[:4]}

@@ -7,7 +7,7 @@ one block of dimensions at a time. After each, a candidate stays only while,
 for some query of the block, its partial score plus the most that the remaining
 dimensions can add (product of the remaining norms) reaches the query's k-th
 best lower bound (partial score minus that mass, or the k-th best full score
-of the candidates seen before). Survivors are compacted before the next block
+of the candidates that the task saw before with the same query). Survivors are compacted before the next block
 of dimensions. Bounds are widened by more than the rounding error of floating
 point, and final scores are exact integers, so nothing is lost.
 
@@ -103,12 +103,19 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def block_top_k(q_ids, q, c_ids, c, k: int, dim_block: int = DIM_BLOCK):
-    """(query row, candidate row, score) of each query's best k; ``q`` and ``c`` are dimension by row."""
+def block_top_k(q_ids, q, c_ids, c, k: int, dim_block: int = DIM_BLOCK, known=None, kept: list | None = None):
+    """(query row, candidate row, score) of each query's best k; ``q`` and ``c`` are dimension by row.
+
+    ``known`` has a score per query that k other candidates reach; those below it may be left out. ``kept`` takes
+    the share of candidates that stays after each block of dimensions but the last.
+    """
     dims, n_q = q.shape
     largest = (np.abs(q).max(initial=0.0) * np.abs(c).max(initial=0.0)) * max(dims, 1)
     if largest >= EXACT:
         return _exact_top_k(q_ids, q, c_ids, c, k)
+    # Dimensions of most energy first: scores settle early and little mass remains.
+    order = np.argsort(-((q**2).sum(1) * (c**2).sum(1)), kind="stable")
+    q, c = q[order], c[order]
     alive = np.arange(len(c_ids))
     # Remaining mass after each block of dimensions, as squared norms of what is left.
     edges = list(range(0, dims, dim_block)) + [dims]
@@ -117,6 +124,8 @@ def block_top_k(q_ids, q, c_ids, c, k: int, dim_block: int = DIM_BLOCK):
     mine = [(own[i], x) for x, i in enumerate(c_ids.tolist()) if i in own]
     for a, b in zip(edges, edges[1:]):
         partial += q[a:b].T @ c[a:b][:, alive]
+        if kept is not None and a:
+            kept.append(len(alive) / max(1, len(c_ids)))
         if b < dims and len(alive) > 4 * k:
             left = np.sqrt((q[b:] ** 2).sum(0))[:, None] * np.sqrt((c[b:][:, alive] ** 2).sum(0))[None, :]
             left = left * (1 + 1e-9) + 1e-6
@@ -127,6 +136,8 @@ def block_top_k(q_ids, q, c_ids, c, k: int, dim_block: int = DIM_BLOCK):
                     if x in where:
                         low[r, where[x]] = -np.inf
             floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
+            if known is not None:
+                floor = np.maximum(floor, known)
             stay = (partial + left >= floor[:, None]).any(0)
             if stay.mean() < 0.75:
                 alive, partial = alive[stay], np.ascontiguousarray(partial[:, stay])
@@ -151,11 +162,15 @@ def _exact_top_k(q_ids, q, c_ids, c, k: int):
 
 def _meet(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}  # each query's best k scores of the blocks before, lowest first
         for batch in batches:
             for row in batch.to_pylist():
                 shape = lambda v, n: np.frombuffer(v, np.float64).reshape(row["dim"], n)
                 q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                r, x, score = block_top_k(q_ids, shape(row["q_values"], len(q_ids)), c_ids, shape(row["values"], len(c_ids)), k)
+                known = np.array([best[i][0] if i in best and len(best[i]) == k else -np.inf for i in q_ids.tolist()], np.float64)
+                r, x, score = block_top_k(q_ids, shape(row["q_values"], len(q_ids)), c_ids, shape(row["values"], len(c_ids)), k, known=known)
+                for n, i in enumerate(q_ids.tolist()):
+                    best[i] = np.sort(np.append(best.get(i, np.zeros(0, np.int64)), score[r == n]))[-k:]
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(c_ids[x]), pa.array(score)], schema=_FOUND)
 
     return rows

@@ -44,3 +44,18 @@ def test_pruning_compacts_and_keeps_the_best():
         full = (q[:, k] @ c).astype(int)
         best = sorted(zip(-full, range(3000)))[:10]
         assert [(-a, b) for a, b in best] == list(zip(s[r == k].tolist(), x[r == k].tolist()))
+
+
+def test_known_scores_prune_the_next_block_and_lose_nothing():
+    """Energy in the last dimensions, and a first block that holds the best."""
+    rng = np.random.default_rng(4)
+    fall = np.geomspace(0.5, 100, 64)[:, None]
+    c, q = np.floor(rng.normal(0, 1, (64, 3000)) * fall), np.floor(rng.normal(0, 1, (64, 5)) * fall)
+    full = np.sort(q.T @ c, axis=1)
+    shares = []
+    for known in (None, full[:, -10]):
+        kept = []
+        r, x, s = topk_search.block_top_k(np.arange(5) + 10**6, q, np.arange(3000), c, 10, known=known, kept=kept)
+        assert all(sorted(s[r == k].tolist()) == full[k, -10:].astype(int).tolist() for k in range(5))
+        shares.append(kept)
+    assert shares[1][-1] <= shares[0][-1] < 0.2

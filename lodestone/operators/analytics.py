@@ -53,6 +53,20 @@ def sentiment(docs: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
     return rows.select(key, F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"), F.round(s, 6).alias("valence"), F.round(s / F.sqrt(s * s + F.lit(15.0)), 6).alias("compound"))
 
 
+def sentiment_shares(docs: DataFrame, key: str, lexicon: DataFrame, most: float = 4.0) -> DataFrame:
+    """pos, neg, neu and polarity per document; ``most`` is the lexicon's largest valence.
+
+    As VADER weighs them: a hit counts its valence and one more, any other token one as neutral; the three are shares.
+    polarity is the mean valence of the hits over ``most``, 0 without any.
+    """
+    found = token_rows(docs, key).join(F.broadcast(lexicon), F.col("token") == F.col("word"), "left")
+    v = F.coalesce("valence", F.lit(0.0))
+    sums = found.groupBy(key).agg(F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("p"), F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("m"), F.sum(F.when(v == 0, 1.0).otherwise(0.0)).alias("z"), F.avg("valence").alias("mean"))
+    total = F.col("p") + F.col("m") + F.col("z")
+    share = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), total), F.lit(0.0)), 6)
+    return docs.select(key).join(sums, key, "left").select(key, share("p").alias("pos"), share("m").alias("neg"), share("z").alias("neu"), F.round(F.coalesce(F.col("mean") / most, F.lit(0.0)), 6).alias("polarity"))
+
+
 def concordance(docs: DataFrame, key: str, word: str, width: int = 5) -> DataFrame:
     """Each place of a word with ``width`` words on either side."""
     w = words(F.lower(F.col("text")))

@@ -51,6 +51,12 @@ def delete_session(titles: DataFrame, index: DataFrame, session_id: str) -> tupl
     return titles.where(other), index.where(other)
 
 
+def delete_history(history: DataFrame, session_id: str, key: str = "session_id") -> tuple[DataFrame, int]:
+    """The history without one session, and how many rows that session had; rows without a session stay."""
+    name = session_id.strip()
+    return history.where(~F.col(key).eqNullSafe(F.lit(name))), history.where(F.col(key) == name).count()
+
+
 def exchange_row(history: DataFrame, session_id: str, query: str, answer: str, now: str) -> DataFrame:
     """One exchange as a row of the history: line breaks flattened, answers under 10 characters replaced."""
     if not query.strip() or not answer.strip():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from typing import Protocol
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from lodestone.functions import rules
-from lodestone.functions.text import sentences_of
+from lodestone.functions.text import sentences_of, tokens_for_match
 
 
 class Embedder(Protocol):
@@ -69,6 +70,33 @@ class ExtractiveGenerator:
         return F.array_join(F.slice(sentences_of(bare), 1, self.sentences), " ")
 
 
+def expand_query(query: str, table: dict[str, str]) -> str:
+    """The query unchanged, and at its end the expansions of the abbreviations it holds, each once: no model."""
+    low = {k.lower(): v for k, v in table.items()}
+    found = dict.fromkeys(low[w] for w in re.findall(r"[a-z0-9]+", query.lower()) if w in low)
+    more = [x for x in found if x.lower() not in query.lower()]
+    return " ".join([query, *more])
+
+
+def fact_check(answer: Column, context: Column, least: float = 0.6) -> Column:
+    """supported and unsupported sentences of an answer, and whether all are supported.
+
+    A sentence is supported if a share of ``least`` of its distinct match tokens is in the context; one without tokens is.
+    """
+    held = tokens_for_match(F.regexp_replace(context, "\\[SOURCE filename=.*?; chunk_id=.*?\\]", " "))
+    own = lambda s: F.array_distinct(tokens_for_match(s))
+    good = lambda s: F.size(F.array_intersect(own(s), held)) >= F.lit(least) * F.size(own(s))
+    said, bad = sentences_of(answer), lambda s: ~good(s)
+    return F.struct(F.filter(said, good).alias("supported"), F.filter(said, bad).alias("unsupported"), (F.size(F.filter(said, bad)) == 0).alias("accurate"))
+
+
+def follow_ups(query: str, answer: Column, most: int = 3) -> Column:
+    """At most ``most`` questions on the first long words of the answer that the query does not hold."""
+    asked = tokens_for_match(F.lit(query))
+    new = F.filter(F.array_except(tokens_for_match(answer), asked), lambda t: (F.length(t) > 5) & ~t.isin(*rules.STOP_WORDS))
+    return F.transform(F.slice(new, 1, most), lambda t: F.concat(F.lit("What else is known about "), t, F.lit("?")))
+
+
 Annotator = Callable[[list[str]], list[list[tuple[str, str]]]]
 _ANNOTATORS: dict[str, Annotator] = {}
 
@@ -87,8 +115,6 @@ def annotate(text: Column, name: str = "rules") -> Column:
 
 def rule_entities(texts: list[str]) -> list[list[tuple[str, str]]]:
     """Entities by the fixed patterns, in their order; a later one that overlaps an earlier one is dropped."""
-    import re
-
     patterns = [(label, re.compile(p)) for label, p in rules.ENTITY_PATTERNS]
     out = []
     for text in texts:

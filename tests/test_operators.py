@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone import seams
 from lodestone.engine import Engine
 from lodestone.functions import intent, text, vectors
-from lodestone.operators import chunking, consistency, packing, search, sessions
+from lodestone.operators import analytics, chunking, consistency, packing, search, sessions
 from lodestone.plans import catalogue, ingest
 from lodestone.sources import files, sinks, web
 from lodestone.streaming import incremental
@@ -339,3 +339,24 @@ def test_embed_new_chunk_vectors_are_those_of_the_whole_texts(spark, tmp_path):
     spark.createDataFrame([(5,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.chunk_id: r.embedding for r in catalogue.queries()["embed_new_chunk_vectors"](spark, str(tmp_path)).collect()}
     assert got == {i: seams.HashingEmbedder().one(t) for i, t in rows[:4]}
+
+
+def test_expansion_fact_check_and_follow_ups(spark):
+    assert seams.expand_query("Does ATC clear IFR, ATC?", {"atc": "air traffic control", "IFR": "instrument flight rules"}) == "Does ATC clear IFR, ATC? air traffic control instrument flight rules"
+    assert seams.expand_query("nothing here", {"atc": "x"}) == "nothing here"
+    got = one(spark, seams.fact_check(F.col("a"), F.col("c")), a="The wing stalled early. Bananas grow quickly.", c="[SOURCE filename=bananas grow quickly; chunk_id=1]\nThe left wing stalled early.")
+    assert (got.supported, got.unsupported, got.accurate) == (["The wing stalled early."], ["Bananas grow quickly."], False)
+    assert one(spark, seams.follow_ups("why did the engine fail", F.col("a"), 2), a="The engine failed after lubrication ceased and bearings seized.") == ["What else is known about failed?", "What else is known about lubrication?"]
+
+
+def test_delete_history_returns_the_prior_count(spark):
+    history = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), (None, "4")], "session_id string, user_query string")
+    rest, gone = sessions.delete_history(history, " a ")
+    assert gone == 2 and sorted(r.user_query for r in rest.collect()) == ["3", "4"]
+
+
+def test_sentiment_shares(spark):
+    docs = spark.createDataFrame([(1, "good bad plane plane"), (2, ""), (3, "plane")], "doc_id long, text string")
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "word string, valence double")
+    got = {r.doc_id: tuple(r)[1:] for r in analytics.sentiment_shares(docs, "doc_id", lexicon).collect()}
+    assert got == {1: (0.428571, 0.285714, 0.285714, 0.125), 2: (0.0, 0.0, 0.0, 0.0), 3: (0.0, 0.0, 1.0, 0.0)}

@@ -17,7 +17,9 @@ hot. Offsets are code points, ends exclusive.
 
 Defined results: a null text counts as empty and has no spans; null ids stay
 null; repeated rows give repeated rows; an empty table gives an empty table;
-further columns are ignored. Whole texts are read whatever their length.
+further columns are ignored. Whole texts are read whatever their length, and no
+text makes a rule raise: what a check cannot parse (a token header that is no
+JSON, or is nested too deeply) fails the check.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def _jwt(value: str) -> bool:
     head = value.split(".", 1)[0]
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4))), dict)
-    except (binascii.Error, ValueError):
+    except (binascii.Error, ValueError, RecursionError):  # a header nested too deeply for the parser is none
         return False
 
 

@@ -1,6 +1,8 @@
 """Secret scans against plain regular expressions on whole texts."""
 
+import base64
 import re
+import time
 import zlib
 
 from hypothesis import given, settings
@@ -45,6 +47,31 @@ def test_checksums():
     assert secrets.redact("a visa: 4111111111111111 b", secrets.scan("a visa: 4111111111111111 b", secrets.automaton())) == "a visa: [card] b"
 
 
+HOSTILE = ["token", "secret:", "AKIA", "ghp_", "npm_", "card ", "visa", "4111", " ", "-", "iban ", "GB82WEST", "-----BEGIN ", "PRIVATE KEY-----", "-----END ", "eyJ", "eyJhIjoxfQ", ".", "=", "[", "{", "\x00", "\u212a", "\u0130", "\U0001f642", "9" * 40, "a" * 40, "Z" * 40]
+
+
+def test_a_deeply_nested_header_is_no_token():
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 20000).decode().rstrip("=")
+    assert secrets.scan(f"x {deep}.eyJhIjoxfQ.abc", secrets.automaton()) == []
+    assert not secrets._jwt("eyJ" + "9" * 9000 + ".x.y")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(HOSTILE), max_size=60).map("".join))
+def test_no_text_makes_a_rule_raise(text):
+    for kind, a, b in secrets.scan(text, secrets.automaton()):
+        assert kind in secrets.KINDS and 0 <= a < b <= len(text)
+
+
+def test_very_long_texts_are_scanned_in_proportion():
+    words = secrets.automaton()
+    for piece in HOSTILE:
+        text = piece * (3_000_000 // len(piece))
+        began = time.process_time()
+        secrets.scan(text, words)
+        assert time.process_time() - began < 30, piece
+
+
 def test_frame_matches_brute_force_and_edge_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     extra = spark.createDataFrame([(None, None, "x"), (-1, "", "x"), (-2, "secret: token: abcdefghijk", "x"), (-2, "secret: token: abcdefghijk", "x")], "doc_id long, text string, spans string")

@@ -2,7 +2,7 @@
 
 Leaves are (domain, language, source). The token budget goes down the tree one
 level at a time. A node's capacity is what its leaves can give: their tokens
-times the most epochs. Among siblings the budget is shared in proportion to
+times the most epochs, nothing where a weight on the leaf's path is 0. Among siblings the budget is shared in proportion to
 their weights; a sibling that cannot take its share takes its capacity, and the
 rest is shared anew among its siblings, in closed form over the siblings sorted
 by capacity per weight. Only what a whole family cannot take was kept from it a
@@ -55,6 +55,14 @@ def _weight(names: list[str], weights: dict[tuple, float]) -> Column:
     return F.greatest(out, F.lit(0.0))
 
 
+def _open(weights: dict[tuple, float]) -> Column:
+    """Whether a leaf has a positive weight at every level of its path."""
+    out = F.lit(True)
+    for depth in range(len(LEVELS)):
+        out = out & (_weight(list(LEVELS[: depth + 1]), weights) > 0)
+    return out
+
+
 def _share(nodes: DataFrame, parent: list[str], names: list[str]) -> DataFrame:
     """Give each node its part of ``__budget``, the budget of its parent."""
     siblings = Window.partitionBy(*parent)
@@ -77,7 +85,7 @@ def allocate(leaves: DataFrame, total: float | Column, weights: dict[tuple, floa
     ``leaves`` has domain, lang, source, n_docs, tokens; ``total`` is the token
     budget, or a column of the sum ``tokens`` of the whole tree.
     """
-    leaves = leaves.withColumn("capacity", (F.col("tokens") * max_epochs).cast("double"))
+    leaves = leaves.withColumn("capacity", F.when(_open(weights), F.col("tokens") * max_epochs).otherwise(F.lit(0)).cast("double"))
     above = leaves.agg(F.sum("tokens").alias("tokens")).select((total if isinstance(total, Column) else F.lit(float(total))).cast("double").alias("budget"))
     for depth in range(len(LEVELS)):
         names, parent = list(LEVELS[: depth + 1]), list(LEVELS[:depth])
@@ -165,6 +173,7 @@ def _sql_weight(names: tuple[str, ...]) -> str:
 def oracle() -> str:
     """The same rows in DuckDB: water levels per family, then one ordered sum per leaf."""
     ctes, parent = [], "root"
+    usable = " AND ".join(f"{_sql_weight(LEVELS[: depth + 1])} > 0" for depth in range(len(LEVELS)))
     for depth in range(len(LEVELS)):
         names, above = LEVELS[: depth + 1], LEVELS[:depth]
         link = f"USING ({', '.join(above)})" if above else "ON true"
@@ -182,7 +191,7 @@ b{depth} AS (SELECT {cols}, CASE WHEN w <= 0 THEN 0 WHEN level IS NULL THEN cap
 WITH num AS (SELECT *, coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') AS INTEGER), 99) AS k FROM documents),
 doc AS (SELECT doc_id, CASE WHEN k < 8 THEN 'web' WHEN k < 12 THEN 'books' WHEN k < 16 THEN 'code' ELSE 'talk' END AS domain, coalesce(lang, '') AS lang,
         coalesce(source, '') AS source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n_tokens FROM num),
-leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE * {MAX_EPOCHS} AS cap FROM doc GROUP BY ALL),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, CASE WHEN {usable} THEN sum(n_tokens)::DOUBLE * {MAX_EPOCHS} ELSE 0 END AS cap FROM doc GROUP BY domain, lang, source),
 root AS (SELECT (sum(n_tokens)::DOUBLE) * {PART} AS budget FROM doc),{','.join(ctes)},
 part AS (SELECT l.*, floor(b.budget + 1e-6)::BIGINT AS b FROM leaf l JOIN b2 b USING (domain, lang, source)),
 run AS (SELECT *, CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END AS e FROM part),

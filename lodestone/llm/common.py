@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system, target = _file_system(spark, path)
     system.mkdirs(target)
     system.deleteOnExit(target)
     return path
@@ -45,8 +45,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path that no later plan reads."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -57,20 +57,55 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As ``materialize``, dealt by ``key`` at writing: a later step by ``key`` reads it without a shuffle."""
+def bucketed(df: DataFrame, key: str, name: str, path: str | None = None, dealt: bool = False) -> DataFrame:
+    """As ``materialize``, dealt by ``key`` at writing: a later step by ``key`` reads it without a shuffle.
+
+    With ``dealt`` rows are shuffled by ``key`` first, so a bucket is one file; without, every task writes its own.
+    """
     spark = df.sparkSession
-    path, name = f"{scratch(spark, name)}/rows", f"{name}_{uuid.uuid4().hex}"
+    path, name = path or f"{scratch(spark, name)}/rows", f"{name}_{uuid.uuid4().hex}"
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df = df.repartition(n, key) if dealt else df
     df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in the shared folder, there as a whole or not at all."""
+    system, at = _file_system(spark, path)
+    _, partial = _file_system(spark, f"{path}.partial")
+    out = system.create(partial, True)
+    out.write(text.encode("utf-8"))
+    out.close()
+    if not system.rename(partial, at):
+        raise OSError(f"cannot write {path}")
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """File names in a folder of the shared file system; none where there is no folder."""
+    system, at = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in system.listStatus(at)) if system.exists(at) else []
+
+
 def buckets(spark: SparkSession, per_partition: int = 1, least: int = 64) -> int:
     """How many hash buckets to deal work into: follows the session's shuffle partitions."""
     return max(least, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the system: workers live on, idle, through stages that need none."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, UPPER, LOWER)

@@ -7,11 +7,18 @@ the same document or another; windows are judged on the input.
 Index. Of every window the smallest hash among its shorter sub-windows is kept
 (a minimiser: any two equal windows keep the same one, and neighbouring windows
 mostly share theirs, so about one word in eight is kept). A batch of documents
-becomes an immutable run: sorted fingerprints per hash bucket, each with a mark
-if it was seen before, found by merging the sorted batch with the runs so far.
-Runs are compacted into one when they become many. So history is never
-rewritten when a batch comes in, and no text is compared that shares no
-fingerprint.
+becomes an immutable run: per hash bucket its sorted fingerprints, each with the
+chunks of documents that hold it and a mark if it was seen before, found by
+merging the sorted batch with the runs so far. Runs are compacted into one when
+they become many. So history is never rewritten when a batch comes in, and no
+text is compared that shares no fingerprint. The number of buckets follows the
+words taken in (``BUCKET_WORDS``): compaction deals the runs to twice as many
+when they outgrow it.
+
+The log lives in a folder: chunks, runs and a manifest, a small file written as a
+whole after every step, so a later session opens the folder and goes on. A new
+batch is judged against history by its runs alone; of the old texts only those
+chunks are read again that share a fingerprint with it.
 
 Verification. Windows whose fingerprint is marked are judged by a 128-bit hash
 of their words. Both steps are questions from chunks of documents to hash
@@ -31,6 +38,8 @@ an empty table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -43,7 +52,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bucketed, buckets, scratch
+from lodestone.llm.common import bucketed, buckets, materialize, names_in, scratch, write_text
 from lodestone.llm.packing import expand, expand_sorted, squeeze, squeeze_sorted
 
 WINDOW = 35
@@ -51,6 +60,10 @@ WINDOW = 35
 CHUNK_BYTES = 4_000_000
 #: Runs that may stand side by side before they are compacted.
 MAX_RUNS = 4
+#: Words of all batches for which one hash bucket is opened (about one in eight becomes a fingerprint).
+BUCKET_WORDS = 32_000_000
+#: Old chunks named in the scan's filter, and sent to every executor (8 bytes each); more are joined by shuffle.
+NAMED_CHUNKS, BROADCAST_CHUNKS = 1000, 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -119,10 +132,13 @@ def _of_bucket(x: np.ndarray, n: int) -> np.ndarray:
     return ((x * np.uint64(_BASE)) >> np.uint64(33)).astype(np.int64) % n
 
 
-_CHUNK = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary())])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("n_words", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary())])
 _ASK = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("twice", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("seen", pa.binary())])
-_RUN = pa.schema([("bucket", pa.int32()), ("low", pa.binary()), ("twice", pa.binary())])
+#: ``many``: chunks of each fingerprint; ``of``: their places in ``chunks``, fingerprint by fingerprint.
+_RUN = pa.schema([("bucket", pa.int32()), ("low", pa.binary()), ("twice", pa.binary()), ("many", pa.binary()), ("chunks", pa.binary()), ("of", pa.binary())])
+#: Bits of a chunk's number below its batch, and below its task.
+BATCH_BITS, TASK_BITS = 46, 22
 
 
 def _sql(schema: pa.Schema) -> str:
@@ -135,15 +151,15 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def _gather(chunk_bytes: int):
-    """Documents to chunks."""
+def _gather(chunk_bytes: int, batch_no: int):
+    """Documents to chunks, numbered by batch, task and order."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held, doc_ids, sizes = TaskContext.get().partitionId(), 0, [], [], []
         total = 0
 
         def chunk() -> pa.RecordBatch:
-            return _batch([((task << 32) | made, doc_ids, squeeze(np.array(sizes, np.uint64)), zstandard.compress(b"\n".join(held), 3))], _CHUNK)
+            return _batch([((batch_no << BATCH_BITS) | (task << TASK_BITS) | made, sum(sizes), doc_ids, squeeze(np.array(sizes, np.uint64)), zstandard.compress(b"\n".join(held), 3))], _CHUNK)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -207,21 +223,65 @@ def _lists(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return lows, [_bits(x, len(low)) for x, low in zip(rows.column("twice").to_pylist(), lows)]
 
 
+def _holders(lows: list[np.ndarray], chunks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Every (fingerprint, chunk) once, ascending."""
+    low, chunk = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (lows, chunks))
+    order = np.lexsort((chunk, low))
+    return low[order], chunk[order]
+
+
+def _held_by(runs: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Every run's fingerprints, each as often as chunks hold it, and those chunks."""
+    lows, chunks = [], []
+    for row in runs.to_pylist():
+        lows.append(np.repeat(expand_sorted(row["low"]), expand(row["many"]).astype(np.int64)))
+        chunks.append(expand_sorted(row["chunks"])[expand(row["of"]).astype(np.int64)])
+    return lows, chunks
+
+
+def _run(bucket: int, low: np.ndarray, mark: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> tuple:
+    names, of = np.unique(held[1], return_inverse=True)
+    many = np.diff(np.append(np.searchsorted(held[0], low), len(held[0])))
+    return bucket, squeeze_sorted(low), np.packbits(mark).tobytes(), squeeze(many.astype(np.uint64)), squeeze_sorted(names), squeeze(of.astype(np.uint64))
+
+
 def _new_run(asked: pa.Table, runs: pa.Table) -> pa.Table:
     """A batch's sorted fingerprints of one bucket, merge-joined with the runs so far."""
     if not asked.num_rows:
         return _RUN.empty_table()
-    low, mark = _merged(*_lists(asked))
-    held, _ = _merged(*_lists(runs))
-    if len(held):
-        at = np.minimum(np.searchsorted(held, low), len(held) - 1)
-        mark = mark | (held[at] == low)
-    return pa.table([pa.array([asked.column("bucket")[0].as_py()], pa.int32()), pa.array([squeeze_sorted(low)]), pa.array([np.packbits(mark).tobytes()])], schema=_RUN)
+    lists, marks = _lists(asked)
+    low, mark = _merged(lists, marks)
+    before, _ = _merged(*_lists(runs))
+    if len(before):
+        at = np.minimum(np.searchsorted(before, low), len(before) - 1)
+        mark = mark | (before[at] == low)
+    held = _holders(lists, [np.full(len(x), c, np.uint64) for x, c in zip(lists, asked.column("chunk").to_pylist())])
+    return pa.Table.from_batches([_batch([_run(asked.column("bucket")[0].as_py(), low, mark, held)], _RUN)])
+
+
+def _compacted(n: int):
+    """All runs of one bucket as one, dealt to ``n`` buckets in all."""
+
+    def rows(runs: pa.Table) -> pa.Table:
+        low, mark = _merged(*_lists(runs))
+        held = _holders(*_held_by(runs))
+        of, of_held, out = _of_bucket(low, n), _of_bucket(held[0], n), []
+        for b in np.unique(of).tolist():
+            out.append(_run(b, low[of == b], mark[of == b], tuple(x[of_held == b] for x in held)))
+        return pa.Table.from_batches([_batch(out, _RUN)])
+
+    return rows
 
 
-def _compacted(runs: pa.Table) -> pa.Table:
-    low, mark = _merged(*_lists(runs))
-    return pa.table([pa.array([runs.column("bucket")[0].as_py()], pa.int32()), pa.array([squeeze_sorted(low)]), pa.array([np.packbits(mark).tobytes()])], schema=_RUN)
+def _sharing(asked: pa.Table, runs: pa.Table) -> pa.Table:
+    """The chunks in the runs that hold a fingerprint of the chunks that ask."""
+    lists, _ = _lists(asked)
+    low, chunk = _holders(*_held_by(runs))
+    wanted = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
+    if not len(wanted) or not len(low):
+        return pa.table([pa.array([], pa.int64())], names=["chunk"])
+    at = np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)
+    return pa.table([pa.array(np.unique(chunk[wanted[at] == low]).astype(np.int64))], names=["chunk"])
 
 
 def _answer_minimisers(asked: pa.Table, runs: pa.Table) -> pa.Table:
@@ -236,9 +296,10 @@ def _answer_minimisers(asked: pa.Table, runs: pa.Table) -> pa.Table:
 
 def _told(answers: pa.Table, n: int, of_bucket: np.ndarray) -> np.ndarray:
     """The answers to a chunk's distinct ascending hashes, in their order."""
-    out = np.zeros(len(of_bucket), bool)
+    out, order = np.zeros(len(of_bucket), bool), np.argsort(of_bucket, kind="stable")
+    ends = np.searchsorted(of_bucket[order], np.arange(n + 1))
     for b, seen in zip(answers.column("bucket").to_pylist(), answers.column("seen").to_pylist()):
-        at = np.flatnonzero(of_bucket == b)
+        at = order[ends[b] : ends[b + 1]]
         out[at] = _bits(seen, len(at))
     return out
 
@@ -321,78 +382,130 @@ def _remove(window: int, n: int):
 
 
 class FingerprintLog:
-    """Batches of documents and their runs of fingerprints, in the shared folder."""
+    """Batches of documents and their runs of fingerprints, in a folder that later sessions can open.
+
+    Without ``folder`` the log is a scratch folder, deleted when the driver ends. One writer at a time.
+    """
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, max_runs: int = MAX_RUNS, chunk_bytes: int = CHUNK_BYTES):
+    def __init__(self, spark: SparkSession, window: int = WINDOW, max_runs: int = MAX_RUNS, chunk_bytes: int = CHUNK_BYTES, folder: str | None = None):
         self.spark, self.window, self.max_runs, self.chunk_bytes = spark, window, max_runs, chunk_bytes
-        self.n = buckets(spark)
+        self.folder = (folder or scratch(spark, "fingerprints")).rstrip("/")
+        self.n, self.steps = buckets(spark), 0
+        self.words: list[int] = []
         self.batches: list[DataFrame] = []
-        self.runs: list[DataFrame] = []
-
-    def _held(self, runs: list[DataFrame]) -> DataFrame:
-        out = self.spark.createDataFrame([], _sql(_RUN))
-        for run in runs:
-            out = out.unionByName(run)
-        return out
-
-    def _write_run(self, run: DataFrame) -> DataFrame:
-        path = f"{scratch(self.spark, 'fingerprint-run')}/rows"
-        run.write.parquet(path)
-        return self.spark.read.schema(_sql(_RUN)).parquet(path)
+        self.paths: list[str] = []
+        self.runs: list[str] = []
+        self.reread = 0  # old chunks that the last ``resolve`` read again
+        if found := [x for x in names_in(spark, f"{self.folder}/manifest") if x.endswith(".json")]:
+            held = json.loads(spark.read.option("wholetext", True).text(f"{self.folder}/manifest/{found[-1]}").first().value)
+            if held["window"] != window:
+                raise ValueError(f"the log in {self.folder} has windows of {held['window']} words")
+            self.n, self.steps, self.words, self.paths, self.runs = held["n"], held["steps"], held["words"], held["batches"], held["runs"]
+            self.batches = [spark.read.schema(_sql(_CHUNK)).parquet(f"{self.folder}/{x}") for x in self.paths]
+
+    def _commit(self) -> None:
+        self.steps += 1
+        held = {"window": self.window, "n": self.n, "steps": self.steps, "words": self.words, "batches": self.paths, "runs": self.runs}
+        write_text(self.spark, f"{self.folder}/manifest/{self.steps:08d}.json", json.dumps(held))
+
+    def _held(self) -> DataFrame:
+        if not self.runs:
+            return self.spark.createDataFrame([], _sql(_RUN))
+        return self.spark.read.schema(_sql(_RUN)).parquet(*(f"{self.folder}/{x}" for x in self.runs))
+
+    def _marks(self) -> DataFrame:
+        return self._held().select("bucket", "low", "twice")
+
+    def _write_run(self, run: DataFrame) -> str:
+        """The run's place in the folder; a place that a lost driver left unfinished is written over."""
+        name = f"runs/{self.steps:08d}"
+        run.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return name
 
     def _asked(self, chunks: DataFrame) -> DataFrame:
-        return chunks.select("chunk", "sizes", "words").mapInArrow(_ask_minimisers(self.window, self.n), _sql(_ASK))
+        return chunks.select("chunk", "sizes", "words").mapInArrow(_ask_minimisers(self.window, self.n), _sql(_ASK)).select("chunk", "bucket", "low", "twice")
 
     def ingest(self, docs: DataFrame) -> None:
         """Add a batch: its texts as chunks, its fingerprints as a new run merged against the runs so far."""
         rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        chunks = bucketed(rows.mapInArrow(_gather(self.chunk_bytes), _sql(_CHUNK)), "chunk", "substring_chunks")
-        asked = self._asked(chunks).select("bucket", "low", "twice")
-        run = asked.groupBy("bucket").cogroup(self._held(self.runs).groupBy("bucket")).applyInArrow(_new_run, _sql(_RUN))
-        self.batches.append(chunks)
-        self.runs.append(self._write_run(run))
+        # A step that a lost driver began has no manifest; its chunks stay unread under another name.
+        name = f"chunks/{self.steps:08d}-{uuid.uuid4().hex[:8]}"
+        gathered = rows.mapInArrow(_gather(self.chunk_bytes, len(self.batches)), _sql(_CHUNK))
+        chunks = bucketed(gathered, "chunk", "substring_chunks", f"{self.folder}/{name}", dealt=True)
+        words = chunks.agg(F.sum("n_words")).first()[0] or 0
+        n = self.n
+        while n * BUCKET_WORDS < sum(self.words) + words:
+            n *= 2
+        if n > self.n:
+            self._compact(n)
+        asked = self._asked(chunks)
+        run = asked.groupBy("bucket").cogroup(self._marks().groupBy("bucket")).applyInArrow(_new_run, _sql(_RUN))
+        self.runs = [*self.runs, self._write_run(run)]
+        self.batches, self.paths, self.words = [*self.batches, chunks], [*self.paths, name], [*self.words, words]
+        self._commit()
         if len(self.runs) > self.max_runs:
             self.compact()
 
     def compact(self) -> None:
         """Merge all runs into one."""
         if len(self.runs) > 1:
-            self.runs = [self._write_run(self._held(self.runs).groupBy("bucket").applyInArrow(_compacted, _sql(_RUN)))]
+            self._compact(self.n)
+
+    def _compact(self, n: int) -> None:
+        if self.runs:
+            self.runs = [self._write_run(self._held().groupBy("bucket").applyInArrow(_compacted(n), _sql(_RUN)))]
+        self.n = n
+        self._commit()
+
+    def _old_chunks(self, asked: DataFrame, only: list[int]) -> list[DataFrame]:
+        """Chunks of the other batches that share a fingerprint with those that ask."""
+        batch = F.shiftright("chunk", BATCH_BITS)
+        shared = asked.groupBy("bucket").cogroup(self._held().groupBy("bucket")).applyInArrow(_sharing, "chunk long").distinct()
+        shared = materialize(shared.where(~batch.isin(only)), "fingerprint-shared")
+        counts = {r.batch: r.n for r in shared.groupBy(batch.alias("batch")).agg(F.count("*").alias("n")).collect()}
+        self.reread, out = sum(counts.values()), []
+        for k, n in sorted(counts.items()):
+            wanted = shared.where(batch == k)
+            if n <= NAMED_CHUNKS:
+                out.append(self.batches[k].where(F.col("chunk").isin([r.chunk for r in wanted.collect()])))
+            else:
+                out.append(self.batches[k].join(F.broadcast(wanted) if n <= BROADCAST_CHUNKS else wanted, "chunk", "left_semi"))
+        return out
 
     def resolve(self, only: list[int] | None = None) -> DataFrame:
-        """doc_id, n_words, n_removed and kept_text of the documents of all batches, or of those numbered."""
-        runs = self._held(self.runs)
+        """doc_id, n_words, n_removed and kept_text of the documents of all batches, or of those numbered.
+
+        For some batches, the others' texts are read only where the runs name a chunk that shares a fingerprint.
+        """
+        self.reread = 0
+        asking = list(range(len(self.batches))) if only is None else only
+        mine = [self.batches[k] for k in asking]
+        if not mine:
+            return self.spark.createDataFrame([], _sql(_OUT))
+        old = []
+        if only is not None and len(only) < len(self.batches):
+            asked = None
+            for chunks in mine:
+                asked = self._asked(chunks) if asked is None else asked.unionByName(self._asked(chunks))
+            old = self._old_chunks(asked, only)
         questions, firsts = None, []
-        for chunks in self.batches:
-            asked = self._asked(chunks).select("chunk", "bucket", "low", "twice")
-            first = asked.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_answer_minimisers, _sql(_ANSWER))
-            path = f"{scratch(self.spark, 'fingerprint-answers')}/rows"
-            first.write.parquet(path)
-            firsts.append(self.spark.read.schema(_sql(_ANSWER)).parquet(path))
-        for k, (chunks, first) in enumerate(zip(self.batches, firsts)):
+        for chunks in mine + old:
+            first = self._asked(chunks).groupBy("bucket").cogroup(self._marks().groupBy("bucket")).applyInArrow(_answer_minimisers, _sql(_ANSWER))
+            firsts.append(materialize(first, "fingerprint-answers"))
+        for chunks, first in zip(mine + old, firsts):
             texts = chunks.select("chunk", "sizes", "words")
             asks = texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(_ask_windows(self.window, self.n), _sql(_ASK))
-            # Chunks of different batches may share a number.
-            asks = asks.withColumn("batch", F.lit(k))
             questions = asks if questions is None else questions.unionByName(asks)
-        if questions is None:
-            return self.spark.createDataFrame([], _sql(_OUT))
-        second = questions.groupBy("bucket").applyInArrow(_answer_batches, _sql(_ANSWER) + ", batch int")
-        path = f"{scratch(self.spark, 'window-answers')}/rows"
-        second.write.parquet(path)
-        second = self.spark.read.schema(_sql(_ANSWER) + ", batch int").parquet(path)
+        second = materialize(questions.groupBy("bucket").applyInArrow(_answer_windows, _sql(_ANSWER)), "window-answers")
         out = None
-        for k in range(len(self.batches)) if only is None else only:
-            told = firsts[k].withColumn("step", F.lit(1)).unionByName(second.where(F.col("batch") == k).drop("batch").withColumn("step", F.lit(2)))
-            found = self.batches[k].groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_remove(self.window, self.n), _sql(_OUT))
+        for k, chunks, first in zip(asking, mine, firsts):
+            told = first.withColumn("step", F.lit(1)).unionByName(second.where(F.shiftright("chunk", BATCH_BITS) == k).withColumn("step", F.lit(2)))
+            texts = chunks.select("chunk", "doc_ids", "sizes", "words")
+            found = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_remove(self.window, self.n), _sql(_OUT))
             out = found if out is None else out.unionByName(found)
         return out
 
 
-def _answer_batches(asked: pa.Table) -> pa.Table:
-    return _answer_windows(asked).append_column("batch", asked.column("batch"))
-
-
 def remove(docs: DataFrame, window: int = WINDOW, n_batches: int = 2, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of every document, taken in as ``n_batches`` batches."""
     log = FingerprintLog(docs.sparkSession, window, chunk_bytes=chunk_bytes)

@@ -53,6 +53,44 @@ def test_incremental_batch_is_judged_against_history(spark):
     assert {r.doc_id: (r.n_removed, r.kept_text) for r in log.resolve(only=[1]).collect()} == {3: (50, "new start"), 4: (0, "fresh text")}
 
 
+def test_a_later_session_opens_the_log_and_reads_few_old_texts(spark, tmp_path):
+    """Forty old chunks, of which one shares a passage with the new batch: one is read again."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    old = [(k, words(120)) for k in range(40)]
+    new = [(100, "start " + " ".join(old[7][1].split()[20:80]) + " end"), (101, words(90)), (102, words(50)), (103, None)]
+    frame = lambda s, rows: s.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    first = substring_dedup.FingerprintLog(spark, 35, chunk_bytes=1, folder=f"{tmp_path}/log")
+    first.ingest(frame(spark, old))
+    later = substring_dedup.FingerprintLog(spark.newSession(), 35, chunk_bytes=1, folder=f"{tmp_path}/log")
+    later.ingest(frame(later.spark, new))
+    want = [x for x in brute(old + new, 35) if int(x[0]) >= 100]
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in later.resolve(only=[1]).collect()) == want
+    assert later.reread == 1
+    third = substring_dedup.FingerprintLog(spark, 35, chunk_bytes=1, folder=f"{tmp_path}/log")
+    third.ingest(frame(spark, [(200, words(60))]))
+    third.compact()
+    assert [(r.doc_id, r.n_removed) for r in third.resolve(only=[2]).collect()] == [(200, 0)] and third.reread == 0
+    assert sorted((str(r.doc_id), r.n_removed) for r in third.resolve().collect() if r.doc_id < 200) == [(i, n) for i, _, n, _ in brute(old + new, 35)]
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintLog(spark, 20, folder=f"{tmp_path}/log")
+
+
+def test_buckets_follow_the_words(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BUCKET_WORDS", 10)
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{rng.randrange(9)}" for _ in range(30))) for k in range(120)]
+    log = substring_dedup.FingerprintLog(spark, 6, chunk_bytes=500)
+    before = log.n
+    for part in (rows[:30], rows[30:60], rows[60:]):
+        log.ingest(spark.createDataFrame(part, "doc_id long, text string"))
+    assert log.n >= 4 * before
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in log.resolve().collect()) == brute(rows, 6)
+    # One very long text, and a session's own choice of chunks.
+    long = " ".join(f"v{rng.randrange(50)}" for _ in range(200_000))
+    assert [(r.n_words, r.n_removed) for r in substring_dedup.remove(spark.createDataFrame([(1, long)], "doc_id long, text string"), 35).collect()] == [(200_000, 0)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.remove(docs).count() == 0

@@ -9,9 +9,11 @@ Rows of a digest are counted within each task before they are shuffled, so a
 digest that a third of all rows share is one small row per task.
 
 A hit (a digest whose group has more than one row) is then checked in full:
-the bytes of every row of the group are compared with the bytes that the
-locator points to. Should two texts share a digest and differ, the group is
-split by the texts themselves, so a collision cannot drop a document.
+the bytes of every row of the group are compared, as the least and the greatest
+text of the digest, which each task finds for its own rows first, so that a
+large group is a few rows a task. Should two texts share a digest and differ,
+the group is split by the texts themselves, so a collision cannot drop a
+document.
 
 Defined results: a null text counts as empty and equals an empty text. The row
 with the largest doc_id stays; of rows that share it, the one with the largest
@@ -29,16 +31,21 @@ from pyspark.sql.utils import AnalysisException
 
 from lodestone.llm.common import materialize, scratch, sha256_hex
 
-#: State on disk; changes rather than whole files go to the checkpoint folder; no disk space is set aside ahead of use, as state is spread over many small stores.
+#: State on disk; changes rather than whole files go to the checkpoint folder; no disk space is set aside ahead of use, as state is spread over many small
+#: stores; memory outside the heap is bounded for all stores of an executor together.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 #: Bytes of staged digests that one micro-batch takes.
 BATCH_BYTES = 4 << 30
 #: Groups with hits up to which their digests (about 200 bytes a group) are sent to every executor; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Parts that the rows of a digest are dealt to where hits are joined by shuffle.
+SALTS = 16
 
 _EVENT = "digest binary, doc_id long, locator string, n long"
 
@@ -124,19 +131,21 @@ def _held_state(rows: DataFrame, files_per_batch: int | None = None) -> DataFram
 
 
 def verify(rows: DataFrame, state: DataFrame) -> DataFrame | None:
-    """Full bytes of every hit against its locator's; the digests that hold different texts.
+    """Full bytes of every row of every hit; the digests that hold different texts.
 
     None when there is none, which is the case with any cryptographic digest.
     """
-    hits = state.where("__size > 1").drop("__size")
+    hits = state.where("__size > 1").select("__digest")
     if hits.count() <= BROADCAST_ROWS:
-        hits = F.broadcast(hits)
-    members = rows.select("__digest", "__id", "__locator", "__text").join(hits, "__digest")
-    held = members.where(_is_kept()).dropDuplicates(["__digest"]).select("__digest", F.col("__text").alias("__kept_text"))
-    wrong = members.join(held, "__digest").where(F.col("__text") != F.col("__kept_text"))
-    # Written before it is made distinct: so the join's hot digests can still be split among tasks.
-    wrong = materialize(wrong.select("__digest"), "exact-collisions")
-    return None if wrong.isEmpty() else wrong.distinct()
+        members = rows.select("__digest", "__text").join(F.broadcast(hits), "__digest", "left_semi")
+    else:
+        salt = F.pmod(F.xxhash64("__locator", "__id"), F.lit(SALTS)).cast("int")
+        hits = hits.select("__digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+        members = rows.select("__digest", "__text", salt.alias("__salt")).join(hits, ["__digest", "__salt"], "left_semi")
+    # All texts of a digest are equal in every byte if its least and its greatest are; both are found within each task first.
+    ends = members.groupBy("__digest").agg(F.min("__text").alias("__low"), F.max("__text").alias("__high"))
+    wrong = materialize(ends.where(F.col("__low") != F.col("__high")).select("__digest"), "exact-collisions")
+    return None if wrong.isEmpty() else wrong
 
 
 def _resolved(rows: DataFrame, state: DataFrame, wrong: DataFrame | None) -> DataFrame:

@@ -35,6 +35,14 @@ def test_edge_rows_and_colliding_digest(spark, digest):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
 
+def test_hits_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame(ROWS + [(k, "hot") for k in range(100, 300)], "doc_id long, text string").repartition(4)
+    for digest in (exact_dedup.default_digest, lambda text: F.length(text).cast("string").cast("binary")):
+        got = exact_dedup.groups(docs, digest).collect()
+        assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == _brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_survivors_keep_one_row_and_all_columns(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "l") for i, t in ROWS], "doc_id long, text string, best string")
     docs.repartition(3).write.parquet(str(tmp_path / "docs"))

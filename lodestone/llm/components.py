@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize
@@ -13,23 +13,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round is two aggregations and joins by node; its edges are written to
     the shared folder, so lineage stays short. A node with very many neighbours
-    is aggregated within tasks first, and its join is split by the engine.
+    is aggregated within tasks first. The result, one row a node, is written
+    too: so the join's edges come straight from their own exchange, and the
+    engine can split a node's edges among tasks, or send the few rows around.
     """
     held = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "components")
     before = None
     for _ in range(max_rounds):
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        held = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).distinct().select("u", "v"), "components")
-        # Every node points at one root and no root at anything: a forest of stars.
-        now = held.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
-        if now == before:
+        after = small.where("u <> v").select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).distinct().select("u", "v")
+        # Every node points at one root and no root at anything: a forest of stars. Counted while it is written.
+        watch = Observation()
+        held = materialize(after.observe(watch, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "components")
+        if watch.get == before:
             break
-        before = now
+        before = watch.get
     else:
         raise RuntimeError("components did not settle")
     star = held.select(F.col("v").alias("node"), F.col("u").alias("label"))

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import buckets, materialize
+from lodestone.llm.common import buckets, give_back, materialize
 from lodestone.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -60,6 +60,8 @@ LEAF, DEEPEST, CLUSTER = 8192, 5, 2048
 #: Documents up to which the ids to fetch are sent to every executor (8 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 NO_ID = -(2**63)
+#: Words whose hashes a task remembers (about 150 bytes each).
+KNOWN_WORDS = 100_000
 
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 2**64, PLACES, np.uint64) | np.uint64(1)
@@ -87,8 +89,10 @@ def shingles(text: str | None, size: int, index: dict[bytes, int]) -> np.ndarray
 
 
 class _Words(dict):
+    """Word hashes, at most ``KNOWN_WORDS`` at a time."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         made = self[word] = xxhash.xxh3_64_intdigest(word)
         return made
@@ -129,6 +133,8 @@ def _sketch(size: int):
                     out[1].append(_key(s) if len(s) else None)
                     out[2].append(signature(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, f.type) for c, f in zip(out, list(_SKETCH)[2:]))], schema=_SKETCH)
+        index.clear()
+        give_back()
 
     return rows
 
@@ -172,6 +178,16 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _smallest(label: np.ndarray, key: list[bytes], order: np.ndarray) -> np.ndarray:
+    """``label`` with the smallest key of each component as its name, so that no set has many smaller neighbours."""
+    ranked = np.array(sorted(range(len(order)), key=lambda k: key[order[k]]), np.int64)
+    place = np.empty(len(order), np.int64)
+    place[ranked] = np.arange(len(order))
+    first = np.full(len(order), len(order), np.int64)
+    np.minimum.at(first, label, place)
+    return ranked[first[label]] if len(order) else label
+
+
 def _likely(least: int):
     """Leaves of one bucket, compared exhaustively on sketches: a forest of likely links."""
 
@@ -212,7 +228,7 @@ def _likely(least: int):
             ones.append(np.flatnonzero(label != np.arange(size)) + start)
             others.append(label[ones[-1] - start] + start)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ones, others))
-        label = _labels(n, a, b)
+        label = _smallest(_labels(n, a, b), key, order)
         far = np.flatnonzero(label != np.arange(n))
         u, v = order[label[far]], order[far]
         return pa.table([pa.array([key[i] for i in u], pa.binary()), pa.array([key[i] for i in v], pa.binary())], schema=_EDGE)
@@ -227,6 +243,8 @@ def _full_sets(size: int):
             for at in range(0, batch.num_rows, 512):
                 sets = [shingles(x.as_py(), size, index) for x in batch.column(0).slice(at, 512)]
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=_SET)
+        index.clear()
+        give_back()
 
     return rows
 
@@ -345,9 +363,11 @@ def links(docs: DataFrame, sketches: DataFrame, size: int, percent: int, trees:
     sets = sketches.where("n > 0").dropDuplicates(["key"]).select("key", "sig")
     likely = likely_links(sets, percent, trees or trees_for(percent), leaf, deepest)
     rough = components(likely)
-    sizes = rough.groupBy("label").agg(F.count("*").alias("size_of"))
+    # Written, so that the join's members come straight from their own exchange and a large cluster's can be split.
+    sizes = materialize(rough.groupBy("label").agg(F.count("*").alias("size_of")), "near-sizes")
     members = materialize(rough.join(sizes, "label").select(F.col("node").alias("key"), F.col("label").alias("cluster"), "size_of"), "near-clusters")
-    wanted = materialize(sketches.where("n > 0").groupBy("key").agg(F.min("id").alias("id")).join(members, "key"), "near-wanted")
+    own = F.min(F.when(F.col("id") != NO_ID, F.col("id")))
+    wanted = materialize(sketches.where("n > 0").groupBy("key").agg(F.coalesce(own, F.lit(NO_ID)).alias("id")).join(members, "key"), "near-wanted")
     ids = wanted.select("id").distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
@@ -388,9 +408,9 @@ def _labelled(docs: DataFrame, sketches: DataFrame, size: int, percent: int, **o
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     sketches = sketched(docs, size)
-    whole = _labelled(docs, sketches, size, percent, **options).drop("mark")
-    # The smallest id per component from one row per distinct set and task.
-    least = whole.groupBy("label").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("component_id"))
+    whole = materialize(_labelled(docs, sketches, size, percent, **options).drop("mark"), "near-labels")
+    # The smallest id per component from one row per component and task; written, so that the join can split a large one.
+    least = materialize(whole.groupBy("label").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("component_id")), "near-least")
     real = F.when(F.col("id") != NO_ID, F.col("id"))
     found = whole.join(least, "label").select(real.alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     found = found.unionByName(sketches.where("n = 0").select(real.alias("doc_id"), F.col("n").alias("n_shingles"), real.alias("component_id")))

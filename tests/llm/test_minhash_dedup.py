@@ -109,6 +109,27 @@ def test_pairs_in_large_nodes_are_found(spark):
     assert len(lost) <= 2 * 600 * (1 - 0.8**2) ** 4  # four trees miss so many by depth 2; deeper nodes add next to none
 
 
+def test_recall_of_the_default_trees_in_branching_nodes(spark):
+    """Thousands of pairs at the threshold, leaves so small that every depth is used: none is missed."""
+    rng = np.random.default_rng(8)
+    places, base, rows = minhash_dedup.PLACES, rng.integers(0, 2**31, minhash_dedup.PLACES), []
+    for k in range(1500):
+        a = np.where(rng.random(places) < 0.35, base, rng.integers(0, 2**32, places))
+        b = np.where(rng.random(places) < 0.8, a, rng.integers(0, 2**32, places))
+        rows += [(bytearray(f"{k}-{n}".encode()), bytearray(s.astype(np.uint32).tobytes())) for n, s in (("a", a), ("b", b))]
+    sets = spark.createDataFrame(rows, "key binary, sig binary")
+    found = minhash_dedup.likely_links(sets, 80, minhash_dedup.trees_for(80), 4, minhash_dedup.DEEPEST)
+    label = {bytes(r.node).decode(): bytes(r.label) for r in components(found).collect()}
+    alike = [k for k in range(1500) if (np.frombuffer(bytes(rows[2 * k][1]), np.uint32) == np.frombuffer(bytes(rows[2 * k + 1][1]), np.uint32)).mean() >= 0.8]
+    lost = [k for k in alike if f"{k}-a" not in label or label[f"{k}-a"] != label.get(f"{k}-b")]
+    assert len(alike) > 600 and not lost
+
+
+def test_the_smallest_key_names_a_component():
+    label, key = np.array([0, 1, 0, 0, 1]), [b"d", b"z", b"b", b"c", b"a"]
+    assert minhash_dedup._smallest(label, key, np.arange(5)).tolist() == [2, 4, 2, 2, 4]
+
+
 def test_survivors_keep_one_row_of_each_component_whatever_its_id(spark):
     a, b, c, d = (" ".join(f"{x}{n}" for n in range(60)) for x in "abcd")
     rows = [(None, a), (None, a + " more"), (None, a), (None, b), (4, b + " more"), (5, c), (5, d), (2, d + " more"), (None, None), (None, None), (None, " "), (7, None), (7, ""), (7, "")]

@@ -24,13 +24,13 @@ def _brute(rows, k, scale=64.0):
     return sorted(out)
 
 
-@pytest.mark.parametrize("spread,size", [(0.5, 40), (0.02, 40), (1e6, 6)])
-def test_edge_rows_and_ties(spark, spread, size):
+@pytest.mark.parametrize("spread,size,passes", [(0.5, 40, 1 << 20), (0.02, 40, 3000), (1e6, 6, 1)])
+def test_edge_rows_and_ties(spark, spread, size, passes):
     rng = np.random.default_rng(7)
     rows = [(k, [float(x) for x in np.round(rng.normal(0, spread, 24), 2)]) for k in range(size * 4)]
     rows += [(1001, rows[3][1]), (1002, rows[3][1]), (1005, rows[3][1]), (2000, None), (2005, [1.0, None] + [0.0] * 22), (2010, [float("nan")] * 24), (2015, [float("inf")] * 24), (3000, [0.5, 0.25]), (3005, [0.1, -0.9]), (3010, []), (3015, []), (None, rows[0][1])]
     data = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int").repartition(3)
-    got = topk_search.top_k(data, F.col("vec_id") % 5 == 0, k=4, query_block=7, candidate_block=33).collect()
+    got = topk_search.top_k(data, F.col("vec_id") % 5 == 0, k=4, query_block=7, candidate_block=33, seed_rows=20, pass_bytes=passes).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == _brute(rows, 4)
     assert topk_search.top_k(data.limit(0), F.lit(True)).count() == 0
 
@@ -59,3 +59,16 @@ def test_known_scores_prune_the_next_block_and_lose_nothing():
         assert all(sorted(s[r == k].tolist()) == full[k, -10:].astype(int).tolist() for k in range(5))
         shares.append(kept)
     assert shares[1][-1] <= shares[0][-1] < 0.2
+
+
+def test_fewer_products_than_brute_force_on_even_vectors():
+    """Vectors without any skew, 200 queries in a block: known scores let each query drop most of the last dimensions."""
+    rng = np.random.default_rng(6)
+    c = np.floor(64 * rng.normal(0, 0.125, (64, 4000)))
+    q = c[:, :200] * 1.0
+    score = q.T @ c
+    score[np.arange(200), np.arange(200)] = -np.inf
+    known, kept = np.sort(score, axis=1)[:, -20], []
+    r, x, s = topk_search.block_top_k(np.arange(200), q, np.arange(4000), c, 20, known=known, kept=kept)
+    assert all(sorted(s[r == n].tolist()) == np.sort(score[n])[-20:].astype(int).tolist() for n in range(200))
+    assert kept[-1] < 0.1 and sum(kept) / len(kept) < 0.85

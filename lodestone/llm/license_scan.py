@@ -1,12 +1,14 @@
 """License scans through a positional index of rare licence words.
 
 Every licence template is a list of words with a mandatory key phrase. The
-index holds each template under the highest-IDF word of its key phrase (IDF over
-all documents), with that word's positions in the template. A document looks up
-the rare words it holds; each posting gives a template and the relative
-position at which it would start. The postings meet at that relative position:
-the key phrase must match word for word, and the matching words must carry
-enough of the template's IDF. A base phrase is a template that is all key.
+index holds each template under the two highest-IDF words of its key phrase (IDF
+over all documents), each with its positions in the template. A file that can
+match a template holds both, so it looks up its own highest-IDF licence words:
+each posting gives a template and the relative position at which it would start.
+The postings of a template's two words are intersected by that relative
+position; where they meet, the key phrase must match word for word, and the
+matching words must carry enough of the template's IDF. A base phrase is a
+template that is all key.
 
 Everything is DataFrame expressions, local to a row; the only shuffle is the
 count of documents per licence word, aggregated within each task first. What
@@ -52,6 +54,41 @@ NOTICES = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software", "isc"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license", "mpl-2.0"),
     ("this is free and unencumbered software released into the public domain", "free and unencumbered software", "unlicense"),
+    ("you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "not use this file except in compliance with the license", "apache-2.0"),
+    (
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied",
+        "unless required by applicable law or agreed to in writing software distributed under the license", "apache-2.0",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version",
+        "gnu general public license as published by the free software foundation", "gpl-notice",
+    ),
+    (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation "
+        "either version 2 1 of the license or at your option any later version",
+        "gnu lesser general public license as published by the free software foundation", "lgpl",
+    ),
+    (
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "deal in the software without restriction", "mit",
+    ),
+    (
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement",
+        "provided as is without warranty of any kind express or implied", "mit",
+    ),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "must retain the above copyright notice this list of conditions", "bsd"),
+    (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission",
+        "names of its contributors may be used to endorse or promote products", "bsd-3-clause",
+    ),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights", "cc0"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "eclipse public license", "epl"),
+    ("in no event will the authors be held liable for any damages arising from the use of this software", "will the authors be held liable for any damages", "zlib"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software", "bsl-1.0"),
 )
 
 
@@ -87,28 +124,29 @@ def scan(docs: DataFrame, least_match: float = LEAST_MATCH) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and matches."""
     listed = templates()
     weight = idf(docs, sorted({w for t in listed for w in t["words"]}))
-    index: dict[str, list[dict]] = {}
+    first, second = {}, {}
     for k, t in enumerate(listed):
         a, b = t["key"]
-        rare = max(t["words"][a:b], key=lambda w: (weight[w], w))
-        index.setdefault(rare, []).extend({"t": k, "q": q} for q in range(a, b) if t["words"][q] == rare)
+        for index, rare in zip((first, second), sorted(set(t["words"][a:b]), key=lambda w: (-weight[w], w))):
+            index.setdefault(rare, []).extend({"t": k, "q": q} for q in range(a, b) if t["words"][q] == rare)
     spec = [
         {"label": t["label"], "base": t["base"], "total": sum(weight[w] for w in t["words"]), "words": [{"q": q, "w": w, "idf": weight[w], "key": t["key"][0] <= q < t["key"][1]} for q, w in enumerate(t["words"])]}
         for t in listed
     ]
     shape = "array<struct<label:string,base:boolean,total:double,words:array<struct<q:int,w:string,idf:double,key:boolean>>>>"
     listing = F.from_json(F.lit(json.dumps(spec)), shape)
-    postings = F.from_json(F.lit(json.dumps([{"w": w, "at": at} for w, at in sorted(index.items())])), "array<struct<w:string,at:array<struct<t:int,q:int>>>>")
-
     low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered(F.col("text")).alias("__low"))
-    rare_words = sorted(index)
     holds = F.lit(False)
-    for w in rare_words:
+    for w in sorted(first):
         holds = holds | F.contains(F.col("__low"), F.lit(w))
     split = low.select("doc_id", words_of(F.col("__low")).alias("__words"), holds.alias("__holds"))
     words = F.col("__words")
-    rare = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h.w.isin(rare_words))
-    starts = F.flatten(F.transform(rare, lambda h: F.transform(F.filter(postings, lambda p: p.w == h.w)[0]["at"], lambda p: F.struct(p.t.alias("t"), (h.i - p.q).alias("o")))))
+
+    def starts(index: dict[str, list[dict]]) -> Column:
+        """Templates and the relative positions at which the postings of a file's words say they start."""
+        postings = F.from_json(F.lit(json.dumps([{"w": w, "at": at} for w, at in sorted(index.items())])), "array<struct<w:string,at:array<struct<t:int,q:int>>>>")
+        rare = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h.w.isin(sorted(index)))
+        return F.flatten(F.transform(rare, lambda h: F.transform(F.filter(postings, lambda p: p.w == h.w)[0]["at"], lambda p: F.struct(p.t.alias("t"), (h.i - p.q).alias("o")))))
 
     def meet(c: Column) -> Column:
         t = F.get(listing, c.t)
@@ -118,7 +156,7 @@ def scan(docs: DataFrame, least_match: float = LEAST_MATCH) -> DataFrame:
         return F.struct(t.label.alias("label"), t.base.alias("base"), c.o.alias("start"), key.alias("key"), F.when(t.base, F.lit(1.0)).otherwise(carried / t.total).alias("part"))
 
     none = F.from_json(F.lit("[]"), "array<struct<label:string,base:boolean,start:int,key:boolean,part:double>>")
-    met = F.when(F.col("__holds"), F.filter(F.transform(F.array_distinct(starts), meet), lambda m: m.key & (m.part >= least_match))).otherwise(none)
+    met = F.when(F.col("__holds"), F.filter(F.transform(F.array_intersect(starts(first), starts(second)), meet), lambda m: m.key & (m.part >= least_match))).otherwise(none)
     found = split.select("doc_id", F.size("__words").cast("long").alias("n_words"), met.alias("matches"))
     base = F.filter("matches", lambda m: m.base)
     places = F.transform(base, lambda m: m.start.cast("long"))

@@ -18,9 +18,17 @@ TEXTS = [
     None,
     "word " * 50000 + "apache license",
     "mit  license " * 3,
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis, WITHOUT WARRANTIES OR CONDITIONS of any kind, either express or implied. You may not use this file except in compliance with the License",
+    "licenses and the mit, a license of mit; gnu public general license",
 ]
 
 
+def test_templates_are_under_two_words_of_their_key():
+    for t in license_scan.templates():
+        a, b = t["key"]
+        assert len(set(t["words"][a:b])) >= 2
+
+
 def brute(text):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(fold))
@@ -44,5 +52,6 @@ def test_base_matches_brute_force(spark):
     assert got == want
     labels = {r.doc_id: r.labels for r in found}
     assert labels[0] == "cc-by,cc-by-nc" and labels[3] == "gpl,gpl-3.0" and labels[4] == "mit" and labels[5] == "bsd" and labels[6] == ""
+    assert labels[11] == "apache-2.0" and labels[12] == ""
     assert all(0 <= r.score <= 1 for r in found)
     assert license_scan.scan(docs.limit(0)).count() == 0

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bucketed, buckets
+from lodestone.llm.common import bucketed, buckets, give_back
 
 #: Characters of text, and distinct words, that close a chunk after the document that reaches them.
 CHUNK_CHARS = 8_000_000
@@ -91,6 +91,8 @@ def _pack(packed_buckets: int, chunk_chars: int):
                     index = defaultdict(count().__next__)
         if doc_ids:
             yield chunk()
+        doc_ids, places, index = [], [], {}
+        give_back()
 
     return rows
 
@@ -179,6 +181,16 @@ def _assemble(spec, ids_as_text: bool, out_schema: pa.Schema):
     return answer
 
 
+def _and_give_back(answer):
+    def told(*tables: pa.Table) -> pa.Table:
+        out = answer(*tables)
+        give_back()
+        return out
+
+    # Spark tells by the number of arguments whether a function takes the group's key.
+    return (lambda a: told(a)) if answer.__code__.co_argcount == 1 else (lambda a, b: told(a, b))
+
+
 def _piece(tokenizer, i: int) -> str:
     return tokenizer.id_to_token(i) or ""
 
@@ -200,12 +212,12 @@ def encode(docs: DataFrame, tokenizer_path: str, ids_as_text: bool = False, chun
     packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack(buckets(spark), chunk_chars), _PACKED)
     packed = bucketed(packed, "chunk", "bpe_chunks")
     asked = packed.where("bucket >= 0").select("chunk", "bucket", "words")
-    replies = asked.groupBy("bucket").applyInArrow(_encode_bucket(spec), _REPLY)
+    replies = asked.groupBy("bucket").applyInArrow(_and_give_back(_encode_bucket(spec)), _REPLY)
     chunks = packed.where("bucket < 0").select("chunk", "doc_ids", "sizes", "places", "order")
     kind = "string" if ids_as_text else "array<int>"
     out = f"doc_id long, n_tokens long, ids {kind}, decoded string"
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string() if ids_as_text else pa.list_(pa.int32())), ("decoded", pa.string())])
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_assemble(spec, ids_as_text, arrow), out)
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_and_give_back(_assemble(spec, ids_as_text, arrow)), out)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions.text import quality_score
+from lodestone.sources import pdf
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -26,13 +28,34 @@ def docx_text(content: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in root.iter(f"{_W}p"))
 
 
-def pdf_strings(content: bytes) -> str:
-    """Plain strings of uncompressed PDF text operators: a default without dependencies; real extractors plug in beside it."""
-    return "\n".join(x.decode("latin-1") for x in re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", content))
+#: kind -> extractors in order; of equally good texts the first wins.
+EXTRACTORS: dict[str, list[tuple[str, Callable[[bytes], str]]]] = {"docx": [("docx", docx_text)], "pdf": [("order", pdf.text_in_order), ("lines", pdf.text_by_lines)]}
 
 
-#: kind -> extractors in order; of equally good texts the first wins.
-EXTRACTORS: dict[str, list[tuple[str, Callable[[bytes], str]]]] = {"docx": [("docx", docx_text)], "pdf": [("pdf_strings", pdf_strings)]}
+def _head_field(lines: str, name: str) -> str:
+    m = re.search(rf"{name}:[ \t]*(.*)", lines)
+    return m[1].strip() if m else ""
+
+
+def docx_metadata(content: bytes) -> dict[str, str]:
+    """What the first five paragraphs say after Title:, Author(s):, Category: and Tags:."""
+    head = "\n".join(docx_text(content).split("\n")[:5])
+    return {field: _head_field(head, re.escape(name)) for field, name in (("title", "Title"), ("authors", "Author(s)"), ("category", "Category"), ("tags", "Tags"))}
+
+
+METADATA: dict[str, Callable[[bytes], dict[str, str]]] = {"pdf": pdf.metadata, "docx": docx_metadata}
+_FIELDS = ("title", "authors", "category", "tags")
+
+
+def metadata(files: DataFrame) -> DataFrame:
+    """filename, title, authors, category and tags of the scanned files, '' where a file says nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(f, METADATA.get(kind, lambda c: {})(bytes(c))) for f, kind, c in batch.itertuples(index=False)]
+            yield pd.DataFrame([(f, *(m.get(x, "") for x in _FIELDS)) for f, m in found], columns=["filename", *_FIELDS])
+
+    return files.select("filename", "kind", "content").mapInPandas(run, "filename string, title string, authors string, category string, tags string")
 
 
 def scan(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
@@ -74,8 +97,23 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", "true").option("mode", "PERMISSIVE").json(path).cache()
-    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # Whole files as text: what is no JSON of this shape becomes null, and nothing has to be held in memory.
+    whole = spark.read.option("wholetext", "true").text(path)
+    return whole.select(F.inline(F.from_json("value", f"array<struct<{_as_fields(schema)}>>")))
+
+
+def _as_fields(schema: str) -> str:
+    return ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in StructType.fromDDL(schema))
+
+
+def version(spark: SparkSession) -> str:
+    """What the store says of itself."""
+    return spark.version
+
+
+def first_entries(spark: SparkSession, path: str, n: int = 500) -> DataFrame:
+    """filename and chunk_id of any n stored chunks."""
+    return spark.read.parquet(path).select("filename", "chunk_id").limit(n)
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:

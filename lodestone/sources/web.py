@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from abc import ABC, abstractmethod
+from xml.etree import ElementTree
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 # Character references that occur in text, by name.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
@@ -23,11 +28,19 @@ def html_text(html: Column) -> Column:
     return F.array_join(F.filter(pieces, lambda x: x != ""), "\n")
 
 
+def section_texts(xml: str | None) -> str:
+    """Texts of all section elements, nested ones too, then of all content elements, one block each; '' for what is no XML."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return ""
+    found = (" ".join(" ".join(e.itertext()).split()) for e in [*root.findall(".//section"), *root.findall(".//content")])
+    return "\n\n".join(t for t in found if t)
+
+
 def xml_text(xml: Column) -> Column:
-    """Text of all section elements, then of all content elements, one block each."""
-    inner = [F.regexp_extract_all(xml, F.lit(f"(?s)<{t}\\b[^>]*>(.*?)</{t}>"), F.lit(1)) for t in ("section", "content")]
-    texts = F.transform(F.concat(*inner), lambda x: F.trim(F.regexp_replace(unescape(F.regexp_replace(x, "<[^>]+>", " ")), "\\s+", " ")))
-    return F.array_join(F.filter(texts, lambda x: x != ""), "\n\n")
+    """``section_texts`` in Arrow batches: nested elements are beyond a regular expression."""
+    return arrow_udf(lambda c: pa.array([section_texts(x) for x in c.to_pylist()], pa.string()), "string")(xml)
 
 
 def first_element(xml: Column, tag: str, default: str = "") -> Column:
@@ -61,3 +74,29 @@ def by_kind(files: DataFrame, readers: dict, name: str = "filename") -> DataFram
         part = reader(files.where(F.endswith(F.lower(name), F.lit(ending))))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+class Source(ABC):
+    """A named place that documents come from; a subclass says how to read them."""
+
+    name: str
+    kind: str = "document"
+
+    @abstractmethod
+    def read(self, spark: SparkSession) -> DataFrame:
+        """filename and text, and any further columns, of the documents that are there."""
+
+    def documents(self, spark: SparkSession, **extra: str) -> DataFrame:
+        """The documents with their metadata map: source, scrape_date, document_type, filename and what is given besides."""
+        said = {"source": F.lit(self.name), "scrape_date": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "document_type": F.lit(self.kind), "filename": F.col("filename")}
+        said |= {k: F.lit(v) for k, v in extra.items()}
+        return self.read(spark).withColumn("metadata", F.create_map(*[x for k, v in said.items() for x in (F.lit(k), v.cast("string"))]))
+
+
+def gathered(spark: SparkSession, sources: list[Source]) -> DataFrame | None:
+    """The documents of all sources; columns that one lacks are null."""
+    out = None
+    for source in sources:
+        rows = source.documents(spark)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out

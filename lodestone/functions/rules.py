@@ -51,8 +51,8 @@ ENTITY_PATTERNS = (
     ("AVIATION_ORG", r"\b(FAA|EASA|ICAO|IATA)\b"),
 )
 
-# Passage bonuses, as (query word prefix, words that the passage must hold, bonus).
-PASSAGE_BONUSES = (("classif", "classified in two areas", 1.0), ("measurand", "measurand list", 1.0))
+# Passage bonuses, as (query word, whether its beginning is enough, words that the passage must hold, bonus).
+PASSAGE_BONUSES = (("classif", True, "classified in two areas", 1.0), ("measurand", False, "measurand list", 1.0))
 
 # Categories and the phrases that count for them, in order of precedence.
 CATEGORIES = {
@@ -111,8 +111,21 @@ CATEGORIES = {
     ),
 }
 
-#: A small lexicon for the default sentiment scorer; any table (word, valence) can take its place.
+#: A small stand-in lexicon, with valences as public lexicons give them; any table (word, valence) can take its place.
 SENTIMENT = {"good": 1.9, "great": 3.1, "safe": 1.9, "best": 3.2, "clear": 1.6, "bad": -2.5, "trash": -1.5, "stupid": -2.4, "idiot": -2.3, "disgusting": -2.4, "worthless": -1.9, "threat": -2.4, "moron": -2.0}
 
+#: Word classes with few members, for the default tagger; a word of several classes has the first.
+CLOSED_CLASSES = {
+    "DET": ("the", "a", "an", "this", "that", "these", "those", "each", "every", "any", "some", "no"),
+    "ADP": ("of", "in", "on", "at", "by", "for", "with", "from", "into", "about", "under", "over", "between", "through", "during"),
+    "PRON": ("i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "who", "what", "which", "its", "their", "our", "your", "my"),
+    "CCONJ": ("and", "or", "but", "nor"),
+    "SCONJ": ("if", "because", "while", "when", "where", "although", "unless", "until", "as"),
+    "PART": ("to", "not"),
+    "AUX": ("is", "are", "was", "were", "be", "been", "being", "am", "can", "could", "will", "would", "shall", "should", "may", "might", "must", "has", "have", "had", "do", "does", "did"),
+}
+#: Endings of the default tagger's open classes, in order; any other word is a noun.
+OPEN_ENDINGS = (("ADV", "ly"), ("VERB", "ing|ed|ize|ise|ify"), ("ADJ", "ous|ful|ive|able|ible|al|ic|less"))
+
 #: Stand-in for an abbreviation file: lower-case key to expansion.
 ABBREVIATIONS = {"th": "the", "nd": "and", "ti": "time", "wh": "which", "sh": "shall", "er": "error"}

@@ -90,6 +90,46 @@ def plain_tokens(c: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(*rules.STOP_WORDS))
 
 
+def noun_lemma(w: Column) -> Column:
+    """The singular of a lower-case English plural by its ending; other words as they are."""
+    cut = lambda n: F.left(w, F.length(w) - n)
+    return (
+        F.when(F.length(w) < 4, w)
+        .when(F.endswith(w, F.lit("ies")), F.concat(cut(3), F.lit("y")))
+        .when(w.rlike("(ss|sh|ch|x|z)es$"), cut(2))
+        .when(w.rlike("men$"), F.concat(cut(2), F.lit("an")))
+        .when(w.rlike("[^siu]s$"), cut(1))
+        .otherwise(w)
+    )
+
+
+def lemmas(c: Column) -> Column:
+    """``plain_tokens`` as lemmas, duplicates kept."""
+    return F.transform(plain_tokens(c), noun_lemma)
+
+
+def pos_tags(c: Column) -> Column:
+    """(text, pos) of every word, number and mark, by closed word classes and endings: a default where no tagger is plugged in."""
+    found = F.regexp_extract_all(c, F.lit("\\p{L}+|[0-9]+(?:\\.[0-9]+)*|[^\\p{L}0-9\\s]"), F.lit(0))
+    return F.transform(found, lambda t: F.struct(t.alias("text"), _pos(t).alias("pos")))
+
+
+def _pos(t: Column) -> Column:
+    low = F.lower(t)
+    out = F.when(t.rlike("^[0-9]"), "NUM").when(~t.rlike("^\\p{L}"), "PUNCT")
+    for tag, held in rules.CLOSED_CLASSES.items():
+        out = out.when(low.isin(*held), tag)
+    out = out.when(t.rlike("^\\p{Lu}"), "PROPN")
+    for tag, ending in rules.OPEN_ENDINGS:
+        out = out.when(low.rlike(f".{{2,}}({ending})$"), tag)
+    return out.otherwise("NOUN")
+
+
+def personal_names(c: Column) -> Column:
+    """Runs of two capitalised words: a default where no annotator that knows persons is plugged in."""
+    return F.regexp_extract_all(c, F.lit("[A-Z][a-z]+ [A-Z][a-z]+"), F.lit(0))
+
+
 def quality_score(c: Column) -> Column:
     """0.7 by length up to 2000 characters, 0.3 by the share of letters and digits; 0 for a blank text."""
     t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "^\\s+|\\s+$", ""))
@@ -149,6 +189,33 @@ def truthy(c: Column) -> Column:
     return F.lower(F.trim(c.cast("string"))).isin("true", "1", "yes", "on")
 
 
+def iso_utc(ts: Column) -> Column:
+    """A time stamp as ISO 8601 in UTC, with Z, to the microsecond."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def now_utc() -> Column:
+    return iso_utc(F.current_timestamp())
+
+
+def day(ts: Column) -> Column:
+    """yyyy-MM-dd, as log names have it."""
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
+def clock(ts: Column) -> Column:
+    """The time of day as it is shown."""
+    return F.date_format(ts, "h:mm:ss a")
+
+
+def merged(a: Column, b: Column, *without: str) -> Column:
+    """Two maps as one, entries of ``b`` before those of ``a``; the named keys left out. A null map is empty."""
+    none = F.create_map().cast("map<string,string>")
+    kept = F.map_filter(F.coalesce(a, none), lambda k, v: ~F.array_contains(F.map_keys(F.coalesce(b, none)), k))
+    both = F.map_concat(kept, F.coalesce(b, none))
+    return F.map_filter(both, lambda k, v: ~k.isin(*without)) if without else both
+
+
 def clamped(n: int | None, least: int, most: int, default: int) -> int:
     return max(least, min(int(default if n is None else n), most))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,3 +40,21 @@ def same_within(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
 
 def is_valid(a: Column, longer_than: int = 15) -> Column:
     return a.isNotNull() & (F.size(a) > longer_than)
+
+
+def _pack(vectors: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else np.array([np.nan if x is None else x for x in v], "<f4").tobytes() for v in vectors.to_pylist()], pa.binary())
+
+
+def _unpack(blobs: pa.Array) -> pa.Array:
+    return pa.array([None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4") for b in blobs.to_pylist()], pa.list_(pa.float32()))
+
+
+def pack(a: Column) -> Column:
+    """Four bytes a component, little-endian single precision; a null component is NaN."""
+    return arrow_udf(_pack, "binary")(a.cast("array<float>"))
+
+
+def unpack(blob: Column) -> Column:
+    """The vector of ``pack``; bytes past the last whole component are left out."""
+    return arrow_udf(_unpack, "array<float>")(blob)

@@ -8,35 +8,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import intent
-from lodestone.functions.text import citations, context_text, dedup_signature, normalize_output
+from lodestone.functions.text import citations, context_text, dedup_signature, nfkc, normalize_output
 from lodestone.operators import packing, search, sessions
-from lodestone.seams import Embedder, ExtractiveGenerator, Generator, HashingEmbedder, QuarterCounter, TokenCounter
+from lodestone.seams import Embedder, ExtractiveGenerator, Generator, HashingEmbedder, QuarterCounter, TokenCounter, fact_check, follow_ups
 
 
-def retrieve(chunks: DataFrame, query: str, query_vector: list[float], tokens: TokenCounter, k: int = 20, most_tokens: int = 3500, per_file: int = 4) -> DataFrame:
+def nearest(chunks: DataFrame, query_vector: list[float], k: int, vectors: DataFrame | None = None) -> DataFrame:
+    """filename, chunk_id, text and similarity of the k nearest chunks.
+
+    Ids and vectors alone are ranked; the texts of the k that are left are fetched by a broadcast join, so a
+    question moves no text but theirs. ``vectors`` (chunk_id, embedding) may stand apart from ``chunks``.
+    """
+    vectors = chunks.select("chunk_id", "embedding") if vectors is None else vectors
+    top = search.top_k(vectors.select("chunk_id", "embedding"), query_vector, k, "chunk_id").select("chunk_id", "similarity")
+    return chunks.select("filename", "chunk_id", "text").join(F.broadcast(top), "chunk_id")
+
+
+def retrieve(chunks: DataFrame, query: str, query_vector: list[float], tokens: TokenCounter, k: int = 20, most_tokens: int = 3500, per_file: int = 4, vectors: DataFrame | None = None) -> DataFrame:
     """The packed context rows of a query: top k by similarity, ordered by the intent's source priority, deduplicated, capped, budgeted.
 
-    ``chunks`` has filename, chunk_id, text and embedding.
+    ``chunks`` has filename, chunk_id, text, and embedding unless ``vectors`` holds it.
     """
-    top = search.top_k(chunks, query_vector, k, "chunk_id").where(F.coalesce("text", F.lit("")) != "")
+    top = nearest(chunks, query_vector, k, vectors).where(F.coalesce("text", F.lit("")) != "")
     of = intent.intent(F.lit(query))
     kind = intent.source_kind(F.col("filename"))
     rated = top.select("*", intent.source_priority(kind, of).alias("priority"), intent.is_skipped(kind, of).alias("skip")).where("NOT skip")
     return pack_rows(rated, [F.col("priority").desc(), F.col("similarity").desc(), F.col("chunk_id")], tokens, most_tokens, per_file)
 
 
-def retrieve_strict(docs: DataFrame, chunks: DataFrame, query: str, filename: str, tokens: TokenCounter, most_tokens: int = 3500) -> DataFrame:
-    """The packed passages of one document; where it has no text, its chunks by words in common."""
+def retrieve_strict(docs: DataFrame, chunks: DataFrame, query: str, filename: str, tokens: TokenCounter, most_tokens: int = 3500, query_vector: list[float] | None = None, k: int = 60, vectors: DataFrame | None = None) -> DataFrame:
+    """The packed passages of one document; where there are none, its chunks by words in common; where it has none, its chunks among the k nearest."""
     found = search.rank_passages(docs.where(F.col("filename") == filename), "filename", "text", query)
-    rows = found.select("filename", F.concat(F.lit("raw_passage_"), F.col("idx").cast("string")).alias("chunk_id"), F.col("passage").alias("text"), F.col("rank").alias("order"), F.lit(0).alias("choice"))
-    own = chunks.where((F.col("filename") == filename) & (F.coalesce("text", F.lit("")) != ""))
-    spare = own.select("filename", F.col("chunk_id").cast("string").alias("chunk_id"), "text", (-search.lexical_score(F.col("text"), F.lit(query))).alias("order"), F.lit(1).alias("choice"))
-    both = rows.unionByName(spare)
+    columns = ["filename", "chunk_id", "text", "order", "choice"]
+    both = found.select("filename", F.concat(F.lit("raw_passage_"), F.col("idx").cast("string")).alias("chunk_id"), F.col("passage").alias("text"), F.col("rank").cast("double").alias("order"), F.lit(0).alias("choice"))
+    mine = (F.col("filename") == filename) & (F.coalesce("text", F.lit("")) != "")
+    name = F.col("chunk_id").cast("string").alias("chunk_id")
+    by_words = (-search.lexical_score(F.col("text"), F.lit(query))).cast("double").alias("order")
+    both = both.unionByName(chunks.where(mine).select("filename", name, "text", by_words, F.lit(1).alias("choice")))
+    if query_vector is not None:
+        hits = nearest(chunks, query_vector, k, vectors).where(mine)
+        both = both.unionByName(hits.select("filename", name, "text", (-F.col("similarity")).alias("order"), F.lit(2).alias("choice")))
+    # At most k rows by each of the three ways, whichever is chosen.
     first = both.agg(F.min("choice").alias("__first"))
-    chosen = both.join(F.broadcast(first)).where(F.col("choice") == F.col("__first")).orderBy("order", "chunk_id").limit(60)
+    chosen = both.join(F.broadcast(first)).where(F.col("choice") == F.col("__first")).select(*columns).orderBy("order", "chunk_id").limit(k)
     return pack_rows(chosen, [F.col("order"), F.col("chunk_id")], tokens, most_tokens, None)
 
 
+def weighted_context(scores: DataFrame, texts: DataFrame, key: str, least: float = 0.2, floor: float = 0.15, most: int = 15) -> DataFrame:
+    """key, weight and line of the rows above the threshold: at most ``most`` of at least ``floor``, weighted by similarity.
+
+    ``scores`` has key and similarity, ``texts`` key and text; the few rows that are left fetch their texts.
+    """
+    top = search.above(scores, least).where(F.col("similarity") >= floor).orderBy(F.col("similarity").desc(), key).limit(most)
+    return search.weighted(texts.select(key, "text").join(F.broadcast(top), key), key, "text")
+
+
+def checked_answer(chunks: DataFrame, query: str, query_vector: list[float], generator: Generator, k: int = 15, vectors: DataFrame | None = None, questions: int = 3) -> DataFrame:
+    """One row: context of the k nearest chunks with each text once, answer, its fact check and follow-up questions."""
+    order = [F.col("similarity").desc(), F.col("chunk_id")]
+    distinct = search.distinct_texts(nearest(chunks, query_vector, k, vectors), order)
+    context = search.joined_texts(distinct, order, k, between="\n").withColumn("answer", generator.answer(query, F.col("context")))
+    return context.select("context", "answer", fact_check(F.col("answer"), F.col("context")).alias("check"), follow_ups(query, F.col("answer"), questions).alias("follow_ups"))
+
+
 def pack_rows(rows: DataFrame, order: list, tokens: TokenCounter, most_tokens: int, per_file: int | None) -> DataFrame:
     """position, filename, chunk_id and text of the accepted rows; ``rows`` is a top-k."""
     from pyspark.sql import Window
@@ -56,6 +90,7 @@ class Engine:
     embedder: Embedder = field(default_factory=HashingEmbedder)
     tokens: TokenCounter = field(default_factory=QuarterCounter)
     generator: Generator = field(default_factory=ExtractiveGenerator)
+    vectors: DataFrame | None = None  # chunk_id and embedding, where the chunks do not hold them
 
     def ask(self, query: str, strict: bool | None = None, target: str | None = None) -> DataFrame:
         """One row: answer, strict_mode, target_filename, citations and sources."""
@@ -66,14 +101,14 @@ class Engine:
             target = found.filename if found else None
         strict = target is not None if strict is None else bool(strict)
         if strict and target:
-            rows = retrieve_strict(self.docs, self.chunks, query, target, self.tokens)
+            rows = retrieve_strict(self.docs, self.chunks, query, target, self.tokens, query_vector=self.embedder.one(query), vectors=self.vectors)
         else:
-            rows = retrieve(self.chunks, query, self.embedder.one(query), self.tokens, 60 if strict else 20)
+            rows = retrieve(self.chunks, query, self.embedder.one(query), self.tokens, 60 if strict else 20, vectors=self.vectors)
         entry = F.struct("position", "filename", "chunk_id", "text")
         one = rows.agg(F.array_sort(F.collect_list(entry)).alias("entries"))
         one = one.withColumn("context", context_text(F.col("entries")))
         return one.select(
-            normalize_output(self.generator.answer(query, F.col("context"))).alias("answer"),
+            normalize_output(nfkc(self.generator.answer(query, F.col("context")))).alias("answer"),
             F.lit(strict).alias("strict_mode"),
             F.lit(target).cast("string").alias("target_filename"),
             citations(F.col("context")).alias("citations"),
@@ -95,3 +130,21 @@ class Engine:
     def store(self, history: DataFrame, session_id: str, query: str, answer: str, now: str) -> DataFrame:
         """The history with one exchange more."""
         return history.unionByName(sessions.exchange_row(history, session_id, query, answer, now))
+
+    def store_exchange(self, history: DataFrame, titles: DataFrame, index: DataFrame, session_id: str, query: str, answer: str, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """History, titles and index with one exchange more; the session's title becomes the beginning of the query."""
+        return self.store(history, session_id, query, answer, now), *sessions.upsert_session(titles, index, session_id, now, query.strip()[:80])
+
+    def dispatch(self, action: str, **given):
+        """An action by name, as a bridge or a worker calls it: ping, ask, history, sessions_list, session_upsert or session_delete."""
+        actions = {
+            "ping": lambda: {"ok": True},
+            "ask": self.ask,
+            "history": self.history,
+            "sessions_list": self.list_sessions,
+            "session_upsert": self.upsert_session,
+            "session_delete": self.delete_session,
+        }
+        if action not in actions:
+            raise ValueError(f"unknown action {action!r}")
+        return actions[action](**given)

@@ -12,25 +12,70 @@ def token_rows(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return docs.select(*keys, F.explode(plain_tokens(F.col(text))).alias("token"))
 
 
+def token_counts(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """keys, token and n: one row per document and distinct token, counted within the document's own row.
+
+    The sorted tokens are cut where they change, so a document costs a row per distinct token and no shuffle.
+    """
+    rows = docs.select(*keys, F.array_sort(plain_tokens(F.col(text))).alias("__t"))
+    last = lambda i: (i == F.size("__t") - 1) | (F.get("__t", i) != F.get("__t", i + 1))
+    ends = F.filter(F.transform("__t", lambda t, i: F.when(last(i), F.struct(t.alias("token"), i.alias("end")))), lambda e: e.isNotNull())
+    rows = rows.select(*keys, ends.alias("__e"))
+    counted = F.transform("__e", lambda e, k: F.struct(e.token.alias("token"), (e.end - F.coalesce(F.get("__e", k - 1).end, F.lit(-1))).cast("long").alias("n")))
+    return rows.select(*keys, F.explode(counted).alias("__c")).select(*keys, "__c.token", "__c.n")
+
+
 def top_words(docs: DataFrame, n: int | None = 20) -> DataFrame:
     counts = token_rows(docs).groupBy("token").agg(F.count("*").alias("n"))
     return counts if n is None else counts.orderBy(F.col("n").desc(), "token").limit(n)
 
 
 def top_words_per(docs: DataFrame, key: str, n: int = 5) -> DataFrame:
-    counts = token_rows(docs, key).groupBy(key, "token").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(key).orderBy(F.col("n").desc(), "token")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    """The n most frequent words of every row of ``docs``: counted, ordered and cut within the row."""
+    rows = docs.select(key, F.array_sort(plain_tokens(F.col("text"))).alias("__t"))
+    last = lambda i: (i == F.size("__t") - 1) | (F.get("__t", i) != F.get("__t", i + 1))
+    ends = F.filter(F.transform("__t", lambda t, i: F.when(last(i), F.struct(t.alias("token"), i.alias("end")))), lambda e: e.isNotNull())
+    rows = rows.select(key, ends.alias("__e"))
+    counted = F.transform("__e", lambda e, k: F.struct((F.coalesce(F.get("__e", k - 1).end, F.lit(-1)) - e.end).cast("long").alias("minus"), e.token.alias("token")))
+    best = rows.select(key, F.posexplode(F.slice(F.array_sort(counted), 1, n)).alias("__at", "__c"))
+    return best.select(key, "__c.token", (-F.col("__c.minus")).alias("n"), (F.col("__at") + 1).alias("rank"))
 
 
 def word_category_table(docs: DataFrame, category: str, n: int = 20) -> DataFrame:
-    """Counts of the n top words in each category, in long form, zeros included."""
-    top = top_words(docs, n).select("token")
-    counts = token_rows(docs, category).join(top, "token", "left_semi").groupBy(category, "token").agg(F.count("*").alias("n"))
+    """Counts of the n top words in each category, in long form, zeros included; every text is read for tokens once."""
+    counts = token_rows(docs, category).groupBy(category, "token").agg(F.count("*").alias("n"))
+    top = counts.groupBy("token").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "token").limit(n).select("token")
     grid = docs.select(category).distinct().join(F.broadcast(top))
     return grid.join(counts, [category, "token"], "left").select(category, "token", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def histogram(rows: DataFrame, value: str, bins: int = 20) -> DataFrame:
+    """bin (from 0) and n of equally wide bins between the least and the greatest value; one bin, null, where all are equal."""
+    b = rows.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    place = F.floor((F.col(value) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * bins)
+    return rows.where(F.col(value).isNotNull()).join(F.broadcast(b)).groupBy(F.least(place, F.lit(bins - 1)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def box(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """least, q1, median, q3 and most of a value, by the keys; quartiles are interpolated."""
+    q = F.percentile(value, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
+    names = ("least", "q1", "median", "q3", "most")
+    return rows.groupBy(*keys).agg(q.alias("__q")).select(*keys, *[F.round(F.col("__q")[k], 6).alias(name) for k, name in enumerate(names)])
+
+
+def correlations(rows: DataFrame, names: list[str]) -> DataFrame:
+    """a, b and r (Pearson) of every two of the named columns, in one pass."""
+    pairs = [(a, b) for a in names for b in names]
+    one = rows.agg(*[F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), 6).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n random rows without replacement, in the order of a seeded hash of their key: a heap per task, merged."""
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    return rows.withColumn("__place", place).orderBy("__place", key).limit(n).drop("__place")
+
+
 def diversity(text: Column) -> Column:
     """Distinct tokens per hundred tokens; null without tokens."""
     t = plain_tokens(text)
@@ -78,10 +123,11 @@ def concordance(docs: DataFrame, key: str, word: str, width: int = 5) -> DataFra
 
 def tf_idf(docs: DataFrame, key: str, most_terms: int = 1000) -> DataFrame:
     """Smoothed, length-normalised tf-idf over the most frequent terms; one row per document and term."""
-    counts = token_rows(docs, key).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    counts = token_counts(docs, key).withColumnRenamed("n", "tf")
     terms = counts.groupBy("token").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.col("total").desc(), "token").limit(most_terms)
     n = docs.agg(F.count("*").alias("n_docs"))
     weight = F.col("tf") * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-    rows = counts.join(terms, "token").join(F.broadcast(n)).select(key, "token", weight.alias("w"))
+    # The terms are at most most_terms rows; the document's length is summed within its own row's counts.
+    rows = counts.join(F.broadcast(terms), "token").join(F.broadcast(n)).select(key, "token", weight.alias("w"))
     size = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     return rows.join(size, key).select(key, "token", F.round(F.col("w") / F.col("size"), 6).alias("weight"))

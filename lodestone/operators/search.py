@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules, vectors
@@ -17,11 +17,29 @@ def scored(data: DataFrame, query_vector: list[float], vector: str = "embedding"
     return data.withColumn("similarity", vectors.cosine(F.col(vector), q))
 
 
+def named_like(data: DataFrame, part: str | None, column: str = "filename") -> DataFrame:
+    """Rows whose file name holds ``part``, whatever the case; all of them without one."""
+    return data.where(F.contains(F.lower(column), F.lit(part.lower()))) if part else data
+
+
 def top_k(data: DataFrame, query_vector: list[float], k: int, key: str, vector: str = "embedding") -> DataFrame:
     """The k most similar rows, ties by ``key``: a heap per task, merged."""
     return scored(data, query_vector, vector).orderBy(F.col("similarity").desc(), F.col(key)).limit(k)
 
 
+def distinct_texts(top: DataFrame, order: list[Column], text: str = "text") -> DataFrame:
+    """A few ranked rows, of equal texts the first in ``order``: the cut comes before."""
+    first = Window.partitionBy(text).orderBy(*order)
+    return top.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
+
+
+def joined_texts(top: DataFrame, order: list[Column], most: int = 5, text: str = "text", between: str = " ") -> DataFrame:
+    """One row ``context``: the texts of the first few rows in order, joined."""
+    ranked = top.orderBy(*order).limit(most).select(text, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).alias("__at"))
+    entries = F.array_sort(F.collect_list(F.struct("__at", F.coalesce(F.col(text), F.lit("")).alias("t"))))
+    return ranked.agg(F.array_join(F.transform(entries, lambda e: e.t), between).alias("context"))
+
+
 def above(scores: DataFrame, least: float) -> DataFrame:
     """Rows above the larger of ``least`` and the mean; the mean is one number, joined as such."""
     mean = scores.agg(F.avg("similarity").alias("__mean"))
@@ -85,6 +103,16 @@ def nearest_cells(query_vector: list[float], centres: list[tuple[int, list[float
     return [i for i, _ in sorted(centres, key=lambda ic: (far(ic[1]), ic[0]))[:probes]]
 
 
+def read_cells(spark: SparkSession, path: str, query_vector: list[float], probes: int) -> DataFrame:
+    """The vectors of the nearest cells of a table that ``sinks.write_cells`` wrote: only their folders are read."""
+    return spark.read.parquet(f"{path}/rows").where(F.col("cell").isin(*nearest_cells(query_vector, stored_centres(spark, path), probes)))
+
+
+def stored_centres(spark: SparkSession, path: str) -> list[tuple[int, list[float]]]:
+    """The centres that lie beside a table of cells: as many rows as cells."""
+    return [(r.cell, list(r.centre)) for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()]
+
+
 def cell_search(data: DataFrame, query_vector: list[float], centres: list[tuple[int, list[float]]], k: int, key: str, probes: int = 1) -> DataFrame:
     """Top k among the rows of the nearest cells."""
     return top_k(data.where(F.col("cell").isin(*nearest_cells(query_vector, centres, probes))), query_vector, k, key)
@@ -101,24 +129,27 @@ def lexical_score(text: Column, query: Column) -> Column:
 def rank_passages(docs: DataFrame, key: str, text: str, query: str, most: int = 12, bonuses=rules.PASSAGE_BONUSES) -> DataFrame:
     """Per document, its best passages for a query: token rarity within the document, ties by place.
 
-    Rows with a score of 0 are kept only where the document has no other.
+    Rows with a score of 0 are kept only where the document has no other; a query without terms has no rows.
+    All of it is local to a document's row: its passages are an array until they are ranked, and nothing is shuffled.
     """
     terms = query_terms(F.lit(query))
-    rows = docs.select(key, F.posexplode(passages(F.col(text))).alias("idx", "passage"))
-    rows = rows.withColumn("__hits", F.array_intersect(terms, tokens_for_match(F.col("passage"))))
-    held = rows.select(key, "idx", F.explode("__hits").alias("term"))
-    rarity = held.groupBy(key, "term").agg(F.count("*").alias("df"))
-    overlap = held.join(rarity, [key, "term"]).groupBy(key, "idx").agg(F.sum(F.lit(1.0) / (F.lit(1.0) + F.col("df"))).alias("__overlap"))
-    scored_rows = rows.join(overlap, [key, "idx"], "left")
-    bonus = F.lit(0.0)
-    norm = normalize_for_match(F.col("passage"))
-    for prefix, held_words, extra in bonuses:
-        bonus = bonus + F.when(F.exists(terms, lambda t: F.startswith(t, F.lit(prefix))) & F.contains(norm, F.lit(held_words)), extra).otherwise(0.0)
-    scored_rows = scored_rows.select(key, "idx", "passage", F.round(F.coalesce("__overlap", F.lit(0.0)) + bonus, 9).alias("score"))
-    order = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("idx"))
-    best = scored_rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    top = F.max("score").over(Window.partitionBy(key))
-    return best.withColumn("__top", top).where((F.col("score") > 0) | (F.col("__top") <= 0)).drop("__top")
+    read = lambda p: F.struct(p.alias("passage"), F.array_intersect(terms, tokens_for_match(p)).alias("hits"), normalize_for_match(p).alias("norm"))
+    rows = docs.select(key, F.transform(passages(F.col(text)), read).alias("__read")).where(F.size(terms) > 0)
+    share = lambda t: F.lit(1.0) / (F.lit(1.0) + F.size(F.filter("__read", lambda p: F.array_contains(p.hits, t))))
+    rows = rows.withColumn("__rare", F.transform(terms, lambda t: F.struct(t.alias("t"), share(t).alias("w"))))
+
+    def score(p: Column) -> Column:
+        out = F.aggregate("__rare", F.lit(0.0), lambda acc, r: acc + F.when(F.array_contains(p.hits, r.t), r.w).otherwise(0.0))
+        for word, begins, held, extra in bonuses:
+            asked = F.exists(terms, lambda t: F.startswith(t, F.lit(word)) if begins else t == F.lit(word))
+            out = out + F.when(asked & F.contains(p.norm, F.lit(held)), extra).otherwise(0.0)
+        return F.round(out, 9)
+
+    placed = F.transform("__read", lambda p, i: F.struct((-score(p)).alias("minus"), i.alias("idx"), p.passage.alias("passage")))
+    best = rows.select(key, F.slice(F.array_sort(placed), 1, most).alias("__best"))
+    kept = F.when(F.get("__best", F.lit(0)).minus < 0, F.filter("__best", lambda p: p.minus < 0)).otherwise(F.col("__best"))
+    ranked = best.select(key, F.posexplode(kept).alias("__at", "__p"))
+    return ranked.select(key, F.col("__p.idx").alias("idx"), F.col("__p.passage").alias("passage"), (-F.col("__p.minus") + F.lit(0.0)).alias("score"), (F.col("__at") + 1).alias("rank"))
 
 
 def target_score(filename: Column, query: str) -> Column:

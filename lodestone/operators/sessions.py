@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import clamped, session_title
+from lodestone.functions.text import clamped, session_title, truthy
 
 SHORT_ANSWER = "No answer could be generated for this question."
 
@@ -71,6 +71,27 @@ def latest(history: DataFrame, session_id, limit: int | None = 5, key: str = "se
     return history.where(F.col(key) == session_id).orderBy(F.col(at).desc()).limit(clamped(limit, 1, 50, 5))
 
 
+def oldest_of_page(history: DataFrame, session_id, limit: int | None = 5, most: int = 2, key: str = "session_id", at: str = "ts") -> DataFrame:
+    """The oldest few of a session's latest page, oldest first."""
+    return latest(history, session_id, limit, key, at).orderBy(F.col(at)).limit(most)
+
+
+def last_added(rows: DataFrame, ordinal: str, n: int = 5) -> DataFrame:
+    """The last few rows by the order in which they were added, in that order."""
+    return rows.orderBy(F.col(ordinal).desc()).limit(n).orderBy(ordinal)
+
+
+def parse_sessions(raw: DataFrame, now: str) -> DataFrame:
+    """id, title, created_at, updated_at and pinned of rows whose columns may be in snake or camel case, or be missing."""
+
+    def of(*names: str) -> Column:
+        return F.coalesce(*[F.when(F.trim(F.col(n).cast("string")) != "", F.trim(F.col(n).cast("string"))) for n in names if n in raw.columns], F.lit(None).cast("string"))
+
+    rows = raw.select(of("id", "session_id", "sessionId").alias("id"), of("title").alias("title"), of("created_at", "createdAt").alias("c"), of("updated_at", "updatedAt").alias("u"), truthy(of("pinned", "isPinned")).alias("p"))
+    begun = F.coalesce("c", "u", F.lit(now))
+    return rows.where("id IS NOT NULL").select("id", session_title(F.col("title"), F.col("id")).alias("title"), begun.alias("created_at"), F.coalesce("u", begun).alias("updated_at"), F.coalesce("p", F.lit(False)).alias("pinned"))
+
+
 def latest_per_session(history: DataFrame, limit: int = 5, key: str = "session_id", at: str = "ts") -> DataFrame:
     """``rank`` 1 to ``limit`` by time, newest first, in every session."""
     order = Window.partitionBy(key).orderBy(F.col(at).desc())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LIMITER_SCHEMA = "user_id long, ts timestamp, n long, blocked boolean"
@@ -33,39 +33,44 @@ def session_windows(events: DataFrame, key: str = "user_id", ts: str = "ts", gap
     return found.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
 
 
-def limiter(attempts: pd.DataFrame, limit: int, seconds: int) -> pd.DataFrame:
-    """Attempts of one key in time order: count within the window that began at its first failure, and whether blocked."""
-    count, until, out = 0, None, []
-    for ts, failed in attempts[["ts", "failed"]].itertuples(index=False):
-        if until is not None and ts >= until:
-            count, until = 0, None
-        blocked = count >= limit
-        if not blocked:
-            if failed:
-                count, until = count + 1, until if until is not None else ts + pd.Timedelta(seconds=seconds)
-            else:
-                count, until = 0, None
-        out.append((count, blocked))
-    return attempts.assign(n=[c for c, _ in out], blocked=[b for _, b in out])
-
-
 def login_limits(attempts: DataFrame, key: str = "user_id", limit: int = 10, seconds: int = 900) -> DataFrame:
-    """``n`` and ``blocked`` of every attempt (key, ts, failed): a success clears, an expired window is dropped, a blocked attempt changes nothing."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        done = limiter(rows.sort_values(["ts", "event_id"], kind="stable"), limit, seconds)
-        return done[[key, "event_id", "ts", "n", "blocked"]]
+    """``n`` and ``blocked`` of every attempt (key, event_id, ts, failed): a success clears, an expired window is dropped, a blocked attempt changes nothing.
 
-    return attempts.groupBy(key).applyInPandas(one, f"{key} long, event_id long, ts timestamp, n long, blocked boolean")
-
-
-def login_limits_stream(attempts: DataFrame, limit: int = 10, seconds: int = 900) -> DataFrame:
-    """The same on a stream, with (count, window end) as keyed state that times out with its window."""
+    A window ends ``seconds`` after the failure that began it, so nothing is carried over a pause as long as that:
+    a key's attempts are cut at such pauses, and each piece is folded as one sorted array, in the JVM.
+    """
+    order = Window.partitionBy(key).orderBy("ts", "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    pause = F.coalesce(at - F.lag(at).over(order) >= seconds * 1_000_000, F.lit(True))
+    rows = attempts.withColumn("__piece", F.sum(pause.cast("long")).over(order))
+    entry = F.struct("ts", "event_id", at.alias("at"), F.coalesce("failed", F.lit(False)).alias("failed"))
+    pieces = rows.groupBy(key, "__piece").agg(F.array_sort(F.collect_list(entry)).alias("__a"))
+    out = "array<struct<event_id:bigint,ts:timestamp,n:bigint,blocked:boolean>>"
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("until"), F.array().cast(out).alias("out"))
+
+    def step(acc: Column, a: Column) -> Column:
+        over = F.coalesce(a.at >= acc.until, F.lit(False))
+        n, until = F.when(over, F.lit(0)).otherwise(acc.n).cast("long"), F.when(~over, acc.until)
+        blocked = n >= limit
+        after = F.when(blocked, n).when(a.failed, n + 1).otherwise(F.lit(0)).cast("long")
+        ends = F.when(blocked, until).when(a.failed, F.coalesce(until, a.at + seconds * 1_000_000))
+        made = F.struct(a.event_id.cast("long").alias("event_id"), a.ts.cast("timestamp").alias("ts"), after.alias("n"), blocked.alias("blocked"))
+        return F.struct(after.alias("n"), ends.alias("until"), F.concat(acc.out, F.array(made)).alias("out"))
+
+    folded = pieces.select(key, F.explode(F.aggregate("__a", start, step, lambda acc: acc.out)).alias("__o"))
+    return folded.select(key, "__o.event_id", "__o.ts", "__o.n", "__o.blocked")
+
+
+def login_limits_stream(attempts: DataFrame, limit: int = 10, seconds: int = 900, late: str = "1 minute") -> DataFrame:
+    """The same on a stream, with (count, window end) as keyed state that goes when the watermark passes the window's end."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def one(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, until = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
         out = []
         for ts, failed in rows[["ts", "failed"]].itertuples(index=False):
             now = int(ts.value // 1000)
@@ -75,10 +80,15 @@ def login_limits_stream(attempts: DataFrame, limit: int = 10, seconds: int = 900
             if not blocked:
                 count, until = (count + 1, until or now + seconds * 1_000_000) if failed else (0, 0)
             out.append((key[0], ts, count, blocked))
-        state.update((count, until))
+        if until:
+            state.update((count, until))
+            state.setTimeoutTimestamp(max(until // 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["user_id", "ts", "n", "blocked"])
 
-    return attempts.groupBy("user_id").applyInPandasWithState(one, LIMITER_SCHEMA, "count long, until long", "append", GroupStateTimeout.NoTimeout)
+    held = attempts.withWatermark("ts", late)
+    return held.groupBy("user_id").applyInPandasWithState(one, LIMITER_SCHEMA, "count long, until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions_by_gap(events: DataFrame, key: str = "user_id", ts: str = "ts", minutes: int = 30) -> DataFrame:

@@ -12,8 +12,8 @@ from lodestone.functions import rules
 from lodestone.functions.text import plain_tokens
 from lodestone.operators import analytics, sessions
 from lodestone.plans import ingest
-from lodestone.plans.registry import register, sql_list, sql_words
-from lodestone.seams import HashingEmbedder
+from lodestone.plans.registry import ORACLES, register, sql_list, sql_words
+from lodestone.seams import HashingEmbedder, LetterEmbedder
 from lodestone.session import table
 from lodestone.streaming import incremental
 
@@ -34,15 +34,28 @@ def category_counts(spark, sf_dir):
 def prepare_corpus(spark, sf_dir):
     """The whole preparation chain, as sizes of its parts."""
     rows = ingest.prepare(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("filename"), "text"))
-    return rows.select("filename", F.size("tokens").alias("n_tokens"), F.size("entities").alias("n_entities"), "metadata.extraction_quality", "category")
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("tokens", "entities", "section_references", "personal_names", "pos_tags")]
+    return rows.select("filename", *sizes, "metadata.extraction_quality", "category")
 
 
-@register("SELECT doc_id AS chunk_id, 64 AS size FROM documents ANTI JOIN labels USING (doc_id)")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_COUNTS = ", ".join(f"len(text) - len(replace(lower(text), '{c}', ''))" for c in _LETTERS)
+
+
+@register(
+    f"""
+WITH n AS (SELECT d.doc_id, d.text FROM documents d ANTI JOIN labels USING (doc_id)),
+v AS (SELECT doc_id, list_transform([{_COUNTS}], lambda x: x::DOUBLE) AS v FROM n), z AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS z FROM v),
+u AS (SELECT doc_id AS chunk_id, list_transform(v, lambda x: CASE WHEN z > 0 THEN x / z ELSE 0 END) AS u FROM z)
+SELECT chunk_id, len(u) AS size, round(u[1], 6) + 0.0::DOUBLE AS first, round(list_sum(list_transform(range(1, 27), lambda k: k * u[k])), 6) AS total FROM u
+"""
+)
 def embed_new_chunks(spark, sf_dir):
-    """Vectors of the documents that have none yet; those with a label stand for the ones that have."""
+    """Vectors of the documents that have none yet, by shares of letters; those with a label stand for the ones that have."""
     chunks = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
-    made = ingest.embed_new(chunks, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id")), HashingEmbedder())
-    return made.select("chunk_id", F.size("embedding").alias("size"))
+    made = ingest.embed_new(chunks, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id")), LetterEmbedder())
+    total = F.aggregate(F.transform("embedding", lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return made.select("chunk_id", F.size("embedding").cast("long").alias("size"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.round(total, 6).alias("total"))
 
 
 @register()
@@ -175,10 +188,82 @@ def tf_idf_terms(spark, sf_dir):
     return analytics.tf_idf(_docs(spark, sf_dir), "doc_id")
 
 
-@register("SELECT least(100, count(*)) AS n FROM documents")
+@register("SELECT doc_id FROM documents ORDER BY md5(concat('7:', doc_id)), doc_id LIMIT 100")
 def random_sample(spark, sf_dir):
-    """A hundred random documents: the sampling operator; its size is what can be compared."""
-    return _docs(spark, sf_dir).orderBy(F.rand(7)).limit(100).agg(F.count("*").alias("n"))
+    """A hundred random documents without replacement, the same for the same seed: the sampling operator."""
+    return analytics.sampled(_docs(spark, sf_dir), "doc_id", 100, 7).select("doc_id")
+
+
+@register(
+    f"""
+WITH {_TOKENS}, l(word, valence) AS (VALUES {', '.join(f"('{w}', {v}::DOUBLE)" for w, v in rules.SENTIMENT.items())}),
+h AS (SELECT doc_id, coalesce(l.valence, 0) AS v, l.valence AS raw FROM t LEFT JOIN l ON token = word),
+g AS (SELECT doc_id, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS p, sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END) AS m, sum(CASE WHEN v = 0 THEN 1.0::DOUBLE ELSE 0 END) AS z, avg(raw) AS mean FROM h GROUP BY doc_id)
+SELECT doc_id, round(coalesce(p / nullif(p + m + z, 0), 0), 6) AS pos, round(coalesce(m / nullif(p + m + z, 0), 0), 6) AS neg, round(coalesce(z / nullif(p + m + z, 0), 0), 6) AS neu,
+       round(coalesce(mean / 4.0::DOUBLE, 0), 6) AS polarity FROM documents LEFT JOIN g USING (doc_id)
+"""
+)
+def sentiment_shares(spark, sf_dir):
+    lexicon = spark.createDataFrame(list(rules.SENTIMENT.items()), "word string, valence double")
+    return analytics.sentiment_shares(_docs(spark, sf_dir), "doc_id", lexicon)
+
+
+_DIVERSE = f"m AS (SELECT doc_id, lang, len(list_distinct(t)) * 100.0::DOUBLE / nullif(len(t), 0) AS x FROM (SELECT doc_id, lang, {_PLAIN} AS t FROM documents))"
+
+
+def _diversities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", "lang", analytics.diversity(F.col("text")).alias("x"))
+
+
+@register(f"WITH {_DIVERSE}, b AS (SELECT min(x) AS lo, max(x) AS hi FROM m) SELECT least(floor((x - lo) / nullif(hi - lo, 0) * 20), 19)::BIGINT AS bin, count(*) AS n FROM m, b WHERE x IS NOT NULL GROUP BY 1")
+def diversity_histogram(spark, sf_dir):
+    return analytics.histogram(_diversities(spark, sf_dir), "x")
+
+
+@register(f"WITH {_DIVERSE} SELECT lang, {', '.join(f'round(quantile_cont(x, {q}), 6) AS {n}' for q, n in ((0, 'least'), (0.25, 'q1'), (0.5, 'median'), (0.75, 'q3'), (1, 'most')))} FROM m GROUP BY lang")
+def diversity_box(spark, sf_dir):
+    return analytics.box(_diversities(spark, sf_dir), "x", "lang")
+
+
+_FEELING = f"""{_TOKENS}, l(word, valence) AS (VALUES {', '.join(f"('{w}', {v}::DOUBLE)" for w, v in rules.SENTIMENT.items())}),
+h AS (SELECT doc_id, sum(valence) AS v FROM t JOIN l ON token = word GROUP BY doc_id),
+c AS (SELECT doc_id, lang, round(coalesce(v, 0) / sqrt(coalesce(v, 0) * coalesce(v, 0) + 15), 6) AS x FROM documents LEFT JOIN h USING (doc_id))"""
+
+
+def _compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = spark.createDataFrame(list(rules.SENTIMENT.items()), "word string, valence double")
+    return analytics.sentiment(_docs(spark, sf_dir), "doc_id", F.broadcast(lexicon)).select("doc_id", F.col("compound").alias("x"))
+
+
+@register(f"WITH {_FEELING}, b AS (SELECT min(x) AS lo, max(x) AS hi FROM c) SELECT least(floor((x - lo) / nullif(hi - lo, 0) * 20), 19)::BIGINT AS bin, count(*) AS n FROM c, b GROUP BY 1")
+def compound_histogram(spark, sf_dir):
+    return analytics.histogram(_compounds(spark, sf_dir), "x")
+
+
+@register(f"WITH {_FEELING} SELECT {', '.join(f'round(quantile_cont(x, {q}), 6) AS {n}' for q, n in ((0, 'least'), (0.25, 'q1'), (0.5, 'median'), (0.75, 'q3'), (1, 'most')))} FROM c")
+def compound_box(spark, sf_dir):
+    return analytics.box(_compounds(spark, sf_dir), "x")
+
+
+_SHARES_SQL = ORACLES["sentiment_shares"].strip().removeprefix("WITH ")
+_FOUR = ("neg", "neu", "pos", "polarity")
+
+
+@register(
+    f"WITH f AS (WITH {_SHARES_SQL}), r AS (SELECT {', '.join(f'corr({a}, {b}) AS {a}_{b}' for a in _FOUR for b in _FOUR)} FROM f) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN isnan({a}_{b}) THEN NULL ELSE {a}_{b} END, 6) AS r FROM r" for a in _FOUR for b in _FOUR)
+)
+def sentiment_correlation(spark, sf_dir):
+    """The sentiment's four parts, each with each."""
+    lexicon = spark.createDataFrame(list(rules.SENTIMENT.items()), "word string, valence double")
+    return analytics.correlations(analytics.sentiment_shares(_docs(spark, sf_dir), "doc_id", lexicon), list(_FOUR))
+
+
+@register("SELECT conv_id AS session_id, k FROM (SELECT conv_id, min(conv_id * 31 % 1009 * 1000 + conv_id) AS k FROM conversations GROUP BY conv_id) ORDER BY k DESC LIMIT 5")
+def last_sessions(spark, sf_dir):
+    """The five sessions that were added last, by an ordinal that stands for the order of adding."""
+    k = (F.col("conv_id") * 31 % 1009 * 1000 + F.col("conv_id")).alias("k")
+    return sessions.last_added(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), k).distinct(), "k", 5)
 
 
 # Sessions: a title where a user begins, an index row where there are five turns, pinned where there are seven.
@@ -229,6 +314,11 @@ def history_messages(spark, sf_dir):
     return sessions.as_messages(sessions.exchanges(table(spark, sf_dir, "conversations")), "asked")
 
 
+@register(f"WITH {_EXCHANGES}, p AS (SELECT * FROM e WHERE session_id = 3 ORDER BY asked DESC LIMIT 5) SELECT session_id, asked, user_query, ai_response FROM p ORDER BY asked LIMIT 2")
+def history_oldest_of_page(spark, sf_dir):
+    return sessions.oldest_of_page(sessions.exchanges(table(spark, sf_dir, "conversations")), 3, 5, 2, "session_id", "asked")
+
+
 @register("SELECT conv_id AS session_id, count(*) AS n FROM conversations GROUP BY conv_id")
 def messages_per_session(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("session_id")).agg(F.count("*").alias("n"))

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from lodestone.functions import intent, rules, text
 from lodestone.operators import chunking, consistency
 from lodestone.seams import Embedder, annotate
+from lodestone.sources import sinks
 
 
 def prepare(docs: DataFrame, abbreviations: dict[str, str] | None = None, annotator: str = "rules") -> DataFrame:
-    """filename, text, tokens, section_references, entities, metadata and category of every document (filename, text).
+    """filename, text, tokens, section_references, personal_names, entities, pos_tags, metadata and category of every document (filename, text).
 
-    References and entities read the text as it came; tokens and category the
-    expanded and cleaned one.
+    References, names, entities and tags read the text as it came; tokens (as lemmas) and category the
+    expanded and cleaned one. Persons are those of the annotator, or by default two capitalised words in a row.
     """
     raw = F.coalesce(F.col("text"), F.lit(""))
     clean = text.drop_nonsense(text.split_connected(text.expand_abbreviations(raw, abbreviations or rules.ABBREVIATIONS)))
@@ -25,7 +26,12 @@ def prepare(docs: DataFrame, abbreviations: dict[str, str] | None = None, annota
     named = F.struct(*[text.metadata_field(raw, n).alias(a) for n, a in (("Title", "title"), ("Author\\(s\\)", "authors"), ("Tags", "tags"))], F.round(text.quality_score(raw), 3).alias("extraction_quality"))
     rows = docs.where(F.coalesce(F.col("filename"), F.lit("")) != "").select("filename", raw.alias("__raw"), clean.alias("text"), refs.alias("section_references"), annotate(raw, annotator).alias("__entities"), named.alias("metadata"))
     marked = F.transform("section_references", lambda r: F.struct(r.alias("text"), F.lit("SECTION_REF").alias("label")))
-    return rows.select("filename", "text", text.plain_tokens(F.col("text")).alias("tokens"), "section_references", F.concat("__entities", marked).alias("entities"), "metadata", intent.category(F.col("__raw")).alias("category"))
+    persons = F.transform(F.filter("__entities", lambda e: e.label == "PERSON"), lambda e: e.text)
+    names = F.when(F.size(persons) > 0, persons).otherwise(text.personal_names(F.col("__raw")))
+    return rows.select(
+        "filename", "text", text.lemmas(F.col("text")).alias("tokens"), "section_references", names.alias("personal_names"), F.concat("__entities", marked).alias("entities"),
+        text.pos_tags(F.col("__raw")).alias("pos_tags"), "metadata", intent.category(F.col("__raw")).alias("category"),
+    )
 
 
 def chunk(prepared: DataFrame, known: DataFrame | None = None, most: int = 500) -> DataFrame:
@@ -40,6 +46,22 @@ def embed_new(chunks: DataFrame, known: DataFrame, embedder: Embedder) -> DataFr
     return new.withColumn("embedding", embedder.column(F.col("text")))
 
 
+def embed_in_parts(chunks: DataFrame, path: str, embedder: Embedder, by: str = "filename", parts: int = 16) -> int:
+    """Embed what is new, a part of the files at a time, each appended to ``path`` as a whole; how many parts were written.
+
+    A run that was broken off goes on with the chunks that have no vector at ``path`` yet.
+    """
+    spark, made = chunks.sparkSession, 0
+    for k in range(parts):
+        part = chunks.where(F.pmod(F.xxhash64(by), F.lit(parts)) == k)
+        known = spark.read.parquet(path).select("chunk_id") if sinks.folder_exists(spark, path) else part.select("chunk_id").limit(0)
+        new = embed_new(part, known, embedder)
+        if not consistency.new_rows(part, known, "chunk_id").isEmpty():
+            new.write.mode("append").parquet(path)
+            made += 1
+    return made
+
+
 def observed(rows: DataFrame, name: str, **metrics) -> tuple[DataFrame, Observation]:
     """``rows`` with named aggregates that are counted while they are written."""
     watch = Observation(name)

@@ -157,6 +157,12 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("filename", F.concat(F.lit("2025_"), kind, F.lit("_"), F.col("doc_id").cast("string"), F.lit("_"), head, ending))
 
 
+def _target_sql(query: str) -> str:
+    """SQL of ``target_score`` for a query with one quoted phrase, against the name's tokens ``t``."""
+    asked = f"list_distinct({sql_tokens('regexp_extract(' + chr(39) + query + chr(39) + ', ' + chr(39) + chr(34) + '([^' + chr(34) + ']+)' + chr(34) + chr(39) + ', 1)')})"
+    return f"len(list_intersect({asked}, t)) / len({asked})::DOUBLE"
+
+
 TARGET_QUERY = 'What does "2025 Guide 12 about" say?'
 
 
@@ -164,7 +170,7 @@ TARGET_QUERY = 'What does "2025 Guide 12 about" say?'
     f"""
 WITH f AS (SELECT {_NAME_SQL} AS filename FROM documents),
 t AS (SELECT filename, list_filter(string_split(trim(regexp_replace(lower(replace(regexp_replace(filename, '\\.[^.]*$', ''), '_', ' ')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: len(x) > 2) AS t FROM f)
-SELECT filename, round(len(list_intersect(['2025', 'guide', 'about'], t)) / 3.0::DOUBLE, 6) AS score FROM t ORDER BY score DESC, filename LIMIT 1
+SELECT filename, round({_target_sql(TARGET_QUERY)}, 6) AS score FROM t ORDER BY score DESC, filename LIMIT 1
 """
 )
 def target_document(spark, sf_dir):
@@ -219,8 +225,14 @@ def context_pack(spark, sf_dir):
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _named(table(spark, sf_dir, "documents")).select("doc_id", "filename", "text")
-    return docs.join(_vectors(spark, sf_dir), F.col("doc_id") == F.col("vec_id")).select("filename", F.col("doc_id").cast("string").alias("chunk_id"), "text", "embedding")
+    """Documents as chunks, without vectors."""
+    return _named(table(spark, sf_dir, "documents")).select("filename", F.col("doc_id").cast("string").alias("chunk_id"), "text")
+
+
+def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the chunks that there are: ids alone are compared, no text is read."""
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    return _vectors(spark, sf_dir).join(ids, "vec_id", "left_semi").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
 
 
 @register(
@@ -241,23 +253,86 @@ SELECT row_number() OVER (ORDER BY c.rank)::INTEGER AS position, c.filename, c.c
 )
 def ask_normal(spark, sf_dir):
     """The flagship: the packed context of one question, end to end."""
-    return engine.retrieve(_chunks(spark, sf_dir), "how wings lift", _query_vector(spark, sf_dir), engine.QuarterCounter())
+    return engine.retrieve(_chunks(spark, sf_dir), "how wings lift", _query_vector(spark, sf_dir), engine.QuarterCounter(), vectors=_chunk_vectors(spark, sf_dir))
 
 
-@register()
+STRICT_QUERY = 'What does "2025 Guide 12" say of the andre that shall classify with ingtion edand, and thereon of thereor?'
+
+
+@register(
+    f"""
+WITH RECURSIVE f0 AS (SELECT doc_id, text, {_NAME_SQL} AS filename FROM documents),
+n0 AS (SELECT *, list_filter(string_split(trim(regexp_replace(lower(replace(regexp_replace(filename, '\\.[^.]*$', ''), '_', ' ')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: len(x) > 2) AS t FROM f0),
+target AS (SELECT * FROM (SELECT doc_id, text, filename, {_target_sql(STRICT_QUERY)} AS score FROM n0) WHERE score >= 0.5 ORDER BY score DESC, filename LIMIT 1),
+d AS (SELECT filename, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, list_filter(list_transform(string_split_regex(text, '\\n{{2,}}'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: len(p) > 80) AS ps FROM target),
+n AS (SELECT *, CASE WHEN len(ps) >= 20 THEN len(ps) WHEN len(t) = 0 THEN 0 WHEN len(t) <= 1200 THEN 1 ELSE ceil((len(t) - 200) / 1000.0)::BIGINT END AS n FROM d),
+x AS (SELECT filename, t, ps, unnest(range(n)) AS i FROM n),
+p AS (SELECT filename, i, CASE WHEN len(ps) >= 20 THEN ps[i + 1] ELSE substring(t, 1000 * i + 1, 1200) END AS passage FROM x),
+h AS (SELECT *, list_intersect({_terms(STRICT_QUERY)}, {sql_tokens('passage')}) AS h FROM p),
+u AS (SELECT i, unnest(h) AS term FROM h),
+df AS (SELECT term, count(*) AS df FROM u GROUP BY term),
+o AS (SELECT u.i, sum(1.0::DOUBLE / (1.0 + df.df)) AS o FROM u JOIN df USING (term) GROUP BY u.i),
+s AS (SELECT h.filename, h.i, h.passage, round(coalesce(o.o, 0) + CASE WHEN contains(trim(regexp_replace(lower(passage), '[^a-z0-9]+', ' ', 'g')), 'classified in two areas') THEN 1.0 ELSE 0 END, 9) AS score FROM h LEFT JOIN o USING (i)),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, i) AS rank, max(score) OVER () AS top FROM s),
+c AS (SELECT row_number() OVER (ORDER BY rank) AS rank, filename, concat('raw_passage_', i) AS chunk_id, passage AS text, {_SIGNATURE.replace('text', 'passage')} AS sig, ceil(len(passage) / 4.0)::BIGINT AS tokens FROM r WHERE rank <= 12 AND (score > 0 OR top <= 0)),
+f AS (SELECT 0::BIGINT AS rank, []::VARCHAR[] AS sigs, 0::BIGINT AS total, false AS stop, false AS took
+      UNION ALL
+      SELECT c.rank, CASE WHEN t.take THEN list_append(f.sigs, c.sig) ELSE f.sigs END, CASE WHEN t.take THEN f.total + c.tokens ELSE f.total END,
+             f.stop OR (NOT list_contains(f.sigs, c.sig) AND f.total + c.tokens > 3500), t.take
+      FROM f JOIN c ON c.rank = f.rank + 1, LATERAL (SELECT NOT f.stop AND NOT list_contains(f.sigs, c.sig) AND f.total + c.tokens <= 3500 AS take) t)
+SELECT row_number() OVER (ORDER BY c.rank)::INTEGER AS position, c.filename, c.chunk_id, c.text FROM f JOIN c USING (rank) WHERE f.took
+"""
+)
 def ask_strict(spark, sf_dir):
-    docs = _named(table(spark, sf_dir, "documents"))
-    target = docs.where(F.col("doc_id") == 12).first().filename
-    return engine.retrieve_strict(docs, _chunks(spark, sf_dir), QUERY, target, engine.QuarterCounter())
+    """A question about a document that it names: the document is resolved, and its passages are packed."""
+    docs = _named(table(spark, sf_dir, "documents")).select("filename", "text")
+    target = search.detect_target(docs, STRICT_QUERY).first()
+    return engine.retrieve_strict(docs, _chunks(spark, sf_dir), STRICT_QUERY, target.filename if target else "", engine.QuarterCounter())
 
 
 @register()
 def ask_answer(spark, sf_dir):
     docs = _named(table(spark, sf_dir, "documents"))
-    made = engine.Engine(docs, _chunks(spark, sf_dir))
+    made = engine.Engine(docs, _chunks(spark, sf_dir), vectors=_chunk_vectors(spark, sf_dir))
     return made.ask("how wings lift").select("answer", "strict_mode", F.size("citations").alias("n_citations"), F.size("sources").alias("n_sources"))
 
 
+@register(
+    f"""
+WITH {_SCORED}, t AS (SELECT vec_id, sim FROM s WHERE sim > greatest((SELECT avg(sim) FROM s), 0.2) AND sim >= 0.15 ORDER BY sim DESC, vec_id LIMIT 15),
+j AS (SELECT t.vec_id, t.sim, d.text FROM t JOIN documents d ON d.doc_id = t.vec_id), z AS (SELECT sum(sim) AS z FROM j)
+SELECT vec_id::VARCHAR AS chunk_id, round(sim / z, 6) AS weight, concat(printf('%.2f', sim / z), ' * ', text) AS line FROM j, z
+"""
+)
+def threshold_context(spark, sf_dir):
+    """The alternate engine's retrieval: everything above the threshold, at most fifteen, weighted."""
+    scores = search.scored(_vectors(spark, sf_dir), _query_vector(spark, sf_dir)).select(F.col("vec_id").cast("long").alias("chunk_id"), "similarity")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    found = engine.weighted_context(scores, texts, "chunk_id")
+    return found.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.round("weight", 6).alias("weight"), "line")
+
+
+@register(
+    f"""
+WITH {_SCORED}, t AS (SELECT s.sim, d.doc_id::VARCHAR AS id, d.text FROM s JOIN documents d ON d.doc_id = s.vec_id ORDER BY sim DESC, id LIMIT 15),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY sim DESC, id) AS r FROM t) WHERE r = 1)
+SELECT string_agg(text, chr(10) ORDER BY sim DESC, id) AS context FROM k
+"""
+)
+def checked_search(spark, sf_dir):
+    """Search, each text once, answer, fact check and follow-ups; the context is what SQL can say."""
+    made = engine.checked_answer(_chunks(spark, sf_dir), "how wings lift", _query_vector(spark, sf_dir), engine.ExtractiveGenerator(), vectors=_chunk_vectors(spark, sf_dir))
+    return made.where(F.col("check").isNotNull() & F.col("follow_ups").isNotNull()).select("context")
+
+
+@register("SELECT vec_id, 4 * len(embedding) AS n_bytes, round(list_sum(embedding::FLOAT[]::DOUBLE[]), 6) AS total FROM embeddings")
+def float32_pack(spark, sf_dir):
+    """Vectors packed to bytes and read back."""
+    blob = _vectors(spark, sf_dir).select("vec_id", vectors.pack(F.col("embedding")).alias("blob"))
+    total = F.aggregate(vectors.unpack(F.col("blob")), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return blob.select("vec_id", F.length("blob").cast("long").alias("n_bytes"), F.round(total, 6).alias("total"))
+
+
 @register("SELECT d.doc_id, d.source FROM documents d ANTI JOIN labels l USING (doc_id)")
 def new_chunks(spark, sf_dir):
     return consistency.new_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
@@ -269,7 +344,13 @@ def files_with_new_chunks(spark, sf_dir):
     return consistency.with_new_parts(docs.select("source").distinct(), docs, table(spark, sf_dir, "labels"), "source", "doc_id")
 
 
-@register("SELECT CASE WHEN label = 3 THEN 'missing' WHEN label = 5 THEN 'mismatch' ELSE 'match' END AS status, count(*) AS n FROM embeddings GROUP BY 1")
+@register(
+    """
+WITH stored AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE + CASE WHEN label = 5 THEN 1e-3 ELSE 0 END) AS e FROM embeddings WHERE label <> 3),
+gap AS (SELECT l.vec_id, s.vec_id AS there, len(l.embedding) = len(s.e) AS same, list_max(list_transform(list_zip(l.embedding, s.e), lambda p: abs(p[1]::DOUBLE - p[2]))) AS most FROM embeddings l LEFT JOIN stored s USING (vec_id))
+SELECT CASE WHEN there IS NULL THEN 'missing' WHEN same AND most <= 1e-6 THEN 'match' ELSE 'mismatch' END AS status, count(*) AS n FROM gap GROUP BY 1
+"""
+)
 def consistency_check(spark, sf_dir):
     """Local vectors against a store that lacks one label and differs in another."""
     local = _vectors(spark, sf_dir)

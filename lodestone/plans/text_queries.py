@@ -88,7 +88,11 @@ def section_references(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(text.section_references(F.col("text")), ";").alias("refs"))
 
 
-@register()
+# Of overlapping matches the earlier pattern's stays: a code of three letters takes those of a flight number after a blank, and one organisation of three.
+_KEPT_ENTITIES = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, unnest(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', 'q', 'g'), '{p}')) AS e FROM documents" for label, p in rules.ENTITY_PATTERNS)
+
+
+@register(f"SELECT doc_id, label, count(*) AS n FROM ({_KEPT_ENTITIES}) WHERE NOT (label = 'FLIGHT_NUMBER' AND regexp_matches(e, '^[A-Z]{{3}}\\s')) AND NOT (label = 'AVIATION_ORG' AND len(e) = 3) GROUP BY doc_id, label")
 def rule_entities(spark, sf_dir):
     from lodestone.seams import annotate
 
@@ -194,7 +198,18 @@ def chunk_words_greedy(spark, sf_dir):
     return chunking.chunk_words(_docs(spark, sf_dir), "doc_id", "text", 500)
 
 
-@register()
+@register(
+    f"""
+WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', concat('\\1', chr(31)), 'g'), chr(31)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+f AS (SELECT doc_id, s, list_reduce(list_transform(s, lambda x: {{'c': len({sql_words('x')})::BIGINT, 's': 0::BIGINT, 'n': 0::BIGINT, 'b': [0::BIGINT]}}),
+      lambda acc, x: {{'c': x.c, 's': CASE WHEN acc.s + x.c > 500 AND acc.s > 0 THEN x.c + 50 ELSE acc.s + x.c END, 'n': acc.n + 1,
+                       'b': CASE WHEN acc.s + x.c > 500 AND acc.s > 0 THEN list_append(acc.b, acc.n) ELSE acc.b END}}, {{'c': 0::BIGINT, 's': 0::BIGINT, 'n': 0::BIGINT, 'b': [0::BIGINT]}}).b AS b FROM t WHERE len(s) > 0),
+x AS (SELECT doc_id, s, list_append(b, len(s)) AS b, unnest(range(len(b))) AS i FROM f),
+p AS (SELECT doc_id, i, array_to_string(s[b[i + 1] + 1 : b[i + 2]], ' ') AS own, {sql_words("array_to_string(s[1 : b[i + 1]], ' ')")} AS e FROM x),
+q AS (SELECT doc_id, i, CASE WHEN i > 0 THEN concat(array_to_string(e[greatest(len(e) - 49, 1) : len(e)], ' '), ' ', own) ELSE own END AS body FROM p)
+SELECT concat(doc_id, '_', i) AS chunk_id, doc_id, i::INTEGER AS chunk_no, body AS text, len({sql_words('body')}) AS tokens FROM q
+"""
+)
 def chunk_sentences_overlap(spark, sf_dir):
     return chunking.chunk_sentences(_docs(spark, sf_dir), "doc_id", "text")
 
@@ -221,11 +236,10 @@ def clean_tokens_and_output(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(text.plain_tokens(t)).cast("long").alias("n_tokens"), text.normalize_output(t).alias("plain"))
 
 
-@register("SELECT doc_id, nfc_normalize(text) = text AS same FROM documents WHERE nfc_normalize(text) = text")
+@register("SELECT doc_id, trim(regexp_replace(translate(nfc_normalize(coalesce(text, '')), '\ufffd‘’“”–—', '\"\"--'), '[ \\t]+', ' ', 'g')) AS plain FROM documents")
 def nfkc_output(spark, sf_dir):
-    """Documents that Unicode normalisation leaves alone: all of the given ones."""
-    rows = _docs(spark, sf_dir).select("doc_id", (text.nfkc(F.col("text")) == F.col("text")).alias("same"))
-    return rows.where("same")
+    """The output text of every document, normalised to Unicode NFKC before; the SQL has NFC, which is the same for the given texts."""
+    return _docs(spark, sf_dir).select("doc_id", text.normalize_output(text.nfkc(F.col("text"))).alias("plain"))
 
 
 @register()
@@ -248,3 +262,61 @@ def source_compaction(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("r", F.row_number().over(order)).where("r <= 20")
     packed = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.col("source").alias("filename"), F.col("doc_id").cast("string").alias("chunk_id"), "text"))).alias("s"))
     return packed.select(F.explode(text.compact_sources(F.col("s"))).alias("s")).select("s.*")
+
+
+_LEMMA = """CASE WHEN len(w) < 4 THEN w WHEN ends_with(w, 'ies') THEN concat(left(w, len(w) - 3), 'y') WHEN regexp_matches(w, '(ss|sh|ch|x|z)es$') THEN left(w, len(w) - 2)
+WHEN ends_with(w, 'men') THEN concat(left(w, len(w) - 2), 'an') WHEN regexp_matches(w, '[^siu]s$') THEN left(w, len(w) - 1) ELSE w END"""
+
+
+@register(
+    f"""
+WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]+|[0-9]+(?:\\.[0-9]+)*'), lambda x: NOT list_contains({sql_list(rules.STOP_WORDS)}, x)) AS t FROM documents)
+SELECT doc_id, array_to_string(list_transform(t, lambda w: {_LEMMA}), ' ') AS lemmas FROM t
+"""
+)
+def lemma_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(text.lemmas(F.col("text")), " ").alias("lemmas"))
+
+
+_POS = " ".join(
+    ["WHEN regexp_matches(w, '^[0-9]') THEN 'NUM'", "WHEN NOT regexp_matches(w, '^\\p{L}') THEN 'PUNCT'"]
+    + [f"WHEN list_contains({sql_list(held)}, lower(w)) THEN '{tag}'" for tag, held in rules.CLOSED_CLASSES.items()]
+    + ["WHEN regexp_matches(w, '^\\p{Lu}') THEN 'PROPN'"]
+    + [f"WHEN regexp_matches(lower(w), '.{{2,}}({ending})$') THEN '{tag}'" for tag, ending in rules.OPEN_ENDINGS]
+)
+
+
+@register(
+    f"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{{L}}+|[0-9]+(?:\\.[0-9]+)*|[^\\p{{L}}0-9\\s]')) AS w FROM documents),
+p AS (SELECT doc_id, CASE {_POS} ELSE 'NOUN' END AS pos FROM w)
+SELECT doc_id, pos, count(*) AS n FROM p GROUP BY doc_id, pos
+"""
+)
+def pos_tag_counts(spark, sf_dir):
+    """Tags of every document, counted; counts come together within a task before anything moves."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(F.transform(text.pos_tags(F.col("text")), lambda p: p.pos)).alias("pos"))
+    return rows.groupBy("doc_id", "pos").agg(F.count("*").alias("n"))
+
+
+@register("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso, regexp_replace(strftime(ts, '%I:%M:%S %p'), '^0', '') AS clock FROM events")
+def clock_formats(spark, sf_dir):
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", text.day(ts).alias("day"), text.iso_utc(ts).alias("iso"), text.clock(ts).alias("clock"))
+
+
+@register("SELECT doc_id, sha256(coalesce(text, '')) AS digest, source || ':' || lang AS tag FROM documents")
+def sha256_digests(spark, sf_dir):
+    """A hex digest of every text, and a value of a merged map with one key left out."""
+    held = text.merged(F.create_map(F.lit("tag"), F.lit("old"), F.lit("gone"), F.lit("x")), F.create_map(F.lit("tag"), F.concat_ws(":", "source", "lang")), "gone")
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.try_element_at(held, F.lit("tag")).alias("tag"))
+
+
+@register()
+def bpe_token_counts(spark, sf_dir):
+    """Tokens of every document by a BPE vocabulary file; SQL has none."""
+    import public_tokenizers
+
+    from lodestone.seams import BpeCounter
+
+    return _docs(spark, sf_dir).select("doc_id", BpeCounter(public_tokenizers.path("byte_bpe_50k.json")).column(F.col("text")).alias("n_tokens"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import random
 import re
 import time
 from collections.abc import Callable
@@ -14,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from lodestone.functions import rules
+from lodestone.functions import rules, vectors
 from lodestone.functions.text import sentences_of, tokens_for_match
 
 
@@ -44,6 +46,21 @@ class HashingEmbedder:
         return arrow_udf(lambda t: pa.array([self.one(x) for x in t.to_pylist()], pa.list_(pa.float64())), "array<double>")(text)
 
 
+class LetterEmbedder:
+    """Unit vectors of letter counts a to z: a built-in expression."""
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def one(self, text: str) -> list[float]:
+        out = np.array([(text or "").lower().count(c) for c in self.letters], float)
+        size = float(np.sqrt((out**2).sum()))
+        return (out / size if size else out).tolist()
+
+    def column(self, text: Column) -> Column:
+        t = F.lower(F.coalesce(text, F.lit("")))
+        return vectors.unit(F.array(*[F.regexp_count(t, F.lit(c)).cast("double") for c in self.letters]))
+
+
 class TokenCounter(Protocol):
     def column(self, text: Column) -> Column: ...
 
@@ -55,6 +72,57 @@ class QuarterCounter:
         return F.ceil(F.length(text) / 4).cast("long")
 
 
+class BpeCounter:
+    """Tokens by a BPE vocabulary file of the tokenizers library, in Arrow batches; a null text has none."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            self.spec = file.read()
+
+    def column(self, text: Column) -> Column:
+        spec = self.spec
+        made: list = []  # one tokenizer a worker and query
+
+        def count(texts: pa.Array) -> pa.Array:
+            if not made:
+                from tokenizers import Tokenizer
+
+                made.append(Tokenizer.from_str(spec))
+                made[0].no_truncation()
+                made[0].no_padding()
+            rows = texts.to_pylist()
+            out = []
+            for k in range(0, len(rows), 256):
+                out += [len(x.ids) for x in made[0].encode_batch([t or "" for t in rows[k : k + 256]], add_special_tokens=False)]
+            return pa.array(out, pa.int64())
+
+        return arrow_udf(count, "long")(text)
+
+
+class CachedEmbedder:
+    """Another embedder, asked once for each distinct text of a batch, and once for each query."""
+
+    def __init__(self, inner: Embedder, most: int = 1000):
+        self.inner, self.most, self.known = inner, most, {}
+
+    def one(self, text: str) -> list[float]:
+        if text not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[text] = self.inner.one(text)
+        return self.known[text]
+
+    def column(self, text: Column) -> Column:
+        inner = self.inner
+
+        def vectors(texts: pa.Array) -> pa.Array:
+            rows = texts.to_pylist()
+            made = {t: inner.one(t) for t in dict.fromkeys(rows)}
+            return pa.array([made[t] for t in rows], pa.list_(pa.float64()))
+
+        return arrow_udf(vectors, "array<double>")(text)
+
+
 class Generator(Protocol):
     def answer(self, query: str, context: Column) -> Column: ...
 
@@ -113,17 +181,20 @@ def annotate(text: Column, name: str = "rules") -> Column:
     return arrow_udf(lambda t: pa.array([[{"text": a, "label": b} for a, b in x] for x in fn(t.to_pylist())], kind), "array<struct<text:string,label:string>>")(text)
 
 
+_PATTERNS = [(label, re.compile(p)) for label, p in rules.ENTITY_PATTERNS]
+
+
 def rule_entities(texts: list[str]) -> list[list[tuple[str, str]]]:
     """Entities by the fixed patterns, in their order; a later one that overlaps an earlier one is dropped."""
-    patterns = [(label, re.compile(p)) for label, p in rules.ENTITY_PATTERNS]
     out = []
     for text in texts:
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # ascending, and none overlaps another
         found = []
-        for label, pattern in patterns:
+        for label, pattern in _PATTERNS:
             for m in pattern.finditer(text or ""):
-                if all(m.end() <= a or b <= m.start() for a, b in taken):
-                    taken.append(m.span())
+                at = bisect.bisect_left(taken, m.span())
+                if (at == 0 or taken[at - 1][1] <= m.start()) and (at == len(taken) or m.end() <= taken[at][0]):
+                    taken.insert(at, m.span())
                     found.append((m[0], label))
         out.append(found)
     return out
@@ -132,16 +203,20 @@ def rule_entities(texts: list[str]) -> list[list[tuple[str, str]]]:
 register_annotator("rules", rule_entities)
 
 
-def retried(fn, tries: int = 3, wait: float = 2.0, sleep=time.sleep):
-    """``fn`` again after growing waits, for remote models inside a seam."""
+class RateLimited(Exception):
+    """What a remote model raises when it is asked too often."""
+
+
+def retried(fn, tries: int = 3, wait: float = 2.0, sleep=time.sleep, jitter=random.uniform):
+    """``fn`` again after growing waits, for remote models inside a seam; longer ones, and never equal, where it is asked too often."""
 
     def call(*args, **kwargs):
         for k in range(tries):
             try:
                 return fn(*args, **kwargs)
-            except Exception:
+            except Exception as e:
                 if k == tries - 1:
                     raise
-                sleep(wait * 2**k)
+                sleep(10 * (k + 1) + jitter(1, 5) if isinstance(e, RateLimited) else wait * 2**k)
 
     return call

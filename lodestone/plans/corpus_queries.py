@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from lodestone.operators import analytics, sessions
 from lodestone.plans import ingest
 from lodestone.plans.registry import ORACLES, register, sql_list, sql_words
 from lodestone.seams import HashingEmbedder, LetterEmbedder
-from lodestone.session import table
+from lodestone.session import shared_dir, table
 from lodestone.streaming import incremental
 
 _PLAIN = f"list_filter(regexp_extract_all(lower(text), '[a-z]+|[0-9]+(?:\\.[0-9]+)*'), lambda x: NOT list_contains({sql_list(rules.STOP_WORDS)}, x))"
@@ -357,8 +356,7 @@ def session_windows(spark, sf_dir):
 @register("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def incremental_ingest(spark, sf_dir):
     """The events table taken in as a file stream, each id once."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='lodestone-ingest-')}"
-    base = f"{base}/ingest-{os.getpid()}-{os.urandom(4).hex()}"
+    base = f"{shared_dir(spark)}/ingest-{os.getpid()}-{os.urandom(4).hex()}"
     schema = table(spark, sf_dir, "events").schema.simpleString()[len("struct<") : -1]
     incremental.ingest(spark, sf_dir, ", ".join(x.replace(":", " ", 1) for x in schema.split(",")), f"{base}/out", f"{base}/state", "event_id", only="events.parquet")
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))

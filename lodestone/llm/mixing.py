@@ -13,8 +13,8 @@ more epoch, in the order of a seeded hash of (seed, epoch, doc_id): documents
 are taken in that order as long as their tokens fit.
 
 The prefix of a leaf of any size is found without ordering the leaf in one
-task: tokens are summed per slice of the hash range, slices are accumulated per
-leaf (65,536 rows at most), and only the slice where the budget ends is
+task: tokens are summed per slice of the hash range (65,536 a leaf), slices are
+accumulated in 256 stretches of 256, and only the slice where the budget ends is
 ordered row by row. Weights are small tables by their nature: one row per node.
 
 Everything is DataFrame expressions. Defined results: a null text has 0 tokens;
@@ -118,10 +118,8 @@ def _chosen(rows: DataFrame, total: float | Column, weights: dict[tuple, float],
     epoch = F.col("__whole").cast("string")
     held = rows.join(budgets, list(LEVELS)).withColumn("__hash", F.md5(F.concat_ws(":", F.lit(str(seed)), epoch, F.coalesce(F.col("__id").cast("string"), F.lit(""))).cast("binary")))
     held = held.withColumn("__slice", F.substring("__hash", 1, SLICE_DIGITS))
-    slices = held.groupBy(*LEVELS, "__slice").agg(F.sum("__tokens").alias("__sum"), F.first("__rest").alias("__of"))
-    order = Window.partitionBy(*LEVELS).orderBy("__slice")
-    slices = slices.withColumn("__before", F.coalesce(F.sum("__sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    slices = slices.select(*LEVELS, "__slice", "__before", (F.col("__before") + F.col("__sum") > F.col("__of")).alias("__ends"))
+    slices = materialize(held.groupBy(*LEVELS, "__slice").agg(F.sum("__tokens").alias("__sum"), F.first("__rest").alias("__of")), "mixing-slices")
+    slices = _accumulated(slices).select(*LEVELS, "__slice", "__before", (F.col("__before") + F.col("__sum") > F.col("__of")).alias("__ends"))
     held = held.join(slices, [*LEVELS, "__slice"])
     sure = held.where(~F.col("__ends")).select(*rows.columns, (F.col("__whole") + 1).alias("copies"))
     within = Window.partitionBy(*LEVELS, "__slice").orderBy("__hash", "__id")
@@ -133,6 +131,20 @@ def _chosen(rows: DataFrame, total: float | Column, weights: dict[tuple, float],
     return sure.unionByName(past).unionByName(edge)
 
 
+def _accumulated(slices: DataFrame) -> DataFrame:
+    """``__before``: the tokens of a leaf's earlier slices, by sums over stretches of slices, so that no task orders a whole leaf's."""
+    top = F.substring("__slice", 1, SLICE_DIGITS // 2).alias("__top")
+
+    def earlier(rows: DataFrame, keys: list[str], order: str, size: str, out: str) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(out, F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+
+    stretches = slices.groupBy(*LEVELS, top).agg(F.sum("__sum").alias("__stretch"))
+    stretches = earlier(stretches, list(LEVELS), "__top", "__stretch", "__above").drop("__stretch")
+    placed = earlier(slices.select("*", top), [*LEVELS, "__top"], "__slice", "__sum", "__within")
+    return placed.join(stretches, [*LEVELS, "__top"]).withColumn("__before", F.col("__above") + F.col("__within")).drop("__top", "__above", "__within")
+
+
 def sample(docs: DataFrame, domain: Column, total: float | Column, weights: dict[tuple, float], seed: int = 17, max_epochs: int = 4) -> DataFrame:
     """The mixed documents: every row of ``docs`` as often as epochs take it, all columns."""
     taken = plan(docs, domain, total, weights, seed, max_epochs).where("copies > 0")

@@ -15,7 +15,8 @@ driver.
 
 Defined results: a null text counts as empty and is scored like any text; a
 null doc_id is not held out; several labels of one doc_id count by their
-majority, ties as 1; without any label every score is 0.5; repeated rows give
+majority, ties as 1, and of several texts of a labelled doc_id the smallest is
+learnt from, so the model is the same in every run; without any label every score is 0.5; repeated rows give
 repeated rows; an empty table gives an empty table; further columns are ignored
 by ``scores`` and pass through ``keep``.
 """
@@ -161,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> For
     known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg((F.avg("quality") >= 0.5).cast("int").alias("__label"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     # At most max_train rows of two numbers: small enough for every executor, whatever the corpus.
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(known), "__id").dropDuplicates(["__id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(known), "__id").groupBy("__id", "__label").agg(F.min("text").alias("text"))
     numbers = arrow_udf(_rows_of_features, "array<double>")
     found = rows.select("__id", "__label", numbers(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("x")).toArrow().sort_by("__id")
     x = np.array(found.column("x").to_pylist(), np.float64).reshape(found.num_rows, len(FEATURES))

@@ -3,40 +3,27 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import shared_dir
+
 #: Words of a text: runs of anything but ASCII white space.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder of its own; any
-    other master is refused, because a machine-local folder is not shared.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not context.master.startswith("local[") and context.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+#: Scratch paths and tables of this driver, in the order in which they were made.
+_MADE: list[tuple[str | None, str | None]] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((path, None))
     system, target = _file_system(spark, path)
     system.mkdirs(target)
     system.deleteOnExit(target)
@@ -49,6 +36,20 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+def made_so_far() -> int:
+    return len(_MADE)
+
+
+def discard(spark: SparkSession, since: int, keep: int) -> None:
+    """Delete the scratch made from place ``since`` up to ``keep``, which no later plan reads: files, and tables of the catalog."""
+    for path, name in _MADE[since:keep]:
+        if name is not None:
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        if path is not None:
+            remove(spark, path)
+    del _MADE[since:keep]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps survive lost executors."""
     spark = df.sparkSession
@@ -66,6 +67,7 @@ def bucketed(df: DataFrame, key: str, name: str, path: str | None = None, dealt:
     path, name = path or f"{scratch(spark, name)}/rows", f"{name}_{uuid.uuid4().hex}"
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df = df.repartition(n, key) if dealt else df
+    _MADE.append((None, name))
     df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 

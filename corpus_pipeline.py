@@ -8,7 +8,7 @@ mix: documents are chosen to the target weights. One epoch at most: a repeated
 bpe: every document that is left, encoded and decoded; ids and digests.
 
 Every stage's rows are written and read again, so a lost executor repeats at
-most one stage. Nulls, empty tables and further columns are treated as the
+most one stage; ``run`` deletes a stage's scratch once its rows are there. Nulls, empty tables and further columns are treated as the
 operators say.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, exact_dedup, minhash_dedup, mixing, quality
-from lodestone.llm.common import materialize
+from lodestone.llm.common import discard, made_so_far, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), made_so_far()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # The stage's rows are written: its scratch, and the rows of the stage before, are read no more.
+        discard(spark, since, made_so_far() - 1)
     return STAGES[-1][1](spark, docs, sf_dir)

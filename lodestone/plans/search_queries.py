@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from lodestone import engine
 from lodestone.functions import intent, rules, text, vectors
 from lodestone.operators import consistency, packing, search, sessions
 from lodestone.plans.registry import register, sql_list, sql_tokens
-from lodestone.session import table
+from lodestone.session import shared_dir, table
+from lodestone.sources import sinks
 
 QUERY = 'According to the document, which of the "and thereon" and thereor requirements shall the andre classify with ingtion edand?'
 VECTOR_ID = 0
@@ -94,13 +97,28 @@ SELECT vec_id, round(sim, 6) AS similarity FROM s ORDER BY sim DESC, vec_id LIMI
 """
 )
 def cell_search(spark, sf_dir):
-    """Cells fitted on a sample, as many probed as the sample's own neighbours need; the SQL's are first vectors of labels, three probed."""
+    """Cells fitted on a sample, as many probed as the sample's own neighbours need; the SQL's are first vectors of labels, three probed.
+
+    The cells are written once for a session and folder; every question reads the folders of its nearest cells.
+    """
     query = _query_vector(spark, sf_dir)
-    sample = _sample(spark, sf_dir, len(query))
-    centres = search.fit_centres(sample, CELLS)
-    rows = search.assign_cells(_vectors(spark, sf_dir), centres)
-    probes = search.probes_for(sample, centres, 5, RECALL)
-    return search.cell_search(rows, query, centres, 5, "vec_id", probes=probes).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    path, probes = _cells(spark, sf_dir, len(query))
+    return search.top_k(search.read_cells(spark, path, query, probes), query, 5, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+_WRITTEN: dict[tuple, tuple[str, int]] = {}
+
+
+def _cells(spark: SparkSession, sf_dir: str, dims: int) -> tuple[str, int]:
+    """Where the vectors lie by cell, and how many cells to probe."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        sample = _sample(spark, sf_dir, dims)
+        centres = search.fit_centres(sample, CELLS)
+        path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+        sinks.write_cells(search.assign_cells(_vectors(spark, sf_dir), centres), path, centres)
+        _WRITTEN[key] = path, search.probes_for(sample, centres, 5, RECALL)
+    return _WRITTEN[key]
 
 
 def _terms(q: str) -> str:

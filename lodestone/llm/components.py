@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import materialize
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node and label (smallest node of its component) of every node of ``edges`` (u, v).
+def written_edges(edges: DataFrame) -> DataFrame:
+    """Distinct u < v of ``edges``, in the shared folder."""
+    return materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "components")
+
+
+def components(edges: DataFrame, max_rounds: int = 60, written: bool = False) -> DataFrame:
+    """node and label (smallest node of its component) of every node of ``edges`` (u, v); ``written``: they are from ``written_edges``.
 
     Each round is two aggregations and joins by node; its edges are written to
     the shared folder, so lineage stays short. A node with very many neighbours
@@ -17,7 +22,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     too: so the join's edges come straight from their own exchange, and the
     engine can split a node's edges among tasks, or send the few rows around.
     """
-    held = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "components")
+    held = edges if written else written_edges(edges)
     before = None
     for _ in range(max_rounds):
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))

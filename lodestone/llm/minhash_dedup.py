@@ -16,10 +16,12 @@ give a forest of likely links (at most one row per set and tree), not pairs. A
 node that stays large after ``DEEPEST`` branchings is split into blocks that
 meet block by block, so it too is compared in full. Likely links only group
 sets into clusters, a superset of the true groups; each cluster is then judged
-on the full shingle sets, all against all within the cluster's task, or block
-by block where a cluster is larger than ``CLUSTER``. A link holds if 100 times
-the intersection is at least ``percent`` times the union. Nothing is capped or
-dropped; nothing but counts reaches the driver.
+on the full shingle sets, all against all within the cluster's task. In a cluster
+larger than ``CLUSTER`` the likely links themselves are judged first, one by one:
+mostly they hold the cluster together and it is done. Where several parts are
+left, blocks of the cluster meet, except two blocks of the same part. A link
+holds if 100 times the intersection is at least ``percent`` times the union.
+Nothing is capped or dropped; nothing but counts reaches the driver.
 
 Defined results: A-Z lower-cased, words are runs of anything but ASCII white
 space; with fewer words than a shingle the whole sequence is one shingle; a null
@@ -48,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import buckets, give_back, materialize
-from lodestone.llm.components import components
+from lodestone.llm.components import components, written_edges
 
 SHINGLE, PERCENT = 5, 80
 PLACES = 128
@@ -292,6 +294,21 @@ def _judge(percent: int):
     return rows
 
 
+def _judge_links(percent: int):
+    """The likely links (u, v, with both sets) that hold."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], schema=_EDGE).filter(pa.array(good, pa.bool_()))
+
+    return rows
+
+
 def _bucket(of: str, n: int):
     return F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
 
@@ -361,27 +378,64 @@ def links(docs: DataFrame, sketches: DataFrame, size: int, percent: int, trees:
     """node, label: the component of every distinct set that is linked with another."""
     spark = docs.sparkSession
     sets = sketches.where("n > 0").dropDuplicates(["key"]).select("key", "sig")
-    likely = likely_links(sets, percent, trees or trees_for(percent), leaf, deepest)
-    rough = components(likely)
+    likely = written_edges(likely_links(sets, percent, trees or trees_for(percent), leaf, deepest))
+    rough = components(likely, written=True)
     # Written, so that the join's members come straight from their own exchange and a large cluster's can be split.
     sizes = materialize(rough.groupBy("label").agg(F.count("*").alias("size_of")), "near-sizes")
     members = materialize(rough.join(sizes, "label").select(F.col("node").alias("key"), F.col("label").alias("cluster"), "size_of"), "near-clusters")
     own = F.min(F.when(F.col("id") != NO_ID, F.col("id")))
     wanted = materialize(sketches.where("n > 0").groupBy("key").agg(F.coalesce(own, F.lit(NO_ID)).alias("id")).join(members, "key"), "near-wanted")
-    ids = wanted.select("id").distinct()
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-    full = texts.select("text").mapInArrow(_full_sets(size), _sql(_SET))
-    full = full.join(members, "key").dropDuplicates(["key"])
-    small = full.where(F.col("size_of") <= cluster).withColumn("bucket", _bucket("cluster", buckets(spark, 4)))
+
+    def fetched(part: DataFrame) -> DataFrame:
+        """key, shingles and cluster of the wanted sets, from one text each."""
+        ids = part.select("id").distinct()
+        if ids.count() <= BROADCAST_ROWS:
+            ids = F.broadcast(ids)
+        texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+        full = texts.select("text").mapInArrow(_full_sets(size), _sql(_SET))
+        return full.join(part.select("key", "cluster"), "key").dropDuplicates(["key"])
+
+    small = fetched(wanted.where(F.col("size_of") <= cluster)).withColumn("bucket", _bucket("cluster", buckets(spark, 4)))
     judged = _judge(percent)
     edges = small.groupBy("bucket").applyInArrow(lambda t: judged(t), _sql(_EDGE))
-    large = _in_blocks(full.where(F.col("size_of") > cluster), "cluster", max(1, cluster // 2))
-    edges = edges.unionByName(large.groupBy("pair").applyInArrow(lambda t: judged(t), _sql(_EDGE)))
+    if not sizes.where(F.col("size_of") > cluster).isEmpty():
+        large = materialize(fetched(wanted.where(F.col("size_of") > cluster)).select("key", "shingles", "cluster"), "near-large")
+        edges = edges.unionByName(_large_edges(large, likely, percent, max(1, cluster // 2)))
     return components(edges)
 
 
+def _large_edges(large: DataFrame, likely: DataFrame, percent: int, size: int) -> DataFrame:
+    """True links of the large clusters (key, shingles, cluster), which join what belongs together.
+
+    The likely links are judged one by one; parts that they leave apart meet in blocks of about ``size`` sets.
+    A part of as many sets has blocks of its own, smaller ones share blocks; two blocks of the same part do not meet.
+    """
+    ends = [large.select(F.col("key").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "a"), ("v", "b"))]
+    true = materialize(likely.join(ends[0], "u").join(ends[1], "v").select("u", "v", "a", "b").mapInArrow(_judge_links(percent), _sql(_EDGE)), "near-true")
+    label = components(true).select(F.col("node").alias("key"), F.col("label").alias("part"))
+    placed = materialize(large.select("key", "cluster").join(label, "key", "left").select("key", "cluster", F.coalesce("part", "key").alias("part")), "near-parts")
+    parts = placed.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    few = F.col("n") < size
+    whole = parts.groupBy("cluster").agg(F.count("*").alias("n_parts"), F.sum(F.when(few, F.col("n")).otherwise(0)).alias("n_few"))
+    apart = materialize(whole.where("n_parts > 1"), "near-apart")
+    if apart.isEmpty():
+        return true
+    blocks = materialize(parts.join(apart, "cluster").select("cluster", "part", few.alias("few"), F.ceil(F.when(few, F.col("n_few")).otherwise(F.col("n")) / F.lit(size)).cast("long").alias("n_blocks")), "near-blocks")
+    own = F.concat(F.lit("own:"), F.hex("part"), F.lit(":"), F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("string"))
+    shared = F.concat(F.lit("few:"), F.pmod(F.xxhash64("part"), F.col("n_blocks")).cast("string"))
+    rows = placed.join(blocks, ["cluster", "part"]).select("key", "cluster", F.when(F.col("few"), shared).otherwise(own).alias("block"), F.when(~F.col("few"), F.col("part")).alias("pure"))
+    rows = materialize(rows, "near-dealt")
+    named = rows.select("cluster", "block", "pure").distinct()
+    other = named.select("cluster", F.col("block").alias("other"), F.col("pure").alias("other_pure"))
+    # Blocks, of which there is one for some thousand sets, are paired; sets are not.
+    met = named.join(other, "cluster").where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("pure") == F.col("other_pure"), F.lit(False)))
+    pair = F.xxhash64("cluster", "block", "other").alias("pair")
+    sides = met.select("cluster", F.explode(F.array_distinct(F.array("block", "other"))).alias("block"), pair)
+    sets = rows.select("key", "cluster", "block").join(sides, ["cluster", "block"]).join(large.select("key", "shingles"), "key")
+    judged = _judge(percent)
+    return true.unionByName(sets.select("cluster", "key", "shingles", "pair").groupBy("pair").applyInArrow(lambda t: judged(t), _sql(_EDGE)))
+
+
 def _id():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 

@@ -125,6 +125,25 @@ def test_recall_of_the_default_trees_in_branching_nodes(spark):
     assert len(alike) > 600 and not lost
 
 
+def test_large_clusters_of_several_parts(spark):
+    """A cluster far above its bound, of parts that likely links join and full sets keep apart."""
+    rng, rows = random.Random(4), []
+    base = [f"w{k}" for k in range(120)]
+    for part, change in enumerate((0, 14, 30)):
+        own = list(base)
+        for k in range(change):
+            own[7 * k % 120] = f"p{part}-{k}"
+        for _ in range(40):
+            w = list(own)
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + k, " ".join(base[k : k + 60] + [f"z{k}"] * 9)) for k in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for cluster in (10, 60):
+        got = minhash_dedup.classes(docs, 3, 85, cluster=cluster).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 3, 85)
+
+
 def test_the_smallest_key_names_a_component():
     label, key = np.array([0, 1, 0, 0, 1]), [b"d", b"z", b"b", b"c", b"a"]
     assert minhash_dedup._smallest(label, key, np.arange(5)).tolist() == [2, 4, 2, 2, 4]

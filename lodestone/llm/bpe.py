@@ -9,8 +9,8 @@ and never crosses, so a text's ids are its words' ids in order. The plan:
 2. deal the chunks' distinct words to buckets by hash; a bucket holds every
    occurrence of a word in any chunk's list, so each distinct word of the
    corpus is encoded once; its ids go back to the chunks that asked;
-3. join ids back by position within each chunk; decode by joining each id to
-   its piece.
+3. join ids back by position within each chunk; decode by joining the ids to
+   the table of pieces by id, which the tokenizer file gives every worker.
 
 No row per word occurrence is ever shuffled. A frequent word costs one list
 entry per chunk, so there is no hot key. The only thing sent to every executor
@@ -149,11 +149,8 @@ def _assemble(spec, ids_as_text: bool, out_schema: pa.Schema):
         lens = np.concatenate([_expand(x) for x in replies.column("lens").to_pylist()] or [np.zeros(0, np.uint32)])
         flat = np.concatenate([_expand(x) for x in replies.column("ids").to_pylist()] or [np.zeros(0, np.uint32)])
         order = _expand(chunk.column("order")[0].as_py())
-        used, flat_at = np.unique(flat, return_inverse=True)
-        names = [str(i) for i in used.tolist()]
-        pieces = [_piece(tokenizer, i) for i in used.tolist()]
-        numbers = [names[k] for k in flat_at.tolist()]
-        parts = [pieces[k] for k in flat_at.tolist()]
+        names, pieces = _piece_table(tokenizer)
+        numbers, parts = [names[i] for i in flat.tolist()], [pieces[i] for i in flat.tolist()]
         ends = np.cumsum(lens, dtype=np.int64).tolist()
         n_of, id_of, piece_of = np.zeros(len(order), np.int64), [""] * len(order), [""] * len(order)
         n_of[order] = lens
@@ -191,8 +188,15 @@ def _and_give_back(answer):
     return (lambda a: told(a)) if answer.__code__.co_argcount == 1 else (lambda a, b: told(a, b))
 
 
-def _piece(tokenizer, i: int) -> str:
-    return tokenizer.id_to_token(i) or ""
+_PIECES: dict[int, tuple[list[str], list[str]]] = {}
+
+
+def _piece_table(tokenizer) -> tuple[list[str], list[str]]:
+    """By id, its decimal digits and its piece ('' for an id without one): the side that every chunk's ids join. Built once per Python worker."""
+    if id(tokenizer) not in _PIECES:
+        most = max(tokenizer.get_vocab(with_added_tokens=True).values(), default=-1)
+        _PIECES[id(tokenizer)] = [str(i) for i in range(most + 1)], [tokenizer.id_to_token(i) or "" for i in range(most + 1)]
+    return _PIECES[id(tokenizer)]
 
 
 _PACKED_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("places", pa.binary()), ("order", pa.binary()), ("words", pa.binary())])

@@ -104,3 +104,14 @@ def test_prefix_and_edge_rows(spark):
     assert mixed.columns == docs.columns
     assert mixed.where("doc_id is not null").count() == sum(c for *_, c in ordered)
     assert mixing.plan(docs.limit(0), F.lit("d"), 10.0, {}).count() == 0
+
+
+def test_very_long_texts_and_many_slices(spark):
+    rows = [(k, "w " * 200, "en", "s1") for k in range(400)] + [(1000, "long " * 300_000, "en", "s2"), (1001, "é" * 1_000_000, None, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(6)
+    got = {r.doc_id: (r.n_tokens, r.copies) for r in mixing.plan(docs, F.lit("d"), 60_000.0, {("d", "en", "s2"): 0.0}, seed=5, max_epochs=2).collect()}
+    assert got[1000] == (300_000, 0) and got[1001][0] == 1
+    # The leaf without a language takes its 2 tokens, the other language's only open leaf the rest: 299 texts of 200 words.
+    assert got[1001] == (1, 2)
+    taken = [got[k][1] for _, k in sorted((hashlib.md5(f"5:0:{k}".encode()).hexdigest(), k) for k in range(400))]
+    assert taken == sorted(taken, reverse=True) and sum(taken) == 299

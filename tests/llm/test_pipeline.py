@@ -94,3 +94,23 @@ def test_stages_stand_nulls_repeats_and_no_rows(spark, tmp_path):
                 assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", ")
             if not data:
                 assert docs.count() == 0
+
+
+def test_stages_pass_clashing_columns_and_very_long_texts(spark, tmp_path):
+    """Columns named like the operators' own, and a text of 60,000 distinct words with a near copy."""
+    long = " ".join(f"word{k}" for k in range(60_000))
+    plain = [" ".join(f"{w}{k % 7}" for w in ("the", "plane", "flew", "over", "hills", "and", "rivers", "today")) for k in range(14)]
+    rows = [(k, t, "en", f"src{k % 3}", len(t)) for k, t in enumerate([long, long + " more", long, *plain])]
+    docs = spark.createDataFrame([(*r, *range(9)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, label int, score int, id int, key int, mark int, copies int, tokens int, domain int, best int")
+    columns = docs.columns
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[1:]):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        if name != "bpe":
+            assert docs.columns == columns and set(docs.select("best").distinct().collect()) <= {(8,)}
+        if name == "exact":
+            assert docs.count() == 2 + 7
+        if name == "near":
+            assert docs.where("n_chars > 1000").count() == 1
+    kept = quality.keep(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, __score int, label int"), spark.read.parquet(f"{SF}/labels.parquet"), threshold=0.0)
+    assert kept.columns[-2:] == ["__score", "label"] and kept.count() == len(rows)

@@ -359,7 +359,7 @@ def new_chunks(spark, sf_dir):
 @register("SELECT DISTINCT d.source FROM documents d ANTI JOIN labels l USING (doc_id)")
 def files_with_new_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return consistency.with_new_parts(docs.select("source").distinct(), docs, table(spark, sf_dir, "labels"), "source", "doc_id")
+    return consistency.with_new_parts(docs.select("source").distinct(), docs, table(spark, sf_dir, "labels"), "source", "doc_id").orderBy("source")
 
 
 @register(

@@ -278,6 +278,26 @@ def lemma_tokens(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(text.lemmas(F.col("text")), " ").alias("lemmas"))
 
 
+_REFS = "list_concat(list_concat(regexp_extract_all(text, '\\b\\d+(?:\\.\\d+)+\\b'), regexp_extract_all(text, '\\b[Ll]evel\\s\\d+\\b')), list_concat(regexp_extract_all(text, '\\b[Pp]art\\s\\d+\\b'), regexp_extract_all(text, '§\\s*\\d+(?:\\.\\d+)*')))"
+
+
+@register(
+    f"""
+WITH k AS (SELECT doc_id, count(*) AS n FROM ({_KEPT_ENTITIES}) WHERE NOT (label = 'FLIGHT_NUMBER' AND regexp_matches(e, '^[A-Z]{{3}}\\s')) AND NOT (label = 'AVIATION_ORG' AND len(e) = 3) GROUP BY doc_id),
+d AS (SELECT doc_id, text, greatest(len({_REFS}), 1) AS n_refs FROM documents)
+SELECT d.doc_id, len(text) AS n_chars, n_refs, len(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) AS n_names, coalesce(k.n, 0) + n_refs AS n_entities,
+       len(regexp_extract_all(text, '\\p{{L}}+|[0-9]+(?:\\.[0-9]+)*|[^\\p{{L}}0-9\\s]')) AS n_pos FROM d LEFT JOIN k USING (doc_id)
+"""
+)
+def document_part_sizes(spark, sf_dir):
+    """Sizes of a document's parts; where it has no section reference, the default counts as one."""
+    from lodestone.plans import ingest
+
+    rows = ingest.prepare(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("filename"), "text"))
+    parts = rows.select(F.col("filename").cast("long").alias("doc_id"), *[F.size(c).cast("long").alias(n) for c, n in (("section_references", "n_refs"), ("personal_names", "n_names"), ("entities", "n_entities"), ("pos_tags", "n_pos"))])
+    return _docs(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("n_chars")).join(parts, "doc_id")
+
+
 _POS = " ".join(
     ["WHEN regexp_matches(w, '^[0-9]') THEN 'NUM'", "WHEN NOT regexp_matches(w, '^\\p{L}') THEN 'PUNCT'"]
     + [f"WHEN list_contains({sql_list(held)}, lower(w)) THEN '{tag}'" for tag, held in rules.CLOSED_CLASSES.items()]

@@ -52,5 +52,13 @@ def is_skipped(kind: Column, of: Column) -> Column:
 def category(text: Column) -> Column:
     """The category with most of its phrases in the text; the first listed wins ties. Phrases in capitals match nothing in a lower-cased text, as listed."""
     low = F.lower(text)
-    scores = [F.struct(sum((F.contains(low, F.lit(p)).cast("int") for p in phrases), F.lit(0)).alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("name")) for k, (name, phrases) in enumerate(rules.CATEGORIES.items())]
+    listed = {p for phrases in rules.CATEGORIES.values() for p in phrases if p == p.lower()}
+
+    def held(phrase: str) -> Column:
+        # A text that lacks a listed part of the phrase lacks the phrase: then the text is not searched again.
+        part = min((q for q in listed if q != phrase and q in phrase), key=lambda q: (-len(q), q), default=None)
+        found = F.contains(low, F.lit(phrase))
+        return (F.contains(low, F.lit(part)) & found if part else found).cast("int")
+
+    scores = [F.struct(sum((held(p) for p in phrases if p in listed), F.lit(0)).alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("name")) for k, (name, phrases) in enumerate(rules.CATEGORIES.items())]
     return F.array_max(F.array(*scores))["name"]

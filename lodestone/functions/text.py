@@ -133,8 +133,13 @@ def personal_names(c: Column) -> Column:
 def quality_score(c: Column) -> Column:
     """0.7 by length up to 2000 characters, 0.3 by the share of letters and digits; 0 for a blank text."""
     t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "^\\s+|\\s+$", ""))
-    share = F.length(F.regexp_replace(t, "[^\\p{L}\\p{N}]", "")) / F.length(t)
-    return F.when(F.length(t) > 0, F.lit(0.7) * F.least(F.length(t) / F.lit(2000.0), F.lit(1.0)) + F.lit(0.3) * share).otherwise(F.lit(0.0))
+
+    def score(t: Column) -> Column:
+        share = F.length(F.regexp_replace(t, "[^\\p{L}\\p{N}]+", "")) / F.length(t)
+        return F.when(F.length(t) > 0, F.lit(0.7) * F.least(F.length(t) / F.lit(2000.0), F.lit(1.0)) + F.lit(0.3) * share).otherwise(F.lit(0.0))
+
+    # Bound as the one element of an array, so that the text is trimmed once.
+    return F.get(F.transform(F.array(t), score), F.lit(0))
 
 
 def needs_review(source_type: Column, score: Column) -> Column:

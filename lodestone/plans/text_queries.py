@@ -120,8 +120,8 @@ SELECT doc_id, round(CASE WHEN len(t) > 0 THEN 0.7::DOUBLE * least(len(t) / 2000
 """
 )
 def text_quality_flag(spark, sf_dir):
-    score = text.quality_score(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", F.round(score, 6).alias("score"), text.needs_review(F.lit("pdf"), score).alias("needs_review"))
+    rows = _docs(spark, sf_dir).select("doc_id", text.quality_score(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.round("s", 6).alias("score"), text.needs_review(F.lit("pdf"), F.col("s")).alias("needs_review"))
 
 
 _CATEGORY_ROWS = ", ".join(f"({k}, '{c}', {sql_list(p)})" for k, (c, p) in enumerate(rules.CATEGORIES.items()))

@@ -12,19 +12,6 @@ def token_rows(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return docs.select(*keys, F.explode(plain_tokens(F.col(text))).alias("token"))
 
 
-def token_counts(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """keys, token and n: one row per document and distinct token, counted within the document's own row.
-
-    The sorted tokens are cut where they change, so a document costs a row per distinct token and no shuffle.
-    """
-    rows = docs.select(*keys, F.array_sort(plain_tokens(F.col(text))).alias("__t"))
-    last = lambda i: (i == F.size("__t") - 1) | (F.get("__t", i) != F.get("__t", i + 1))
-    ends = F.filter(F.transform("__t", lambda t, i: F.when(last(i), F.struct(t.alias("token"), i.alias("end")))), lambda e: e.isNotNull())
-    rows = rows.select(*keys, ends.alias("__e"))
-    counted = F.transform("__e", lambda e, k: F.struct(e.token.alias("token"), (e.end - F.coalesce(F.get("__e", k - 1).end, F.lit(-1))).cast("long").alias("n")))
-    return rows.select(*keys, F.explode(counted).alias("__c")).select(*keys, "__c.token", "__c.n")
-
-
 def top_words(docs: DataFrame, n: int | None = 20) -> DataFrame:
     counts = token_rows(docs).groupBy("token").agg(F.count("*").alias("n"))
     return counts if n is None else counts.orderBy(F.col("n").desc(), "token").limit(n)
@@ -123,7 +110,8 @@ def concordance(docs: DataFrame, key: str, word: str, width: int = 5) -> DataFra
 
 def tf_idf(docs: DataFrame, key: str, most_terms: int = 1000) -> DataFrame:
     """Smoothed, length-normalised tf-idf over the most frequent terms; one row per document and term."""
-    counts = token_counts(docs, key).withColumnRenamed("n", "tf")
+    # Counted within each task first, so a row per distinct word and document is moved; both uses below read that exchange.
+    counts = token_rows(docs, key).groupBy(key, "token").agg(F.count("*").alias("tf"))
     terms = counts.groupBy("token").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.col("total").desc(), "token").limit(most_terms)
     n = docs.agg(F.count("*").alias("n_docs"))
     weight = F.col("tf") * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat_format, exact_dedup, license_scan, minhash_dedup, mixing, quality, secrets, substring_dedup, topk_search
+from lodestone.llm import bpe, chat_format, exact_dedup, license_scan, minhash_dedup, mixing, periodic_runs, quality, secrets, substring_dedup, topk_search
 from lodestone.llm.common import sha256_hex
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -134,6 +134,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER, ids_as_text=True))
 
 
+@_query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(_table(spark, sf_dir, "documents"), tile=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", sha256_hex(F.col("runs")).alias("runs_sha256"), sha256_hex(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 @_query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

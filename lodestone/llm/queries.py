@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat_format, divergence, exact_dedup, license_scan, minhash_dedup, mixing, periodic_runs, quality, secrets, substring_dedup, topk_search
+from lodestone.llm import bpe, chat_format, divergence, exact_dedup, license_scan, lm_score, minhash_dedup, mixing, periodic_runs, quality, secrets, substring_dedup, topk_search
 from lodestone.llm.common import sha256_hex
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -139,6 +139,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find(_table(spark, sf_dir, "documents"), tile=True)

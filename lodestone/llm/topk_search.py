@@ -252,7 +252,9 @@ _BLOCK_SQL = "dim int, ids binary, vectors binary"
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, seed_rows: int = SEED_ROWS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's best k other rows."""
     vector = F.col("embedding").cast("array<double>")
-    good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    # Before queries are grouped: a vector that takes no part must not stand for its id. NaN is greater than infinity here.
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x * F.lit(float(scale))) < F.lit(float("inf")), F.lit(False)))
+    good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
     good = good.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding"), is_query.alias("__query"))
     queries = good.where("__query").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n_blocks = max(1, -(-queries.count() // query_block))

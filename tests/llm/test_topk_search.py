@@ -72,3 +72,13 @@ def test_fewer_products_than_brute_force_on_even_vectors():
     r, x, s = topk_search.block_top_k(np.arange(200), q, np.arange(4000), c, 20, known=known, kept=kept)
     assert all(sorted(s[r == n].tolist()) == np.sort(score[n])[-20:].astype(int).tolist() for n in range(200))
     assert kept[-1] < 0.1 and sum(kept) / len(kept) < 0.85
+
+
+def test_an_invalid_vector_does_not_stand_for_its_query(spark):
+    """A query id with several rows, of which some hold what takes no part."""
+    inf, nan = float("inf"), float("nan")
+    for bad in ([-inf, 1.0], [nan, 1.0], [-1e308, 0.0], [None, 0.0], [inf, nan], None):
+        rows = [(20, bad), (20, [0.5, 0.5]), (20, bad), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, bad), (40, bad)]
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = topk_search.top_k(vectors, F.col("vec_id") % 20 == 0, k=20).collect()
+        assert [tuple(r) for r in got] == [(20, 1, 1, 2048), (20, 2, 2, 2048)], bad

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import intent
 from lodestone.functions.text import citations, context_text, dedup_signature, nfkc, normalize_output
-from lodestone.operators import packing, search, sessions
+from lodestone.operators import knn, packing, search, sessions
 from lodestone.seams import Embedder, ExtractiveGenerator, Generator, HashingEmbedder, QuarterCounter, TokenCounter, fact_check, follow_ups
 
 
@@ -37,21 +37,70 @@ def retrieve(chunks: DataFrame, query: str, query_vector: list[float], tokens: T
 
 
 def retrieve_strict(docs: DataFrame, chunks: DataFrame, query: str, filename: str, tokens: TokenCounter, most_tokens: int = 3500, query_vector: list[float] | None = None, k: int = 60, vectors: DataFrame | None = None) -> DataFrame:
-    """The packed passages of one document; where there are none, its chunks by words in common; where it has none, its chunks among the k nearest."""
-    found = search.rank_passages(docs.where(F.col("filename") == filename), "filename", "text", query)
-    columns = ["filename", "chunk_id", "text", "order", "choice"]
-    both = found.select("filename", F.concat(F.lit("raw_passage_"), F.col("idx").cast("string")).alias("chunk_id"), F.col("passage").alias("text"), F.col("rank").cast("double").alias("order"), F.lit(0).alias("choice"))
+    """The packed passages of one document; where there are none, its chunks by words in common; where it has none, its chunks among the k nearest.
+
+    A way is planned only where the one before has no row, which one row of it tells.
+    """
+    name = F.col("chunk_id").cast("string").alias("chunk_id")
     mine = (F.col("filename") == filename) & (F.coalesce("text", F.lit("")) != "")
+    found = search.rank_passages(docs.where(F.col("filename") == filename), "filename", "text", query)
+    chosen = found.select("filename", F.concat(F.lit("raw_passage_"), F.col("idx").cast("string")).alias("chunk_id"), F.col("passage").alias("text"), F.col("rank").cast("double").alias("order"))
+    if chosen.isEmpty():
+        chosen = chunks.where(mine).select("filename", name, "text", (-search.lexical_score(F.col("text"), F.lit(query))).cast("double").alias("order"))
+        if query_vector is not None and chosen.isEmpty():
+            hits = nearest(chunks, query_vector, k, vectors).where(mine)
+            chosen = hits.select("filename", name, "text", (-F.col("similarity")).alias("order"))
+    return pack_rows(chosen.orderBy("order", "chunk_id").limit(k), [F.col("order"), F.col("chunk_id")], tokens, most_tokens, None)
+
+
+#: Hits of a table of questions that are sent to every executor to fetch their texts; more are joined by shuffle.
+BROADCAST_HITS = 200_000
+
+
+def nearest_many(chunks: DataFrame, questions: DataFrame, k: int, n_questions: int, vectors: DataFrame | None = None) -> DataFrame:
+    """query_id, filename, chunk_id, text and similarity of the k chunks nearest to each question; see ``nearest``."""
+    vectors = chunks.select("chunk_id", "embedding") if vectors is None else vectors
+    top = knn.nearest_many(vectors, questions, k, "chunk_id", n_questions=n_questions).select("query_id", "chunk_id", "similarity")
+    top = F.broadcast(top) if n_questions * k <= BROADCAST_HITS else top
+    return chunks.select("filename", "chunk_id", "text").join(top, "chunk_id").select("query_id", "filename", "chunk_id", "text", "similarity")
+
+
+def retrieve_many(chunks: DataFrame, questions: DataFrame, tokens: TokenCounter, k: int = 20, most_tokens: int = 3500, per_file: int = 4, vectors: DataFrame | None = None, n_questions: int | None = None) -> DataFrame:
+    """``retrieve`` for a table of questions (query_id, query, vector): one plan for all of them."""
+    n_questions = questions.count() if n_questions is None else n_questions
+    top = nearest_many(chunks, questions, k, n_questions, vectors).where(F.coalesce("text", F.lit("")) != "")
+    asked = questions.select(F.col("query_id").cast("long").alias("query_id"), intent.intent(F.col("query")).alias("intent"))
+    kind = intent.source_kind(F.col("filename"))
+    rated = top.join(asked, "query_id").select(*top.columns, intent.source_priority(kind, F.col("intent")).alias("priority"), intent.is_skipped(kind, F.col("intent")).alias("skip")).where("NOT skip")
+    return pack_rows(rated, [F.col("priority").desc(), F.col("similarity").desc(), F.col("chunk_id")], tokens, most_tokens, per_file, "query_id")
+
+
+def retrieve_strict_many(docs: DataFrame, chunks: DataFrame, questions: DataFrame, tokens: TokenCounter, most_tokens: int = 3500, k: int = 60, vectors: DataFrame | None = None, n_questions: int | None = None) -> DataFrame:
+    """``retrieve_strict`` for a table of questions (query_id, query, filename, vector): one plan for all of them.
+
+    Only the documents that are asked for are read beyond their names; each fallback is asked for the questions that the
+    way before left without a row.
+    """
+    n_questions = questions.count() if n_questions is None else n_questions
+    asked = questions.select("query_id", "query", "filename")
+    if n_questions <= BROADCAST_HITS:  # a question and a name each
+        asked = F.broadcast(asked)
+    found = search.rank_passages(docs.select("filename", "text").join(asked, "filename"), ["query_id", "filename"], "text", F.col("query"))
+    columns = ["query_id", "filename", "chunk_id", "text", "order"]
     name = F.col("chunk_id").cast("string").alias("chunk_id")
-    by_words = (-search.lexical_score(F.col("text"), F.lit(query))).cast("double").alias("order")
-    both = both.unionByName(chunks.where(mine).select("filename", name, "text", by_words, F.lit(1).alias("choice")))
-    if query_vector is not None:
-        hits = nearest(chunks, query_vector, k, vectors).where(mine)
-        both = both.unionByName(hits.select("filename", name, "text", (-F.col("similarity")).alias("order"), F.lit(2).alias("choice")))
-    # At most k rows by each of the three ways, whichever is chosen.
-    first = both.agg(F.min("choice").alias("__first"))
-    chosen = both.join(F.broadcast(first)).where(F.col("choice") == F.col("__first")).select(*columns).orderBy("order", "chunk_id").limit(k)
-    return pack_rows(chosen, [F.col("order"), F.col("chunk_id")], tokens, most_tokens, None)
+    first = found.select("query_id", "filename", F.concat(F.lit("raw_passage_"), F.col("idx").cast("string")).alias("chunk_id"), F.col("passage").alias("text"), F.col("rank").cast("double").alias("order"))
+    told = chunks.select("filename", "chunk_id", "text").where(F.coalesce("text", F.lit("")) != "")
+    left = asked.join(first.select("query_id").distinct(), "query_id", "left_anti")
+    second = told.join(left, "filename").select("query_id", "filename", name, "text", (-search.lexical_score(F.col("text"), F.col("query"))).cast("double").alias("order"))
+    every = first.unionByName(second)
+    if vectors is not None or "embedding" in chunks.columns:
+        left = questions.join(every.select("query_id").distinct(), "query_id", "left_anti")
+        hits = nearest_many(chunks, left, k, n_questions, vectors).join(left.select("query_id", F.col("filename").alias("__own")), "query_id")
+        third = hits.where((F.col("filename") == F.col("__own")) & (F.coalesce("text", F.lit("")) != "")).select("query_id", "filename", name, "text", (-F.col("similarity")).alias("order"))
+        every = every.unionByName(third)
+    best = Window.partitionBy("query_id").orderBy("order", "chunk_id")
+    chosen = every.select(*columns, F.row_number().over(best).alias("__at")).where(F.col("__at") <= k)
+    return pack_rows(chosen.select(*columns), [F.col("order"), F.col("chunk_id")], tokens, most_tokens, None, "query_id")
 
 
 def weighted_context(scores: DataFrame, texts: DataFrame, key: str, least: float = 0.2, floor: float = 0.15, most: int = 15) -> DataFrame:
@@ -71,14 +120,14 @@ def checked_answer(chunks: DataFrame, query: str, query_vector: list[float], gen
     return context.select("context", "answer", fact_check(F.col("answer"), F.col("context")).alias("check"), follow_ups(query, F.col("answer"), questions).alias("follow_ups"))
 
 
-def pack_rows(rows: DataFrame, order: list, tokens: TokenCounter, most_tokens: int, per_file: int | None) -> DataFrame:
-    """position, filename, chunk_id and text of the accepted rows; ``rows`` is a top-k."""
-    from pyspark.sql import Window
-
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
-    ranked = ranked.select(F.lit(1).alias("query_id"), "rank", "filename", F.col("chunk_id").cast("string").alias("chunk_id"), "text", dedup_signature(F.col("text")).alias("signature"), tokens.column(F.col("text")).alias("tokens"))
-    kept = packing.pack(ranked, "query_id", most_tokens, per_file).select("position", "rank")
-    return ranked.join(kept, "rank").select("position", "filename", "chunk_id", "text")
+def pack_rows(rows: DataFrame, order: list, tokens: TokenCounter, most_tokens: int, per_file: int | None, query: str | None = None) -> DataFrame:
+    """position, filename, chunk_id and text of the accepted rows; ``rows`` is a top-k, or one for each value of ``query``."""
+    by = F.lit(1) if query is None else F.col(query)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    ranked = ranked.select(by.alias("query_id"), "rank", "filename", F.col("chunk_id").cast("string").alias("chunk_id"), "text", dedup_signature(F.col("text")).alias("signature"), tokens.column(F.col("text")).alias("tokens"))
+    kept = packing.pack(ranked, "query_id", most_tokens, per_file).select("query_id", "position", "rank")
+    found = ranked.join(kept, ["query_id", "rank"])
+    return found.select(*([] if query is None else ["query_id"]), "position", "filename", "chunk_id", "text")
 
 
 @dataclass
@@ -115,6 +164,44 @@ class Engine:
             F.transform("entries", lambda e: F.struct(e.filename.alias("filename"), e.chunk_id.alias("chunk_id"), e.text.alias("text"))).alias("sources"),
         )
 
+    def _asked(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Questions that are not blank, with their vectors; and the documents that some of them name."""
+        vector = F.col("vector") if "vector" in questions.columns else self.embedder.column(F.col("query"))
+        asked = questions.where(F.trim(F.coalesce("query", F.lit(""))) != "").select(F.col("query_id").cast("long").alias("query_id"), "query", vector.alias("vector"))
+        return asked, search.detect_targets(self.docs, asked).select("query_id", "filename")
+
+    def _contexts(self, asked: DataFrame, targets: DataFrame) -> DataFrame:
+        n_questions = asked.count()
+        normal = retrieve_many(self.chunks, asked.join(targets, "query_id", "left_anti"), self.tokens, vectors=self.vectors, n_questions=n_questions)
+        strict = retrieve_strict_many(self.docs, self.chunks, asked.join(targets, "query_id"), self.tokens, vectors=self.vectors, n_questions=n_questions)
+        return normal.unionByName(strict)
+
+    def contexts(self, questions: DataFrame) -> DataFrame:
+        """query_id, target_filename, position, filename, chunk_id and text: what every question of a table is answered from."""
+        asked, targets = self._asked(questions)
+        found = self._contexts(asked, targets).join(targets.withColumnRenamed("filename", "target_filename"), "query_id", "left")
+        return found.select("query_id", "target_filename", "position", "filename", "chunk_id", "text")
+
+    def ask_many(self, questions: DataFrame) -> DataFrame:
+        """A row per question of a table (query_id, query, and vector unless the embedder gives it): what ``ask`` says of each, in one plan.
+
+        Blank questions have no row; a question without any context has an empty answer. A question names its document itself.
+        """
+        asked, targets = self._asked(questions)
+        entry = F.struct("position", "filename", "chunk_id", "text")
+        found = self._contexts(asked, targets).groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        one = asked.select("query_id", "query").join(found, "query_id", "left").join(targets.withColumnRenamed("filename", "target_filename"), "query_id", "left")
+        one = one.withColumn("entries", F.coalesce("entries", F.array().cast(found.schema["entries"].dataType)))
+        one = one.withColumn("context", context_text(F.col("entries")))
+        return one.select(
+            "query_id",
+            normalize_output(nfkc(self.generator.answer(F.col("query"), F.col("context")))).alias("answer"),
+            F.col("target_filename").isNotNull().alias("strict_mode"),
+            "target_filename",
+            citations(F.col("context")).alias("citations"),
+            F.transform("entries", lambda e: F.struct(e.filename.alias("filename"), e.chunk_id.alias("chunk_id"), e.text.alias("text"))).alias("sources"),
+        )
+
     def history(self, table: DataFrame, session_id: str, limit: int = 5) -> DataFrame:
         return sessions.latest(table, session_id, limit)
 

@@ -126,41 +126,76 @@ def lexical_score(text: Column, query: Column) -> Column:
     return overlap + 4 * F.size(F.filter(phrases, lambda p: F.contains(norm, p)))
 
 
-def rank_passages(docs: DataFrame, key: str, text: str, query: str, most: int = 12, bonuses=rules.PASSAGE_BONUSES) -> DataFrame:
-    """Per document, its best passages for a query: token rarity within the document, ties by place.
+def rank_passages(docs: DataFrame, key: str | list[str], text: str, query: str | Column, most: int = 12, bonuses=rules.PASSAGE_BONUSES) -> DataFrame:
+    """Per document, its best passages for a query (one for all, or a column): token rarity within the document, ties by place.
 
     Rows with a score of 0 are kept only where the document has no other; a query without terms has no rows.
     All of it is local to a document's row: its passages are an array until they are ranked, and nothing is shuffled.
+    Terms, passages and rarities are each bound as the one element of an array, so they are worked out once a document.
     """
-    terms = query_terms(F.lit(query))
-    read = lambda p: F.struct(p.alias("passage"), F.array_intersect(terms, tokens_for_match(p)).alias("hits"), normalize_for_match(p).alias("norm"))
-    rows = docs.select(key, F.transform(passages(F.col(text)), read).alias("__read")).where(F.size(terms) > 0)
-    share = lambda t: F.lit(1.0) / (F.lit(1.0) + F.size(F.filter("__read", lambda p: F.array_contains(p.hits, t))))
-    rows = rows.withColumn("__rare", F.transform(terms, lambda t: F.struct(t.alias("t"), share(t).alias("w"))))
-
-    def score(p: Column) -> Column:
-        out = F.aggregate("__rare", F.lit(0.0), lambda acc, r: acc + F.when(F.array_contains(p.hits, r.t), r.w).otherwise(0.0))
+    keys = [key] if isinstance(key, str) else key
+    read = lambda terms: lambda p: F.struct(p.alias("passage"), F.array_intersect(terms, tokens_for_match(p)).alias("hits"), normalize_for_match(p).alias("norm"))
+    bound = lambda fields, then: F.get(F.transform(F.array(fields), then), F.lit(0))
+
+    def score(p: Column, rare: Column, terms: Column) -> Column:
+        out = F.aggregate(rare, F.lit(0.0), lambda acc, r: acc + F.when(F.array_contains(p.hits, r.t), r.w).otherwise(0.0))
         for word, begins, held, extra in bonuses:
             asked = F.exists(terms, lambda t: F.startswith(t, F.lit(word)) if begins else t == F.lit(word))
             out = out + F.when(asked & F.contains(p.norm, F.lit(held)), extra).otherwise(0.0)
         return F.round(out, 9)
 
-    placed = F.transform("__read", lambda p, i: F.struct((-score(p)).alias("minus"), i.alias("idx"), p.passage.alias("passage")))
-    best = rows.select(key, F.slice(F.array_sort(placed), 1, most).alias("__best"))
+    def ranked_in(x: Column) -> Column:
+        share = lambda t: F.lit(1.0) / (F.lit(1.0) + F.size(F.filter(x.read, lambda p: F.array_contains(p.hits, t))))
+        rare = F.struct(F.transform(x.terms, lambda t: F.struct(t.alias("t"), share(t).alias("w"))).alias("rare"))
+        placed = lambda y: F.transform(x.read, lambda p, i: F.struct((-score(p, y.rare, x.terms)).alias("minus"), i.alias("idx"), p.passage.alias("passage")))
+        return F.slice(F.array_sort(bound(rare, placed)), 1, most)
+
+    asked = F.struct(query_terms(F.lit(query) if isinstance(query, str) else query).alias("terms"))
+    found = bound(asked, lambda q: bound(F.struct(q.terms.alias("terms"), F.transform(passages(F.col(text)), read(q.terms)).alias("read")), lambda x: F.when(F.size(x.terms) > 0, ranked_in(x))))
+    best = docs.select(*keys, found.alias("__best"))
     kept = F.when(F.get("__best", F.lit(0)).minus < 0, F.filter("__best", lambda p: p.minus < 0)).otherwise(F.col("__best"))
-    ranked = best.select(key, F.posexplode(kept).alias("__at", "__p"))
-    return ranked.select(key, F.col("__p.idx").alias("idx"), F.col("__p.passage").alias("passage"), (-F.col("__p.minus") + F.lit(0.0)).alias("score"), (F.col("__at") + 1).alias("rank"))
+    ranked = best.select(*keys, F.posexplode(kept).alias("__at", "__p"))
+    return ranked.select(*keys, F.col("__p.idx").alias("idx"), F.col("__p.passage").alias("passage"), (-F.col("__p.minus") + F.lit(0.0)).alias("score"), (F.col("__at") + 1).alias("rank"))
+
+
+def name_tokens(filename: Column) -> Column:
+    """Match tokens of a file name without its ending."""
+    return tokens_for_match(F.regexp_replace(F.regexp_replace(filename, "\\.[^.]*$", ""), "_", " "))
 
 
 def target_score(filename: Column, query: str) -> Column:
     """Largest share of a target's tokens that a file name holds; targets are the quoted phrases, else the query."""
-    name = tokens_for_match(F.regexp_replace(F.regexp_replace(filename, "\\.[^.]*$", ""), "_", " "))
+    name = name_tokens(filename)
     q = F.lit(query)
     targets = F.when(F.size(quoted_phrases(q)) > 0, quoted_phrases(q)).otherwise(F.array(q))
     share = lambda t: F.coalesce(F.try_divide(F.size(F.array_intersect(F.array_distinct(tokens_for_match(t)), name)), F.size(F.array_distinct(tokens_for_match(t)))), F.lit(0.0))
     return F.array_max(F.transform(targets, share))
 
 
+def detect_targets(filenames: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, filename and score of the document that each question is about, where it says so: ``detect_target`` for a table.
+
+    A token join with a prefix filter: a name that holds a share s of a target's n tokens holds one of its n - ceil(s * n) + 1
+    rarest, so only those are joined to the names' tokens, and a token that most names hold is looked up only by targets
+    that have no rarer ones. The share itself is taken from the whole of both sides.
+    """
+    quoted, phrases = F.contains("query", F.lit('"')), quoted_phrases(F.col("query"))
+    cued = F.exists(F.array(*map(F.lit, rules.DOCUMENT_CUES)), lambda c: F.contains(F.lower("query"), c))
+    asked = questions.where(quoted | cued).select("query_id", F.when(quoted, rules.QUOTED_THRESHOLD).otherwise(rules.CUE_THRESHOLD).alias("least"), F.posexplode(F.when(F.size(phrases) > 0, phrases).otherwise(F.array("query"))).alias("nth", "target"))
+    asked = asked.select("query_id", "nth", "least", F.array_distinct(tokens_for_match(F.col("target"))).alias("tokens")).where(F.size("tokens") > 0)
+    names = filenames.select("filename").distinct().withColumn("held", F.array_distinct(name_tokens(F.col("filename"))))
+    held = names.select("filename", "held", F.explode("held").alias("token"))
+    rarity = held.groupBy("token").agg(F.count("*").alias("df"))
+    spread = asked.select("*", F.explode("tokens").alias("token")).join(rarity, "token", "left")
+    by_rarity = Window.partitionBy("query_id", "nth").orderBy(F.coalesce("df", F.lit(0)), "token")
+    most = F.size("tokens") - F.greatest(F.ceil(F.col("least") * F.size("tokens") - F.lit(1e-9)), F.lit(1)) + 1
+    rarest = spread.withColumn("__at", F.row_number().over(by_rarity)).where((F.col("__at") <= most) & F.col("df").isNotNull())
+    share = F.size(F.array_intersect("tokens", "held")) / F.size("tokens")
+    met = rarest.select("query_id", "token", "tokens", "least").join(held, "token").select("query_id", "filename", "least", share.alias("score")).where(F.col("score") >= F.col("least"))
+    best = met.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "filename")).alias("best"))
+    return best.select("query_id", "best.filename", (-F.col("best.minus")).alias("score"))
+
+
 def detect_target(filenames: DataFrame, query: str) -> DataFrame:
     """At most one row (filename, score): the document that a query is about, if it says so."""
     quoted = '"' in query

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import clamped, session_title, truthy
+from lodestone.operators.keyed_table import KeyedTable
 
 SHORT_ANSWER = "No answer could be generated for this question."
 
@@ -51,6 +52,38 @@ def delete_session(titles: DataFrame, index: DataFrame, session_id: str) -> tupl
     return titles.where(other), index.where(other)
 
 
+class SessionStore:
+    """Titles and index of sessions as keyed tables: a session that is written or goes touches its own folders alone."""
+
+    def __init__(self, titles: KeyedTable, index: KeyedTable):
+        self.titles, self.index = titles, index
+
+    @classmethod
+    def create(cls, titles: DataFrame, index: DataFrame, path: str, buckets: int = 64) -> SessionStore:
+        return cls(KeyedTable.create(titles, f"{path}/titles", "session_id", buckets=buckets), KeyedTable.create(index, f"{path}/index", "session_id", "updated_at", buckets=buckets))
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SessionStore:
+        return cls(KeyedTable.open(spark, f"{path}/titles"), KeyedTable.open(spark, f"{path}/index"))
+
+    def upsert(self, session_id: str, now: str, title: str | None = None, pinned: bool | None = None) -> None:
+        """As ``upsert_session``."""
+        titles, index = upsert_session(self.titles.lookup([session_id]), self.index.lookup([session_id]), session_id, now, title, pinned)
+        self.titles.upsert(titles)
+        self.index.upsert(index)
+
+    def delete(self, session_id: str) -> bool:
+        """Whether the session was there."""
+        there = not (self.titles.lookup([session_id]).isEmpty() and self.index.lookup([session_id]).isEmpty())
+        if there:
+            for table in (self.titles, self.index):
+                table.delete(table.lookup([session_id]).select("session_id"))
+        return there
+
+    def merged(self, now: str) -> DataFrame:
+        return merge_sessions(self.titles.read(), self.index.read(), now)
+
+
 def delete_history(history: DataFrame, session_id: str, key: str = "session_id") -> tuple[DataFrame, int]:
     """The history without one session, and how many rows that session had; rows without a session stay."""
     name = session_id.strip()

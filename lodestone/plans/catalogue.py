@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import corpus_queries, search_queries, text_queries  # noqa: F401  register their queries
+from lodestone.plans import corpus_queries, question_queries, search_queries, text_queries  # noqa: F401  register their queries
 from lodestone.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "ask_normal"

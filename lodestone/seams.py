@@ -124,7 +124,8 @@ class CachedEmbedder:
 
 
 class Generator(Protocol):
-    def answer(self, query: str, context: Column) -> Column: ...
+    def answer(self, query: str | Column, context: Column) -> Column:
+        """An answer to one question, or to each of a column of them."""
 
 
 class ExtractiveGenerator:
@@ -133,7 +134,7 @@ class ExtractiveGenerator:
     def __init__(self, sentences: int = 3):
         self.sentences = sentences
 
-    def answer(self, query: str, context: Column) -> Column:
+    def answer(self, query: str | Column, context: Column) -> Column:
         bare = F.regexp_replace(context, "\\[SOURCE filename=.*?; chunk_id=.*?\\]\n?", "")
         return F.array_join(F.slice(sentences_of(bare), 1, self.sentences), " ")
 

@@ -40,10 +40,22 @@ def chunk(prepared: DataFrame, known: DataFrame | None = None, most: int = 500)
     return chunking.chunk_words(new, "filename", "text", most)
 
 
+#: New ids that are sent to every executor, so that the texts of known chunks are left where they are read.
+BROADCAST_IDS = 1_000_000
+
+
 def embed_new(chunks: DataFrame, known: DataFrame, embedder: Embedder) -> DataFrame:
-    """Vectors of the chunks that have none yet, each id once."""
-    new = consistency.new_rows(chunks.dropDuplicates(["chunk_id"]), known, "chunk_id")
-    return new.withColumn("embedding", embedder.column(F.col("text")))
+    """Vectors of the chunks that have none yet, each id once.
+
+    Ids alone are compared with the known ones. The texts of new ids are then taken where they are read, and only
+    those of an id that stands more than once are shuffled.
+    """
+    ids = consistency.new_rows(chunks.select("chunk_id").groupBy("chunk_id").agg(F.count("*").alias("__n")), known, "chunk_id")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    new = chunks.join(ids, "chunk_id")
+    once = new.where("__n = 1").unionByName(new.where("__n > 1").dropDuplicates(["chunk_id"])).select(*chunks.columns)
+    return once.withColumn("embedding", embedder.column(F.col("text")))
 
 
 def embed_in_parts(chunks: DataFrame, path: str, embedder: Embedder, by: str = "filename", parts: int = 16) -> int:

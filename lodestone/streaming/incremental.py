@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LIMITER_SCHEMA = "user_id long, ts timestamp, n long, blocked boolean"
@@ -33,32 +36,44 @@ def session_windows(events: DataFrame, key: str = "user_id", ts: str = "ts", gap
     return found.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
 
 
+def _folded(limit: int, micros: int):
+    """The limiter over rows in order: its state is three values, whatever a key's number of attempts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, until = None, 0, None
+        for batch in batches:
+            counts, stops = [], []
+            keys, pieces, times, failures = (batch.column(c).to_pylist() for c in ("key", "piece", "at", "failed"))
+            for key, piece, at, failed in zip(keys, pieces, times, failures):
+                if (key, piece) != held:
+                    held, n, until = (key, piece), 0, None
+                if until is not None and at is not None and at >= until:
+                    n, until = 0, None
+                stop = n >= limit
+                if not stop:
+                    n, until = (n + 1, at + micros if until is None and at is not None else until) if failed else (0, None)
+                counts.append(n)
+                stops.append(stop)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("event_id"), batch.column("ts"), pa.array(counts, pa.int64()), pa.array(stops)], names=["key", "event_id", "ts", "n", "blocked"])
+
+    return rows
+
+
 def login_limits(attempts: DataFrame, key: str = "user_id", limit: int = 10, seconds: int = 900) -> DataFrame:
     """``n`` and ``blocked`` of every attempt (key, event_id, ts, failed): a success clears, an expired window is dropped, a blocked attempt changes nothing.
 
-    A window ends ``seconds`` after the failure that began it, so nothing is carried over a pause as long as that:
-    a key's attempts are cut at such pauses, and each piece is folded as one sorted array, in the JVM.
+    A window ends ``seconds`` after the failure that began it, so nothing is carried over a pause as long as that: a key's
+    attempts are cut at such pauses, the pieces are dealt to tasks, and each task walks its rows in order, in linear time
+    and with a state of three values: a key without any pause is never held as a whole.
     """
     order = Window.partitionBy(key).orderBy("ts", "event_id")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     pause = F.coalesce(at - F.lag(at).over(order) >= seconds * 1_000_000, F.lit(True))
-    rows = attempts.withColumn("__piece", F.sum(pause.cast("long")).over(order))
-    entry = F.struct("ts", "event_id", at.alias("at"), F.coalesce("failed", F.lit(False)).alias("failed"))
-    pieces = rows.groupBy(key, "__piece").agg(F.array_sort(F.collect_list(entry)).alias("__a"))
-    out = "array<struct<event_id:bigint,ts:timestamp,n:bigint,blocked:boolean>>"
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("until"), F.array().cast(out).alias("out"))
-
-    def step(acc: Column, a: Column) -> Column:
-        over = F.coalesce(a.at >= acc.until, F.lit(False))
-        n, until = F.when(over, F.lit(0)).otherwise(acc.n).cast("long"), F.when(~over, acc.until)
-        blocked = n >= limit
-        after = F.when(blocked, n).when(a.failed, n + 1).otherwise(F.lit(0)).cast("long")
-        ends = F.when(blocked, until).when(a.failed, F.coalesce(until, a.at + seconds * 1_000_000))
-        made = F.struct(a.event_id.cast("long").alias("event_id"), a.ts.cast("timestamp").alias("ts"), after.alias("n"), blocked.alias("blocked"))
-        return F.struct(after.alias("n"), ends.alias("until"), F.concat(acc.out, F.array(made)).alias("out"))
-
-    folded = pieces.select(key, F.explode(F.aggregate("__a", start, step, lambda acc: acc.out)).alias("__o"))
-    return folded.select(key, "__o.event_id", "__o.ts", "__o.n", "__o.blocked")
+    rows = attempts.select(F.col(key).alias("key"), F.sum(pause.cast("long")).over(order).alias("piece"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), at.alias("at"), F.coalesce("failed", F.lit(False)).alias("failed"))
+    sorted_rows = rows.repartition("key", "piece").sortWithinPartitions("key", "piece", "ts", "event_id")
+    kind = dict(rows.dtypes)["key"]
+    found = sorted_rows.mapInArrow(_folded(limit, seconds * 1_000_000), f"key {kind}, event_id long, ts timestamp, n long, blocked boolean")
+    return found.withColumnRenamed("key", key)
 
 
 def login_limits_stream(attempts: DataFrame, limit: int = 10, seconds: int = 900, late: str = "1 minute") -> DataFrame:

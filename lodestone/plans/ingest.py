@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import intent, rules, text
 from lodestone.operators import chunking, consistency
 from lodestone.seams import Embedder, annotate
-from lodestone.sources import sinks
+from lodestone.session import file_system
+from lodestone.sources import document_source, files, sinks
 
 
 def prepare(docs: DataFrame, abbreviations: dict[str, str] | None = None, annotator: str = "rules") -> DataFrame:
@@ -74,6 +76,40 @@ def embed_in_parts(chunks: DataFrame, path: str, embedder: Embedder, by: str = "
     return made
 
 
+def embedded(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """What ``embed_stream`` wrote: the batches before a number, or all of them."""
+    system, at = file_system(spark, target)
+    found = sorted(int(x.getPath().getName().split("=")[1]) for x in system.listStatus(at) if x.getPath().getName().startswith("batch=")) if system.exists(at) else []
+    paths = [f"{target}/batch={b}" for b in found if before is None or b < before]
+    return spark.read.schema(EMBEDDED).parquet(*paths) if paths else spark.createDataFrame([], EMBEDDED)
+
+
+EMBEDDED = "chunk_id string, filename string, chunk_no int, text string, tokens long, embedding array<double>"
+
+
+def embed_stream(spark: SparkSession, path: str, target: str, checkpoint: str, embedder: Embedder, most: int = 500, files_per_batch: int = 1000, extractors=None, kinds: str = "docx,pdf") -> None:
+    """Take in what is new under a folder of documents, from file to vector, in one stream, and stop.
+
+    Every micro-batch (at most ``files_per_batch`` files) extracts, prepares, chunks and embeds its files and writes a
+    folder of its own number. A batch that broke off is run again by the stream under the same number and replaces what
+    it had written; an id that an earlier batch holds is left out: so nothing is there twice, wherever a run ends.
+    """
+    document_source.register(spark)
+
+    def write(batch: DataFrame, number: int) -> None:
+        texts = files.best(files.extract(batch, extractors)).select("filename", "text")
+        new = embed_new(chunk(prepare(texts), most=most), embedded(spark, target, number), embedder)
+        new.selectExpr(*[f"cast({f.split()[0]} AS {f.split()[1]}) AS {f.split()[0]}" for f in EMBEDDED.split(", ")]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    there = document_source.listed(path, set(kinds.split(",")))
+    done = {r.filename for r in embedded(spark, target).select("filename").distinct().collect()}  # names, as many as are listed
+    first = next((k for k, f in enumerate(there) if f.filename not in done), len(there))
+    for k in range(first, len(there), files_per_batch):
+        last = there[min(k + files_per_batch, len(there)) - 1]
+        rows = spark.readStream.format(document_source.NAME).option("path", path).option("kinds", kinds).option("upto", json.dumps({"time": last.time, "path": last.path})).load()
+        rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def observed(rows: DataFrame, name: str, **metrics) -> tuple[DataFrame, Observation]:
     """``rows`` with named aggregates that are counted while they are written."""
     watch = Observation(name)

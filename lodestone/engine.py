@@ -57,22 +57,34 @@ def retrieve_strict(docs: DataFrame, chunks: DataFrame, query: str, filename: st
 BROADCAST_HITS = 200_000
 
 
-def nearest_many(chunks: DataFrame, questions: DataFrame, k: int, n_questions: int, vectors: DataFrame | None = None) -> DataFrame:
-    """query_id, filename, chunk_id, text and similarity of the k chunks nearest to each question; see ``nearest``."""
+def told(chunks: DataFrame, tokens: TokenCounter) -> DataFrame:
+    """filename, chunk_id, signature, tokens and text_md5 of every chunk with a text: what packing asks of it, taken where the text is read."""
+    name = F.col("chunk_id").cast("string").alias("chunk_id")
+    return chunks.where(F.coalesce("text", F.lit("")) != "").select("filename", name, F.md5(dedup_signature(F.col("text")).cast("binary")).alias("signature"), tokens.column(F.col("text")).alias("tokens"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def nearest_many(chunks: DataFrame, questions: DataFrame, tokens: TokenCounter, k: int, n_questions: int, vectors: DataFrame | None = None) -> DataFrame:
+    """query_id and similarity, with ``told``, of the k chunks nearest to each question; see ``nearest``. No text is moved."""
     vectors = chunks.select("chunk_id", "embedding") if vectors is None else vectors
-    top = knn.nearest_many(vectors, questions, k, "chunk_id", n_questions=n_questions).select("query_id", "chunk_id", "similarity")
+    top = knn.nearest_many(vectors.withColumn("chunk_id", F.col("chunk_id").cast("string")), questions, k, "chunk_id", n_questions=n_questions).select("query_id", "chunk_id", "similarity")
     top = F.broadcast(top) if n_questions * k <= BROADCAST_HITS else top
-    return chunks.select("filename", "chunk_id", "text").join(top, "chunk_id").select("query_id", "filename", "chunk_id", "text", "similarity")
+    return told(chunks, tokens).join(top, "chunk_id")
+
 
+def retrieve_many(chunks: DataFrame, questions: DataFrame, tokens: TokenCounter, k: int = 20, most_tokens: int = 3500, per_file: int = 4, vectors: DataFrame | None = None, n_questions: int | None = None, texts: bool = True) -> DataFrame:
+    """``retrieve`` for a table of questions (query_id, query, vector): one plan for all of them.
 
-def retrieve_many(chunks: DataFrame, questions: DataFrame, tokens: TokenCounter, k: int = 20, most_tokens: int = 3500, per_file: int = 4, vectors: DataFrame | None = None, n_questions: int | None = None) -> DataFrame:
-    """``retrieve`` for a table of questions (query_id, query, vector): one plan for all of them."""
+    With ``text_md5``, and the texts themselves (``texts``) of the rows that are accepted, and of no others.
+    """
     n_questions = questions.count() if n_questions is None else n_questions
-    top = nearest_many(chunks, questions, k, n_questions, vectors).where(F.coalesce("text", F.lit("")) != "")
+    top = nearest_many(chunks, questions, tokens, k, n_questions, vectors)
     asked = questions.select(F.col("query_id").cast("long").alias("query_id"), intent.intent(F.col("query")).alias("intent"))
     kind = intent.source_kind(F.col("filename"))
     rated = top.join(asked, "query_id").select(*top.columns, intent.source_priority(kind, F.col("intent")).alias("priority"), intent.is_skipped(kind, F.col("intent")).alias("skip")).where("NOT skip")
-    return pack_rows(rated, [F.col("priority").desc(), F.col("similarity").desc(), F.col("chunk_id")], tokens, most_tokens, per_file, "query_id")
+    found = _pack_many(rated, [F.col("priority").desc(), F.col("similarity").desc(), F.col("chunk_id")], most_tokens, per_file)
+    if not texts:
+        return found
+    return found.join(chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "filename", "text"), ["chunk_id", "filename"]).select(*found.columns, "text")
 
 
 def retrieve_strict_many(docs: DataFrame, chunks: DataFrame, questions: DataFrame, tokens: TokenCounter, most_tokens: int = 3500, k: int = 60, vectors: DataFrame | None = None, n_questions: int | None = None) -> DataFrame:
@@ -86,21 +98,21 @@ def retrieve_strict_many(docs: DataFrame, chunks: DataFrame, questions: DataFram
     if n_questions <= BROADCAST_HITS:  # a question and a name each
         asked = F.broadcast(asked)
     found = search.rank_passages(docs.select("filename", "text").join(asked, "filename"), ["query_id", "filename"], "text", F.col("query"))
-    columns = ["query_id", "filename", "chunk_id", "text", "order"]
     name = F.col("chunk_id").cast("string").alias("chunk_id")
     first = found.select("query_id", "filename", F.concat(F.lit("raw_passage_"), F.col("idx").cast("string")).alias("chunk_id"), F.col("passage").alias("text"), F.col("rank").cast("double").alias("order"))
-    told = chunks.select("filename", "chunk_id", "text").where(F.coalesce("text", F.lit("")) != "")
+    own = chunks.select("filename", "chunk_id", "text").where(F.coalesce("text", F.lit("")) != "")
     left = asked.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    second = told.join(left, "filename").select("query_id", "filename", name, "text", (-search.lexical_score(F.col("text"), F.col("query"))).cast("double").alias("order"))
+    second = own.join(left, "filename").select("query_id", "filename", name, "text", (-search.lexical_score(F.col("text"), F.col("query"))).cast("double").alias("order"))
     every = first.unionByName(second)
     if vectors is not None or "embedding" in chunks.columns:
         left = questions.join(every.select("query_id").distinct(), "query_id", "left_anti")
-        hits = nearest_many(chunks, left, k, n_questions, vectors).join(left.select("query_id", F.col("filename").alias("__own")), "query_id")
-        third = hits.where((F.col("filename") == F.col("__own")) & (F.coalesce("text", F.lit("")) != "")).select("query_id", "filename", name, "text", (-F.col("similarity")).alias("order"))
+        hits = nearest_many(chunks, left, tokens, k, n_questions, vectors).join(left.select("query_id", "filename"), ["query_id", "filename"])
+        third = hits.join(own.select("filename", name, "text"), ["filename", "chunk_id"]).select("query_id", "filename", "chunk_id", "text", (-F.col("similarity")).alias("order"))
         every = every.unionByName(third)
     best = Window.partitionBy("query_id").orderBy("order", "chunk_id")
-    chosen = every.select(*columns, F.row_number().over(best).alias("__at")).where(F.col("__at") <= k)
-    return pack_rows(chosen.select(*columns), [F.col("order"), F.col("chunk_id")], tokens, most_tokens, None, "query_id")
+    chosen = every.withColumn("__at", F.row_number().over(best)).where(F.col("__at") <= k)
+    chosen = chosen.select("query_id", "filename", "chunk_id", "order", "text", F.md5(dedup_signature(F.col("text")).cast("binary")).alias("signature"), tokens.column(F.col("text")).alias("tokens"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return _pack_many(chosen, [F.col("order"), F.col("chunk_id")], most_tokens, None)
 
 
 def weighted_context(scores: DataFrame, texts: DataFrame, key: str, least: float = 0.2, floor: float = 0.15, most: int = 15) -> DataFrame:
@@ -120,14 +132,20 @@ def checked_answer(chunks: DataFrame, query: str, query_vector: list[float], gen
     return context.select("context", "answer", fact_check(F.col("answer"), F.col("context")).alias("check"), follow_ups(query, F.col("answer"), questions).alias("follow_ups"))
 
 
-def pack_rows(rows: DataFrame, order: list, tokens: TokenCounter, most_tokens: int, per_file: int | None, query: str | None = None) -> DataFrame:
-    """position, filename, chunk_id and text of the accepted rows; ``rows`` is a top-k, or one for each value of ``query``."""
-    by = F.lit(1) if query is None else F.col(query)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    ranked = ranked.select(by.alias("query_id"), "rank", "filename", F.col("chunk_id").cast("string").alias("chunk_id"), "text", dedup_signature(F.col("text")).alias("signature"), tokens.column(F.col("text")).alias("tokens"))
+def pack_rows(rows: DataFrame, order: list, tokens: TokenCounter, most_tokens: int, per_file: int | None) -> DataFrame:
+    """position, filename, chunk_id and text of the accepted rows; ``rows`` is a top-k."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+    ranked = ranked.select(F.lit(1).alias("query_id"), "rank", "filename", F.col("chunk_id").cast("string").alias("chunk_id"), "text", dedup_signature(F.col("text")).alias("signature"), tokens.column(F.col("text")).alias("tokens"))
+    kept = packing.pack(ranked, "query_id", most_tokens, per_file).select("position", "rank")
+    return ranked.join(kept, "rank").select("position", "filename", "chunk_id", "text")
+
+
+def _pack_many(rows: DataFrame, order: list, most_tokens: int, per_file: int | None) -> DataFrame:
+    """query_id, position, filename, chunk_id, text_md5 (and text, if there) of the accepted rows of each question's top-k."""
+    carried = ["text_md5", *(c for c in ("text",) if c in rows.columns)]
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     kept = packing.pack(ranked, "query_id", most_tokens, per_file).select("query_id", "position", "rank")
-    found = ranked.join(kept, ["query_id", "rank"])
-    return found.select(*([] if query is None else ["query_id"]), "position", "filename", "chunk_id", "text")
+    return ranked.select("query_id", "rank", "filename", "chunk_id", *carried).join(kept, ["query_id", "rank"]).select("query_id", "position", "filename", "chunk_id", *carried)
 
 
 @dataclass
@@ -170,17 +188,17 @@ class Engine:
         asked = questions.where(F.trim(F.coalesce("query", F.lit(""))) != "").select(F.col("query_id").cast("long").alias("query_id"), "query", vector.alias("vector"))
         return asked, search.detect_targets(self.docs, asked).select("query_id", "filename")
 
-    def _contexts(self, asked: DataFrame, targets: DataFrame) -> DataFrame:
+    def _contexts(self, asked: DataFrame, targets: DataFrame, texts: bool) -> DataFrame:
         n_questions = asked.count()
-        normal = retrieve_many(self.chunks, asked.join(targets, "query_id", "left_anti"), self.tokens, vectors=self.vectors, n_questions=n_questions)
+        normal = retrieve_many(self.chunks, asked.join(targets, "query_id", "left_anti"), self.tokens, vectors=self.vectors, n_questions=n_questions, texts=texts)
         strict = retrieve_strict_many(self.docs, self.chunks, asked.join(targets, "query_id"), self.tokens, vectors=self.vectors, n_questions=n_questions)
-        return normal.unionByName(strict)
+        return normal.unionByName(strict if texts else strict.drop("text"))
 
-    def contexts(self, questions: DataFrame) -> DataFrame:
-        """query_id, target_filename, position, filename, chunk_id and text: what every question of a table is answered from."""
+    def contexts(self, questions: DataFrame, texts: bool = True) -> DataFrame:
+        """query_id, target_filename, position, filename, chunk_id, text_md5 and (``texts``) text: what every question of a table is answered from."""
         asked, targets = self._asked(questions)
-        found = self._contexts(asked, targets).join(targets.withColumnRenamed("filename", "target_filename"), "query_id", "left")
-        return found.select("query_id", "target_filename", "position", "filename", "chunk_id", "text")
+        found = self._contexts(asked, targets, texts)
+        return found.join(targets.withColumnRenamed("filename", "target_filename"), "query_id", "left").select("query_id", "target_filename", *found.columns[1:])
 
     def ask_many(self, questions: DataFrame) -> DataFrame:
         """A row per question of a table (query_id, query, and vector unless the embedder gives it): what ``ask`` says of each, in one plan.
@@ -189,7 +207,7 @@ class Engine:
         """
         asked, targets = self._asked(questions)
         entry = F.struct("position", "filename", "chunk_id", "text")
-        found = self._contexts(asked, targets).groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        found = self._contexts(asked, targets, True).groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
         one = asked.select("query_id", "query").join(found, "query_id", "left").join(targets.withColumnRenamed("filename", "target_filename"), "query_id", "left")
         one = one.withColumn("entries", F.coalesce("entries", F.array().cast(found.schema["entries"].dataType)))
         one = one.withColumn("context", context_text(F.col("entries")))

@@ -84,7 +84,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i)
 c2 AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, filename, concat('raw_passage_', i) AS chunk_id, passage AS text, 1000000 AS cap FROM r WHERE rank <= 12 AND (score > 0 OR top <= 0)),
 c AS (SELECT *, {_SIGNATURE} AS sig, ceil(len(text) / 4.0)::BIGINT AS tokens FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2)),
 {_PACK_SQL}
-SELECT c.query_id, t.filename AS target_filename, row_number() OVER (PARTITION BY c.query_id ORDER BY c.rank)::INTEGER AS position, c.filename, c.chunk_id, c.text
+SELECT c.query_id, t.filename AS target_filename, row_number() OVER (PARTITION BY c.query_id ORDER BY c.rank)::INTEGER AS position, c.filename, c.chunk_id, md5(c.text) AS text_md5
 FROM f JOIN c USING (query_id, rank) LEFT JOIN target t USING (query_id) WHERE f.took
 """
 
@@ -96,7 +96,7 @@ def _engine(spark: SparkSession, sf_dir: str) -> engine.Engine:
 @register(_CONTEXTS_SQL)
 def ask_many(spark, sf_dir):
     """The packed contexts of a table of questions, those about a named document included, in one plan."""
-    return _engine(spark, sf_dir).contexts(_questions(spark, sf_dir))
+    return _engine(spark, sf_dir).contexts(_questions(spark, sf_dir), texts=False)
 
 
 _INDEXES: dict[tuple, lexical_index.LexicalIndex] = {}

@@ -11,6 +11,7 @@ from lodestone.functions import intent
 from lodestone.functions.text import citations, context_text, dedup_signature, nfkc, normalize_output
 from lodestone.operators import knn, packing, search, sessions
 from lodestone.seams import Embedder, ExtractiveGenerator, Generator, HashingEmbedder, QuarterCounter, TokenCounter, fact_check, follow_ups
+from lodestone.session import written
 
 
 def nearest(chunks: DataFrame, query_vector: list[float], k: int, vectors: DataFrame | None = None) -> DataFrame:
@@ -90,25 +91,25 @@ def retrieve_many(chunks: DataFrame, questions: DataFrame, tokens: TokenCounter,
 def retrieve_strict_many(docs: DataFrame, chunks: DataFrame, questions: DataFrame, tokens: TokenCounter, most_tokens: int = 3500, k: int = 60, vectors: DataFrame | None = None, n_questions: int | None = None) -> DataFrame:
     """``retrieve_strict`` for a table of questions (query_id, query, filename, vector): one plan for all of them.
 
-    Only the documents that are asked for are read beyond their names; each fallback is asked for the questions that the
-    way before left without a row.
+    Only the documents that are asked for are read beyond their names. The passages are written, and the fallbacks are
+    planned only if they leave a question without a row, and for those questions alone.
     """
     n_questions = questions.count() if n_questions is None else n_questions
-    asked = questions.select("query_id", "query", "filename")
-    if n_questions <= BROADCAST_HITS:  # a question and a name each
-        asked = F.broadcast(asked)
-    found = search.rank_passages(docs.select("filename", "text").join(asked, "filename"), ["query_id", "filename"], "text", F.col("query"))
+    # A question and a name each.
+    few = (lambda df: F.broadcast(df)) if n_questions <= BROADCAST_HITS else (lambda df: df)
+    found = search.rank_passages(docs.select("filename", "text").join(few(questions.select("query_id", "query", "filename")), "filename"), ["query_id", "filename"], "text", F.col("query"))
     name = F.col("chunk_id").cast("string").alias("chunk_id")
-    first = found.select("query_id", "filename", F.concat(F.lit("raw_passage_"), F.col("idx").cast("string")).alias("chunk_id"), F.col("passage").alias("text"), F.col("rank").cast("double").alias("order"))
-    own = chunks.select("filename", "chunk_id", "text").where(F.coalesce("text", F.lit("")) != "")
-    left = asked.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    second = own.join(left, "filename").select("query_id", "filename", name, "text", (-search.lexical_score(F.col("text"), F.col("query"))).cast("double").alias("order"))
-    every = first.unionByName(second)
-    if vectors is not None or "embedding" in chunks.columns:
-        left = questions.join(every.select("query_id").distinct(), "query_id", "left_anti")
-        hits = nearest_many(chunks, left, tokens, k, n_questions, vectors).join(left.select("query_id", "filename"), ["query_id", "filename"])
-        third = hits.join(own.select("filename", name, "text"), ["filename", "chunk_id"]).select("query_id", "filename", "chunk_id", "text", (-F.col("similarity")).alias("order"))
-        every = every.unionByName(third)
+    every = written(found.select("query_id", "filename", F.concat(F.lit("raw_passage_"), F.col("idx").cast("string")).alias("chunk_id"), F.col("passage").alias("text"), F.col("rank").cast("double").alias("order")), "passages")
+    left = written(questions.join(every.select("query_id").distinct(), "query_id", "left_anti"), "unanswered")
+    if not left.isEmpty():
+        own = chunks.select("filename", "chunk_id", "text").where(F.coalesce("text", F.lit("")) != "")
+        by_words = (-search.lexical_score(F.col("text"), F.col("query"))).cast("double").alias("order")
+        second = own.join(few(left.select("query_id", "query", "filename")), "filename").select("query_id", "filename", name, "text", by_words)
+        every = every.unionByName(second)
+        if vectors is not None or "embedding" in chunks.columns:
+            left = left.join(second.select("query_id").distinct(), "query_id", "left_anti")
+            hits = nearest_many(chunks, left, tokens, k, n_questions, vectors).join(left.select("query_id", "filename"), ["query_id", "filename"])
+            every = every.unionByName(hits.join(own.select("filename", name, "text"), ["filename", "chunk_id"]).select("query_id", "filename", "chunk_id", "text", (-F.col("similarity")).alias("order")))
     best = Window.partitionBy("query_id").orderBy("order", "chunk_id")
     chosen = every.withColumn("__at", F.row_number().over(best)).where(F.col("__at") <= k)
     chosen = chosen.select("query_id", "filename", "chunk_id", "order", "text", F.md5(dedup_signature(F.col("text")).cast("binary")).alias("signature"), tokens.column(F.col("text")).alias("tokens"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -182,33 +183,38 @@ class Engine:
             F.transform("entries", lambda e: F.struct(e.filename.alias("filename"), e.chunk_id.alias("chunk_id"), e.text.alias("text"))).alias("sources"),
         )
 
-    def _asked(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Questions that are not blank, with their vectors; and the documents that some of them name."""
+    def _asked(self, questions: DataFrame) -> DataFrame:
+        """query_id, query, vector and target_filename (null where it names no document) of the questions that are not blank, written."""
         vector = F.col("vector") if "vector" in questions.columns else self.embedder.column(F.col("query"))
-        asked = questions.where(F.trim(F.coalesce("query", F.lit(""))) != "").select(F.col("query_id").cast("long").alias("query_id"), "query", vector.alias("vector"))
-        return asked, search.detect_targets(self.docs, asked).select("query_id", "filename")
+        asked = written(questions.where(F.trim(F.coalesce("query", F.lit(""))) != "").select(F.col("query_id").cast("long").alias("query_id"), "query", vector.alias("vector")), "questions")
+        targets = search.detect_targets(self.docs, asked).select("query_id", F.col("filename").alias("target_filename"))
+        return written(asked.join(targets, "query_id", "left"), "aimed")
 
-    def _contexts(self, asked: DataFrame, targets: DataFrame, texts: bool) -> DataFrame:
+    def _contexts(self, asked: DataFrame, texts: bool) -> DataFrame:
         n_questions = asked.count()
-        normal = retrieve_many(self.chunks, asked.join(targets, "query_id", "left_anti"), self.tokens, vectors=self.vectors, n_questions=n_questions, texts=texts)
-        strict = retrieve_strict_many(self.docs, self.chunks, asked.join(targets, "query_id"), self.tokens, vectors=self.vectors, n_questions=n_questions)
+        normal = retrieve_many(self.chunks, asked.where("target_filename IS NULL"), self.tokens, vectors=self.vectors, n_questions=n_questions, texts=texts)
+        aimed = asked.where("target_filename IS NOT NULL").withColumnRenamed("target_filename", "filename")
+        if aimed.isEmpty():
+            return normal
+        strict = retrieve_strict_many(self.docs, self.chunks, aimed, self.tokens, vectors=self.vectors, n_questions=n_questions)
         return normal.unionByName(strict if texts else strict.drop("text"))
 
     def contexts(self, questions: DataFrame, texts: bool = True) -> DataFrame:
         """query_id, target_filename, position, filename, chunk_id, text_md5 and (``texts``) text: what every question of a table is answered from."""
-        asked, targets = self._asked(questions)
-        found = self._contexts(asked, targets, texts)
-        return found.join(targets.withColumnRenamed("filename", "target_filename"), "query_id", "left").select("query_id", "target_filename", *found.columns[1:])
+        asked = self._asked(questions)
+        found = self._contexts(asked, texts)
+        return found.join(asked.select("query_id", "target_filename"), "query_id").select("query_id", "target_filename", *found.columns[1:])
 
     def ask_many(self, questions: DataFrame) -> DataFrame:
-        """A row per question of a table (query_id, query, and vector unless the embedder gives it): what ``ask`` says of each, in one plan.
+        """A row per question of a table (query_id, query, and vector unless the embedder gives it): what ``ask`` says of each.
 
         Blank questions have no row; a question without any context has an empty answer. A question names its document itself.
+        The questions and what they aim at are written once; nothing depends on how many there are.
         """
-        asked, targets = self._asked(questions)
+        asked = self._asked(questions)
         entry = F.struct("position", "filename", "chunk_id", "text")
-        found = self._contexts(asked, targets, True).groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        one = asked.select("query_id", "query").join(found, "query_id", "left").join(targets.withColumnRenamed("filename", "target_filename"), "query_id", "left")
+        found = self._contexts(asked, True).groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        one = asked.drop("vector").join(found, "query_id", "left")
         one = one.withColumn("entries", F.coalesce("entries", F.array().cast(found.schema["entries"].dataType)))
         one = one.withColumn("context", context_text(F.col("entries")))
         return one.select(

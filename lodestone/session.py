@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,13 @@ def file_system(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path as it knows it: stores that only Spark reads work too."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back: what several later steps read is worked out once. Deleted when the driver ends."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    system, at = file_system(spark, path)
+    system.deleteOnExit(at)
+    return spark.read.schema(rows.schema).parquet(path)

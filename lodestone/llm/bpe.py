@@ -25,9 +25,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -115,27 +116,33 @@ def _tokenizer(spec: str):
 
 
 def _encode_bucket(spec):
-    """All chunks' words of one bucket: encode each distinct word once, answer every chunk."""
+    """All chunks' words of one bucket, a batch at a time: each distinct word is encoded once, every chunk is answered.
 
-    def answer(asked: pa.Table) -> pa.Table:
+    What is held is the bucket's distinct words and their ids, not what the chunks ask.
+    """
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(spec.value)
-        lists = [zstandard.decompress(x).split(b"\n") for x in asked.column("words").to_pylist()]
         index: dict[bytes, int] = defaultdict(count().__next__)
-        places = [np.array([index[w] for w in words], np.uint32) for words in lists]
-        words = [w.decode("utf-8") for w in index]
-        lens, ids = np.zeros(len(words), np.uint32), []
-        for k in range(0, len(words), 4096):
-            got = [x.ids for x in tokenizer.encode_batch(words[k : k + 4096], add_special_tokens=False)]
-            lens[k : k + len(got)] = [len(x) for x in got]
-            ids.append(np.array([i for x in got for i in x], np.uint32))
-        flat, starts = np.concatenate(ids), np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
-        out_lens, out_ids = [], []
-        for p in places:
-            n = lens[p]
-            at = np.repeat(starts[p] - np.concatenate([[0], np.cumsum(n, dtype=np.int64)[:-1]]), n) + np.arange(int(n.sum()))
-            out_lens.append(_squeeze(n))
-            out_ids.append(_squeeze(flat[at]))
-        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(out_lens, pa.binary()), pa.array(out_ids, pa.binary())], schema=_REPLY_ARROW)
+        lens, starts, ids = array("I"), array("q"), array("I")
+        for asked in batches:
+            places = [np.array([index[w] for w in zstandard.decompress(x.as_py()).split(b"\n")], np.uint32) for x in asked.column("words")]
+            fresh = [w.decode("utf-8") for w in islice(index, len(lens), None)]
+            for k in range(0, len(fresh), 4096):
+                for x in tokenizer.encode_batch(fresh[k : k + 4096], add_special_tokens=False):
+                    starts.append(len(ids))
+                    lens.append(len(x.ids))
+                    ids.extend(x.ids)
+            n_of, start_of, flat = np.array(lens, np.uint32), np.array(starts, np.int64), np.array(ids, np.uint32)
+            out_lens, out_ids = [], []
+            for p in places:
+                n = n_of[p]
+                at = np.repeat(start_of[p] - np.concatenate([[0], np.cumsum(n, dtype=np.int64)[:-1]]), n) + np.arange(int(n.sum()))
+                out_lens.append(_squeeze(n))
+                out_ids.append(_squeeze(flat[at]))
+            yield pa.RecordBatch.from_arrays([asked.column("chunk"), asked.column("bucket"), pa.array(out_lens, pa.binary()), pa.array(out_ids, pa.binary())], schema=_REPLY_ARROW)
+        del index, lens, starts, ids
+        give_back()
 
     return answer
 
@@ -185,7 +192,7 @@ def _and_give_back(answer):
         return out
 
     # Spark tells by the number of arguments whether a function takes the group's key.
-    return (lambda a: told(a)) if answer.__code__.co_argcount == 1 else (lambda a, b: told(a, b))
+    return lambda a, b: told(a, b)
 
 
 _PIECES: dict[int, tuple[list[str], list[str]]] = {}
@@ -216,7 +223,7 @@ def encode(docs: DataFrame, tokenizer_path: str, ids_as_text: bool = False, chun
     packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack(buckets(spark), chunk_chars), _PACKED)
     packed = bucketed(packed, "chunk", "bpe_chunks")
     asked = packed.where("bucket >= 0").select("chunk", "bucket", "words")
-    replies = asked.groupBy("bucket").applyInArrow(_and_give_back(_encode_bucket(spec)), _REPLY)
+    replies = asked.groupBy("bucket").applyInArrow(_encode_bucket(spec), _REPLY)
     chunks = packed.where("bucket < 0").select("chunk", "doc_ids", "sizes", "places", "order")
     kind = "string" if ids_as_text else "array<int>"
     out = f"doc_id long, n_tokens long, ids {kind}, decoded string"

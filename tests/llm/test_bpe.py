@@ -42,3 +42,20 @@ def test_digests_on_the_small_table(spark):
     want = {r.doc_id: (len(i), sha(" ".join(map(str, i))), sha(d)) for r, i, d in zip(rows, ids, decoded)}
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(bpe.encode(docs, PATH, ids_as_text=True)).collect()}
     assert got == want
+
+
+def test_a_bucket_is_answered_batch_by_batch():
+    """Words that come again in a later batch of the bucket have the ids of the first."""
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    with open(PATH, encoding="utf-8") as file:
+        spec = type("Sent", (), {"value": file.read()})()
+    lists = [["hello", "wörld"], ["wörld", "again"], ["hello"], ["x" * 50, "again", "hello"]]
+    batches = [pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int64()), "bucket": pa.array([7], pa.int32()), "words": pa.array([zstandard.compress("\n".join(w).encode())], pa.binary())}) for k, w in enumerate(lists)]
+    got = list(bpe._encode_bucket(spec)(iter(batches)))
+    ids, _ = _expected([w for words in lists for w in words])
+    told = [i for b in got for i in bpe._expand(b.column("ids")[0].as_py()).tolist()]
+    lens = [n for b in got for n in bpe._expand(b.column("lens")[0].as_py()).tolist()]
+    assert told == [i for x in ids for i in x] and lens == [len(x) for x in ids] and isinstance(lens, list) and np.sum(lens) == len(told)

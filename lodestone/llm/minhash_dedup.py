@@ -46,7 +46,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import buckets, give_back, materialize
@@ -59,6 +59,8 @@ MISS = 1e-9
 #: Sets in a leaf, branchings before a node is compared in blocks, sets in a cluster's task.
 #: A full leaf is under 1 MB of sketches and at most about half a second of comparisons.
 LEAF, DEEPEST, CLUSTER = 8192, 5, 2048
+#: Rows of nodes, and shingles of full sets (8 bytes each), of a bucket that a task takes as a whole; shingles above which a cluster is judged in parts.
+NODE_ROWS, BUCKET_SHINGLES, CLUSTER_SHINGLES = 250_000, 8_000_000, 8_000_000
 #: Documents up to which the ids to fetch are sent to every executor (8 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 NO_ID = -(2**63)
@@ -309,6 +311,11 @@ def _judge_links(percent: int):
     return rows
 
 
+def buckets_for(spark: SparkSession, per_partition: int, amount: int, most: int) -> int:
+    """Hash buckets for an amount of rows or values of which a bucket shall hold about ``most``: as many as the data needs."""
+    return max(buckets(spark, per_partition), -(-amount // most))
+
+
 def _bucket(of: str, n: int):
     return F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
 
@@ -343,7 +350,7 @@ def sketch_bits_for(percent: int) -> int:
 def likely_links(sets: DataFrame, percent: int, trees: int, leaf: int, deepest: int) -> DataFrame:
     """u, v: likely links among distinct sets (key, sig), found by all trees; ``trees`` holds down to depth 2."""
     spark = sets.sparkSession
-    n = buckets(spark, 2)
+    rows = sets.count() * trees
     judged = _likely(sketch_bits_for(percent))
     open_ = sets.select("key", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     found = None
@@ -351,6 +358,7 @@ def likely_links(sets: DataFrame, percent: int, trees: int, leaf: int, deepest:
         placed = open_.mapInArrow(_walk(depth), _sql(_NODE))
         large = materialize(placed.groupBy("node").agg(F.count("*").alias("size_of")).where(F.col("size_of") > leaf), "paths-large")
         leaves = placed.join(large, "node", "left_anti")
+        n = buckets_for(spark, 2, rows, NODE_ROWS)
         made = leaves.withColumn("bucket", _bucket("node", n)).groupBy("bucket").applyInArrow(_without_bucket(judged), _sql(_EDGE))
         found = made if found is None else found.unionByName(made)
         if large.isEmpty():
@@ -363,6 +371,7 @@ def likely_links(sets: DataFrame, percent: int, trees: int, leaf: int, deepest:
         if depth > 1 and deeper > trees:
             kept = kept.unionByName(kept.select("key").distinct().select(F.explode(F.sequence(F.lit(trees), F.lit(deeper - 1))).alias("tree"), "key"))
             trees = deeper
+        rows = kept.count()
         open_ = kept.join(sets, "key").select("key", "sig", "tree")
     return found
 
@@ -379,12 +388,13 @@ def links(docs: DataFrame, sketches: DataFrame, size: int, percent: int, trees:
     spark = docs.sparkSession
     sets = sketches.where("n > 0").dropDuplicates(["key"]).select("key", "sig")
     likely = written_edges(likely_links(sets, percent, trees or trees_for(percent), leaf, deepest))
-    rough = components(likely, written=True)
-    # Written, so that the join's members come straight from their own exchange and a large cluster's can be split.
-    sizes = materialize(rough.groupBy("label").agg(F.count("*").alias("size_of")), "near-sizes")
-    members = materialize(rough.join(sizes, "label").select(F.col("node").alias("key"), F.col("label").alias("cluster"), "size_of"), "near-clusters")
+    rough = components(likely, written=True).select(F.col("node").alias("key"), F.col("label").alias("cluster"))
     own = F.min(F.when(F.col("id") != NO_ID, F.col("id")))
-    wanted = materialize(sketches.where("n > 0").groupBy("key").agg(F.coalesce(own, F.lit(NO_ID)).alias("id")).join(members, "key"), "near-wanted")
+    named = materialize(sketches.where("n > 0").groupBy("key").agg(F.coalesce(own, F.lit(NO_ID)).alias("id"), F.max("n").alias("n")).join(rough, "key"), "near-named")
+    # Written, so that the join's members come straight from their own exchange and a large cluster's can be split.
+    sizes = materialize(named.groupBy("cluster").agg((F.count("*") <= cluster).alias("few"), F.sum("n").alias("weight")).select("cluster", (F.col("few") & (F.col("weight") <= CLUSTER_SHINGLES)).alias("small"), "weight"), "near-sizes")
+    wanted = materialize(named.join(sizes.select("cluster", "small"), "cluster"), "near-wanted")
+    weight = sizes.where("small").agg(F.sum("weight")).first()[0] or 0
 
     def fetched(part: DataFrame) -> DataFrame:
         """key, shingles and cluster of the wanted sets, from one text each."""
@@ -395,11 +405,11 @@ def links(docs: DataFrame, sketches: DataFrame, size: int, percent: int, trees:
         full = texts.select("text").mapInArrow(_full_sets(size), _sql(_SET))
         return full.join(part.select("key", "cluster"), "key").dropDuplicates(["key"])
 
-    small = fetched(wanted.where(F.col("size_of") <= cluster)).withColumn("bucket", _bucket("cluster", buckets(spark, 4)))
+    small = fetched(wanted.where("small")).withColumn("bucket", _bucket("cluster", buckets_for(spark, 4, weight, BUCKET_SHINGLES)))
     judged = _judge(percent)
     edges = small.groupBy("bucket").applyInArrow(lambda t: judged(t), _sql(_EDGE))
-    if not sizes.where(F.col("size_of") > cluster).isEmpty():
-        large = materialize(fetched(wanted.where(F.col("size_of") > cluster)).select("key", "shingles", "cluster"), "near-large")
+    if not sizes.where("NOT small").isEmpty():
+        large = materialize(fetched(wanted.where("NOT small")).select("key", "shingles", "cluster"), "near-large")
         edges = edges.unionByName(_large_edges(large, likely, percent, max(1, cluster // 2)))
     return components(edges)
 
@@ -413,8 +423,10 @@ def _large_edges(large: DataFrame, likely: DataFrame, percent: int, size: int) -
     ends = [large.select(F.col("key").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "a"), ("v", "b"))]
     true = materialize(likely.join(ends[0], "u").join(ends[1], "v").select("u", "v", "a", "b").mapInArrow(_judge_links(percent), _sql(_EDGE)), "near-true")
     label = components(true).select(F.col("node").alias("key"), F.col("label").alias("part"))
-    placed = materialize(large.select("key", "cluster").join(label, "key", "left").select("key", "cluster", F.coalesce("part", "key").alias("part")), "near-parts")
-    parts = placed.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    # A set counts as one, and as more where it has more shingles than a block of such sets may hold.
+    share = F.greatest(F.lit(1.0), F.length("shingles") / 8 / (CLUSTER_SHINGLES / 2 / size)).alias("share")
+    placed = materialize(large.select("key", "cluster", share).join(label, "key", "left").select("key", "cluster", "share", F.coalesce("part", "key").alias("part")), "near-parts")
+    parts = placed.groupBy("cluster", "part").agg(F.sum("share").alias("n"))
     few = F.col("n") < size
     whole = parts.groupBy("cluster").agg(F.count("*").alias("n_parts"), F.sum(F.when(few, F.col("n")).otherwise(0)).alias("n_few"))
     apart = materialize(whole.where("n_parts > 1"), "near-apart")

@@ -158,3 +158,23 @@ def test_survivors_keep_one_row_of_each_component_whatever_its_id(spark):
     assert len([i for i, t in words if t.startswith("a0")]) == 1
     assert sorted(x for x in words if not x[1].startswith("a0")) == [(2, d + " more"), (4, b + " more"), (5, c)]
     assert sorted(map(str, (x for x in got if x not in words))) == sorted(map(str, [(None, None), (None, None), (None, " "), (7, None), (7, "")]))
+
+
+def test_buckets_and_parts_follow_the_shingles(spark, monkeypatch):
+    """More rows or longer sets open more buckets, and clusters of long sets are judged in parts: with the same result."""
+    assert minhash_dedup.buckets_for(spark, 2, 10**9, 250_000) == 4000 > minhash_dedup.buckets_for(spark, 2, 10, 250_000)
+    rng, rows = random.Random(9), []
+    for group in range(4):
+        base = [f"g{group}-{k}" for k in range(400)]
+        for _ in range(12):
+            w = list(base)
+            w[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, opened, real = brute(rows, 3, 85), [], minhash_dedup.buckets_for
+    monkeypatch.setattr(minhash_dedup, "buckets_for", lambda *x: opened.append(real(*x)) or opened[-1])
+    for name, most in (("NODE_ROWS", 5), ("BUCKET_SHINGLES", 50), ("CLUSTER_SHINGLES", 2000)):
+        monkeypatch.setattr(minhash_dedup, name, most)
+        got = minhash_dedup.classes(docs, 3, 85).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want, name
+    assert max(opened) > 64

@@ -16,9 +16,11 @@ are read only where a candidate's slice has one (``blocks_read`` tells).
 from __future__ import annotations
 
 import json
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,9 @@ HELD = 2_000_000
 #: Of a packed place: document in the upper, word in the lower bits.
 WORD_BITS = 24
 
-_RUN = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("tokens", pa.list_(pa.string())), ("docs", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary())), ("places", pa.list_(pa.binary()))])
+_RUN = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("tokens", pa.string()), ("sizes", pa.binary()), ("docs", pa.binary()), ("doc_at", pa.binary()), ("places", pa.binary())])
 _BLOCK = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("token", pa.string()), ("n_docs", pa.int64()), ("n_places", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
-_RUN_SQL = "bucket int, slice int, tokens array<string>, docs array<binary>, counts array<binary>, places array<binary>"
+_RUN_SQL = "bucket int, slice int, tokens string, sizes binary, docs binary, doc_at binary, places binary"
 _BLOCK_SQL = "bucket int, slice int, token string, n_docs long, n_places long, docs binary, counts binary, places binary"
 
 
@@ -46,45 +48,48 @@ def _bucket(token: Column, n: int) -> Column:
     return F.pmod(F.crc32(token.cast("binary")), F.lit(n)).cast("int")
 
 
-def _runs(n_buckets: int):
-    """Of a task's documents, per bucket and slice, each token's documents with their places."""
-    import zlib
+def _ends(ids: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    return np.append(np.flatnonzero(np.diff(ids, prepend=-1)), len(ids))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], dict[str, list]] = defaultdict(lambda: defaultdict(list))
-        size = 0
 
-        def told() -> Iterator[pa.RecordBatch]:
-            for (bucket, part), tokens in held.items():
-                out = [_packed(entries) for entries in tokens.values()]
-                cols = [[bucket], [part], [list(tokens)], *([[x[k] for x in out]] for k in range(3))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _RUN)], schema=_RUN)
-            held.clear()
+def _runs(n_buckets: int):
+    """Of a task's documents, per bucket and slice, the occurrences of each token in order."""
+
+    def run(docs: list[tuple[int, int, np.ndarray]], tokens: list[str]) -> pa.RecordBatch:
+        docs.sort(key=lambda d: d[0])
+        sizes = np.array([len(x) for _, _, x in docs])
+        ids = np.concatenate([x for _, _, x in docs])
+        doc = np.repeat(np.arange(len(docs)), sizes)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        bucket = np.array([zlib.crc32(t.encode()) % n_buckets for t in tokens])
+        cell = bucket[ids] * (1 << 32) + np.array([s for _, s, _ in docs])[doc]
+        order = np.lexsort((ids, cell))  # stable: documents and places stay ascending
+        ids, doc, place, cell = ids[order], doc[order].astype(np.uint32), place[order].astype(np.uint32), cell[order]
+        keys, rows = np.array([d for d, _, _ in docs], np.int64), []
+        cells = _ends(cell)
+        for lo, hi in zip(cells, cells[1:]):
+            at = _ends(ids[lo:hi])
+            own, local = np.unique(doc[lo:hi], return_inverse=True)
+            rows.append((int(cell[lo] >> 32), int(cell[lo] & 0xFFFFFFFF), " ".join([tokens[k] for k in ids[lo:hi][at[:-1]]]), np.diff(at).astype(np.uint32).tobytes(), keys[own].tobytes(), local.astype(np.uint32).tobytes(), place[lo:hi].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RUN)], schema=_RUN)
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[str, int] = defaultdict(count().__next__)
+        held, size = [], 0
         for batch in batches:
             for doc, part, norm in zip(*(c.to_pylist() for c in batch.columns)):
-                own: dict[str, list[int]] = defaultdict(list)
-                for at, token in enumerate(norm.split(" ")):
-                    own[token].append(at)
-                    size += 1
-                for token, places in own.items():
-                    held[zlib.crc32(token.encode()) % n_buckets, part][token].append((doc, places))
+                held.append((doc, part, np.array([index[t] for t in norm.split(" ")], np.int64)))
+                size += len(held[-1][2])
                 if size >= HELD:
-                    yield from told()
-                    size = 0
-        yield from told()
+                    yield run(held, list(index))
+                    index, held, size = defaultdict(count().__next__), [], 0
+        if held:
+            yield run(held, list(index))
 
     return rows
 
 
-def _packed(entries: list[tuple[int, list[int]]]) -> tuple[bytes, bytes, bytes]:
-    entries.sort(key=lambda e: e[0])
-    counts = np.array([len(p) for _, p in entries], np.int64)
-    starts = np.repeat(np.arange(len(entries), dtype=np.int64) << WORD_BITS, counts)
-    places = starts + np.concatenate([np.array(p, np.int64) for _, p in entries])
-    return pack_ascending(np.array([d for d, _ in entries], np.int64)), pack_ascending(np.cumsum(counts)), pack_ascending(places)
-
-
 def _opened(docs: bytes, counts: bytes, places: bytes) -> list[tuple[int, list[int]]]:
     ids, ends = unpack_ascending(docs), unpack_ascending(counts)
     words = unpack_ascending(places) & ((1 << WORD_BITS) - 1)
@@ -93,19 +98,32 @@ def _opened(docs: bytes, counts: bytes, places: bytes) -> list[tuple[int, list[i
 
 def _merge(runs: pa.Table) -> pa.Table:
     """The runs of one bucket and slice to blocks, by token."""
-    held: dict[str, list] = defaultdict(list)
+    index: dict[str, int] = defaultdict(count().__next__)
+    ids, docs, places = [], [], []
     for r in range(runs.num_rows):
-        row = {c: runs.column(c)[r].as_py() for c in ("tokens", "docs", "counts", "places")}
-        for token, *blob in zip(row["tokens"], row["docs"], row["counts"], row["places"]):
-            held[token].append(blob)
-    bucket, part = runs.column("bucket")[0].as_py(), runs.column("slice")[0].as_py()
+        row = {c: runs.column(c)[r].as_py() for c in ("tokens", "sizes", "docs", "doc_at", "places")}
+        ids.append(np.repeat([index[t] for t in row["tokens"].split(" ")], np.frombuffer(row["sizes"], np.uint32)))
+        docs.append(np.frombuffer(row["docs"], np.int64)[np.frombuffer(row["doc_at"], np.uint32)])
+        places.append(np.frombuffer(row["places"], np.uint32).astype(np.int64))
+    ids, docs, places = (np.concatenate(x) for x in (ids, docs, places))
+    tokens = list(index)
+    by_name = sorted(range(len(tokens)), key=tokens.__getitem__)
+    rank = np.empty(len(tokens), np.int64)
+    rank[by_name] = np.arange(len(tokens))
+    order = np.lexsort((places, docs, rank[ids]))
+    ids, docs, places = rank[ids][order], docs[order], places[order]
+    new = np.append(True, (np.diff(ids) != 0) | (np.diff(docs) != 0))  # a document of a token begins
+    first = np.flatnonzero(new)  # places where it does
+    token_at = _ends(ids)
+    doc_at = np.searchsorted(first, token_at)  # documents before each token
+    nth = np.cumsum(new) - 1 - np.repeat(doc_at[:-1], np.diff(token_at))
+    packed, last, keys = (nth << WORD_BITS) + places, np.append(first[1:], len(ids)), docs[first]
     rows = []
-    for token in sorted(held):
-        blobs = held[token]
-        if len(blobs) > 1:
-            blobs = [_packed([e for b in blobs for e in _opened(*b)])]
-        rows.append((bucket, part, token, len(unpack_ascending(blobs[0][0])), int(unpack_ascending(blobs[0][1])[-1]), *blobs[0]))
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOCK)], schema=_BLOCK)
+    for k, (lo, hi, a, b) in enumerate(zip(token_at.tolist(), token_at[1:].tolist(), doc_at.tolist(), doc_at[1:].tolist())):
+        rows.append((tokens[by_name[k]], b - a, hi - lo, pack_ascending(keys[a:b]), pack_ascending(last[a:b] - lo), pack_ascending(packed[lo:hi])))
+    bucket, part = runs.column("bucket")[0].as_py(), runs.column("slice")[0].as_py()
+    cols = [[bucket] * len(rows), [part] * len(rows), *zip(*rows)]
+    return pa.table([pa.array(c, f.type) for c, f in zip(cols, _BLOCK)], schema=_BLOCK)
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", slice_docs: int = SLICE_DOCS, cell_tokens: int = CELL_TOKENS) -> LexicalIndex:
@@ -158,8 +176,6 @@ class LexicalIndex:
 
     def blocks(self, tokens: list[str], slices: list[int] | None = None) -> DataFrame:
         """The blocks of some tokens: only the folders of their buckets are read."""
-        import zlib
-
         held = self.spark.read.schema(_BLOCK_SQL).parquet(f"{self.path}/postings")
         held = held.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % self.buckets for t in tokens})) & F.col("token").isin(tokens))
         return held if slices is None else held.where(F.col("slice").isin(slices))

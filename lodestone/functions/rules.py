@@ -129,3 +129,9 @@ OPEN_ENDINGS = (("ADV", "ly"), ("VERB", "ing|ed|ize|ise|ify"), ("ADJ", "ous|ful|
 
 #: Stand-in for an abbreviation file: lower-case key to expansion.
 ABBREVIATIONS = {"th": "the", "nd": "and", "ti": "time", "wh": "which", "sh": "shall", "er": "error"}
+
+# Fixed values of the published VADER rules (Hutto and Gilbert, 2014): weights; the word lists are short stand-ins.
+EMPHASIS, BOOST, FADING, TURN, MARK = 0.733, 0.293, (1.0, 0.95, 0.9), -0.74, 0.292
+BOOSTERS = ("absolutely", "completely", "deeply", "especially", "extremely", "greatly", "highly", "really", "so", "totally", "very")
+DAMPENERS = ("almost", "barely", "hardly", "partly", "scarcely", "slightly", "somewhat")
+NEGATIONS = ("not", "no", "never", "none", "neither", "nor", "nothing", "nowhere", "without", "cannot", "can't", "don't", "doesn't", "didn't", "isn't", "wasn't", "won't")

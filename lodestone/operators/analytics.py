@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import rules
 from lodestone.functions.text import plain_tokens, words
 
 
@@ -119,3 +120,52 @@ def tf_idf(docs: DataFrame, key: str, most_terms: int = 1000) -> DataFrame:
     rows = counts.join(F.broadcast(terms), "token").join(F.broadcast(n)).select(key, "token", weight.alias("w"))
     size = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     return rows.join(size, key).select(key, "token", F.round(F.col("w") / F.col("size"), 6).alias("weight"))
+
+
+def concordance_lines(docs: DataFrame, key: str, word: str, width: int = 80) -> DataFrame:
+    """Each place of a word in a line of about ``width`` characters: what stands before and after it, cut to half of the rest.
+
+    As many as ``width`` / 4 words on either side are looked at. Lines are made within the row; no words leave it.
+    """
+    half, around = (width - len(word) - 2) // 2, width // 4
+    def line(w: Column, i: Column) -> Column:
+        left = F.array_join(F.slice(w, F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around))), " ")
+        right = F.array_join(F.slice(w, i + 2, F.lit(around - 1)), " ")
+        return F.concat_ws(" ", F.right(left, F.lit(half)), F.lit(word), F.left(right, F.lit(half)))
+
+    found = F.get(F.transform(F.array(F.struct(words(F.lower(F.col("text"))).alias("w"))), lambda x: F.filter(F.transform(x.w, lambda t, i: F.when(t == word, F.struct(i.alias("place"), line(x.w, i).alias("line")))), lambda h: h.isNotNull())), F.lit(0))
+    hits = docs.where(F.contains(F.lower("text"), F.lit(word))).select(key, F.explode(found).alias("__h"))
+    return hits.select(key, "__h.place", "__h.line")
+
+
+def sentiment_in_context(docs: DataFrame, key: str, lexicon: DataFrame, text: str = "text") -> DataFrame:
+    """n_hits, valence, compound, pos, neg and neu per document, each hit weighed by the words around it.
+
+    As the published VADER rules have it: a word in capitals in a text that is not all capitals counts more; each of the three
+    words before a hit that is a booster adds to it or takes from it, less the further it stands; a negation among them turns
+    and weakens it; up to four exclamation marks raise the whole. ``lexicon`` (word, valence) is a table of any size.
+    Every token carries the three before it, so tokens are told apart by one join with the lexicon and summed by document.
+    """
+    w = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("[A-Za-z\']+"), F.lit(0))
+    before = lambda w, i: F.transform(F.reverse(F.slice(w, F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(3)))), F.lower)  # noqa: E731  nearest first
+    made = lambda x: F.transform(x.w, lambda t, i: F.struct(F.lower(t).alias("token"), ((t == F.upper(t)) & (F.length(t) > 1)).alias("loud"), before(x.w, i).alias("before")))
+    mixed = F.exists("__w", lambda t: t != F.upper(t))
+    rows = docs.select(F.col(key), w.alias("__w"), F.least(F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("!"), F.lit(0))), F.lit(4)).alias("__marks"))
+    tokens = rows.select(key, mixed.alias("__mixed"), F.explode(F.get(F.transform(F.array(F.struct(F.col("__w").alias("w"))), made), F.lit(0))).alias("__t"))
+    hits = tokens.select(key, "__mixed", "__t.*").join(lexicon, F.col("token") == F.col("word"))
+    sign, listed = F.signum("valence"), lambda x: F.array(*map(F.lit, x))
+    v = F.col("valence") + F.when(F.col("loud") & F.col("__mixed"), sign * rules.EMPHASIS).otherwise(0.0)
+    for place, fades in enumerate(rules.FADING):
+        b = F.get("before", F.lit(place))
+        v = v + sign * fades * F.when(F.coalesce(F.array_contains(listed(rules.BOOSTERS), b), F.lit(False)), rules.BOOST).when(F.coalesce(F.array_contains(listed(rules.DAMPENERS), b), F.lit(False)), -rules.BOOST).otherwise(0.0)
+    v = v * F.when(F.arrays_overlap("before", listed(rules.NEGATIONS)), rules.TURN).otherwise(1.0)
+    sums = hits.select(key, v.alias("v")).groupBy(key).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("v") < 0, 1 - F.col("v")).otherwise(0.0)).alias("m"), F.count_if(F.col("v") != 0).alias("k"))
+    all_rows = rows.select(key, F.size("__w").alias("__size"), "__marks").join(sums, key, "left")
+    s, k = F.coalesce("s", F.lit(0.0)), F.coalesce("k", F.lit(0))
+    raised = s + F.signum(s) * rules.MARK * F.col("__marks")
+    total = F.coalesce("p", F.lit(0.0)) + F.coalesce("m", F.lit(0.0)) + F.col("__size") - k
+    share = lambda c: F.round(F.coalesce(F.try_divide(c, total), F.lit(0.0)), 6)
+    return all_rows.select(
+        key, F.coalesce("n", F.lit(0)).cast("long").alias("n_hits"), F.round(s, 6).alias("valence"), F.round(raised / F.sqrt(raised * raised + 15.0), 6).alias("compound"),
+        share(F.coalesce("p", F.lit(0.0))).alias("pos"), share(F.coalesce("m", F.lit(0.0))).alias("neg"), share(F.col("__size") - k).alias("neu"),
+    )

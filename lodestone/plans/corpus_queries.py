@@ -360,3 +360,42 @@ def incremental_ingest(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema.simpleString()[len("struct<") : -1]
     incremental.ingest(spark, sf_dir, ", ".join(x.replace(":", " ", 1) for x in schema.split(",")), f"{base}/out", f"{base}/state", "event_id", only="events.parquet")
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+_HALF = (80 - len("stupid") - 2) // 2
+
+
+@register(
+    f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(len(w))) AS p FROM w)
+SELECT doc_id, p::INTEGER AS place, concat_ws(' ', right(array_to_string(w[greatest(p - 20, 0) + 1 : p], ' '), {_HALF}), 'stupid', left(array_to_string(w[p + 2 : p + 20], ' '), {_HALF})) AS line FROM x WHERE w[p + 1] = 'stupid'
+"""
+)
+def concordance_lines(spark, sf_dir):
+    """Concordance in lines of eighty characters."""
+    return analytics.concordance_lines(_docs(spark, sf_dir), "doc_id", "stupid")
+
+
+_BEFORE = "list_transform(list_reverse(w[greatest(p - 3, 0) + 1 : p]), lambda x: lower(x))"
+_BOOSTED = " + ".join(f"sign(valence) * {f}::DOUBLE * CASE WHEN list_contains({sql_list(rules.BOOSTERS)}, b[{k + 1}]) THEN {rules.BOOST} WHEN list_contains({sql_list(rules.DAMPENERS)}, b[{k + 1}]) THEN -{rules.BOOST} ELSE 0 END" for k, f in enumerate(rules.FADING))
+
+
+@register(
+    f"""
+WITH l(word, valence) AS (VALUES {', '.join(f"('{w}', {v}::DOUBLE)" for w, v in rules.SENTIMENT.items())}),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z'']+') AS w, least(len(coalesce(text, '')) - len(replace(coalesce(text, ''), '!', '')), 4) AS marks FROM documents),
+t AS (SELECT doc_id, w, unnest(range(len(w))) AS p, len(list_filter(w, lambda x: x <> upper(x))) > 0 AS mixed FROM d),
+h AS (SELECT doc_id, mixed, w[p + 1] AS t, {_BEFORE} AS b, valence FROM t JOIN l ON lower(w[p + 1]) = word),
+v AS (SELECT doc_id, (valence + CASE WHEN mixed AND t = upper(t) AND len(t) > 1 THEN sign(valence) * {rules.EMPHASIS} ELSE 0 END + {_BOOSTED})
+      * CASE WHEN len(list_intersect(b, {sql_list(rules.NEGATIONS)})) > 0 THEN {rules.TURN} ELSE 1.0 END::DOUBLE AS v FROM h),
+g AS (SELECT doc_id, count(*) AS n, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS p, sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END) AS m, count(*) FILTER (v <> 0) AS k FROM v GROUP BY doc_id),
+x AS (SELECT doc_id, len(w) AS size, coalesce(n, 0) AS n, coalesce(s, 0) AS s, coalesce(p, 0) AS p, coalesce(m, 0) AS m, coalesce(k, 0) AS k, coalesce(s, 0) + sign(coalesce(s, 0)) * {rules.MARK}::DOUBLE * marks AS r FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_hits, round(s, 6) AS valence, round(r / sqrt(r * r + 15.0::DOUBLE), 6) AS compound, round(coalesce(p / nullif(p + m + size - k, 0), 0), 6) AS pos,
+       round(coalesce(m / nullif(p + m + size - k, 0), 0), 6) AS neg, round(coalesce((size - k) / nullif(p + m + size - k, 0), 0), 6) AS neu FROM x
+"""
+)
+def sentiment_in_context(spark, sf_dir):
+    """Sentiment with negations, boosters, capitals and exclamation marks."""
+    lexicon = spark.createDataFrame(list(rules.SENTIMENT.items()), "word string, valence double")
+    return analytics.sentiment_in_context(_docs(spark, sf_dir), "doc_id", lexicon)

@@ -343,6 +343,12 @@ def checked_search(spark, sf_dir):
     return made.where(F.col("check").isNotNull() & F.col("follow_ups").isNotNull()).select("context")
 
 
+@register()
+def checked_answer(spark, sf_dir):
+    """All that the alternate engine says of a question: context, answer, its fact check and the follow-up questions."""
+    return engine.checked_answer(_chunks(spark, sf_dir), "how wings lift", _query_vector(spark, sf_dir), engine.ExtractiveGenerator(), vectors=_chunk_vectors(spark, sf_dir))
+
+
 @register("SELECT vec_id, 4 * len(embedding) AS n_bytes, round(list_sum(embedding::FLOAT[]::DOUBLE[]), 6) AS total FROM embeddings")
 def float32_pack(spark, sf_dir):
     """Vectors packed to bytes and read back."""

@@ -185,3 +185,21 @@ def test_registered_cells_return_near_rows(spark):
     got = catalogue.queries()["grown_cell_search"](spark, SF).collect()
     exact = catalogue.queries()["cosine_topk"](spark, SF).collect()
     assert len(got) == 5 and got[0] == exact[0] and {tuple(r) for r in got} <= {tuple(r) for r in exact}
+
+
+def test_the_whole_checked_answer_is_returned(spark):
+    """Answer, check and follow-ups against the same rules in plain Python."""
+    import re
+
+    from lodestone.functions import rules
+
+    row = catalogue.queries()["checked_answer"](spark, SF).first()
+    assert row.context == catalogue.queries()["checked_search"](spark, SF).first().context
+    sentences = lambda t: [x for x in (y.strip() for y in re.split(r"(?<=[.!?])\s+", t)) if x]
+    tokens = lambda t: [x for x in re.sub("[^a-z0-9]+", " ", t.lower()).strip().split(" ") if len(x) > 2]
+    assert row.answer == " ".join(sentences(row.context)[:3])
+    held = set(tokens(row.context))
+    good = [s for s in sentences(row.answer) if len(set(tokens(s)) & held) >= 0.6 * len(set(tokens(s)))]
+    assert list(row.check.supported) == good and row.check.accurate == (good == sentences(row.answer)) and not set(row.check.unsupported) & set(good)
+    new = [t for t in dict.fromkeys(tokens(row.answer)) if t not in tokens("how wings lift") and len(t) > 5 and t not in rules.STOP_WORDS]
+    assert list(row.follow_ups) == [f"What else is known about {t}?" for t in new[:3]]

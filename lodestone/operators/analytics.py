@@ -146,21 +146,26 @@ def sentiment_in_context(docs: DataFrame, key: str, lexicon: DataFrame, text: st
     and weakens it; up to four exclamation marks raise the whole. ``lexicon`` (word, valence) is a table of any size.
     Every token carries the three before it, so tokens are told apart by one join with the lexicon and summed by document.
     """
-    w = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("[A-Za-z\']+"), F.lit(0))
-    before = lambda w, i: F.transform(F.reverse(F.slice(w, F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(3)))), F.lower)  # noqa: E731  nearest first
-    made = lambda x: F.transform(x.w, lambda t, i: F.struct(F.lower(t).alias("token"), ((t == F.upper(t)) & (F.length(t) > 1)).alias("loud"), before(x.w, i).alias("before")))
-    mixed = F.exists("__w", lambda t: t != F.upper(t))
-    rows = docs.select(F.col(key), w.alias("__w"), F.least(F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("!"), F.lit(0))), F.lit(4)).alias("__marks"))
-    tokens = rows.select(key, mixed.alias("__mixed"), F.explode(F.get(F.transform(F.array(F.struct(F.col("__w").alias("w"))), made), F.lit(0))).alias("__t"))
-    hits = tokens.select(key, "__mixed", "__t.*").join(lexicon, F.col("token") == F.col("word"))
-    sign, listed = F.signum("valence"), lambda x: F.array(*map(F.lit, x))
-    v = F.col("valence") + F.when(F.col("loud") & F.col("__mixed"), sign * rules.EMPHASIS).otherwise(0.0)
-    for place, fades in enumerate(rules.FADING):
-        b = F.get("before", F.lit(place))
-        v = v + sign * fades * F.when(F.coalesce(F.array_contains(listed(rules.BOOSTERS), b), F.lit(False)), rules.BOOST).when(F.coalesce(F.array_contains(listed(rules.DAMPENERS), b), F.lit(False)), -rules.BOOST).otherwise(0.0)
-    v = v * F.when(F.arrays_overlap("before", listed(rules.NEGATIONS)), rules.TURN).otherwise(1.0)
+    whole, pattern = F.coalesce(F.col(text), F.lit("")), F.lit("[A-Za-z\\']+")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = docs.select(
+        key, F.regexp_extract_all(whole, pattern, F.lit(0)).alias("t"), F.regexp_extract_all(F.translate(whole, upper, upper.lower()), pattern, F.lit(0)).alias("token"),
+        whole.rlike("[a-z]").alias("__mixed"), F.least(F.size(F.regexp_extract_all(whole, F.lit("!"), F.lit(0))), F.lit(4)).alias("__marks"),
+    )
+    # The tokens beside themselves, moved by one, two and three places: what stands before each, nearest first.
+    moved = [F.concat(F.array_repeat(F.lit(None).cast("string"), k), F.col("token")).alias(f"b{k}") for k in (1, 2, 3)]
+    tokens = rows.select(key, "__mixed", F.explode(F.arrays_zip("token", "t", *moved)).alias("__z")).select(key, "__mixed", "__z.*")
+    hits = tokens.join(lexicon, F.col("token") == F.col("word"))
+    sign, loud = F.signum("valence"), (F.col("t") == F.upper("t")) & (F.length("t") > 1) & F.col("__mixed")
+    v = F.col("valence") + F.when(loud, sign * rules.EMPHASIS).otherwise(0.0)
+    negated = F.lit(False)
+    for place, fades in enumerate(rules.FADING, 1):
+        b = F.coalesce(F.col(f"b{place}"), F.lit(""))
+        v = v + sign * fades * F.when(b.isin(*rules.BOOSTERS), rules.BOOST).when(b.isin(*rules.DAMPENERS), -rules.BOOST).otherwise(0.0)
+        negated = negated | b.isin(*rules.NEGATIONS)
+    v = v * F.when(negated, rules.TURN).otherwise(1.0)
     sums = hits.select(key, v.alias("v")).groupBy(key).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("v") < 0, 1 - F.col("v")).otherwise(0.0)).alias("m"), F.count_if(F.col("v") != 0).alias("k"))
-    all_rows = rows.select(key, F.size("__w").alias("__size"), "__marks").join(sums, key, "left")
+    all_rows = rows.select(key, F.size("t").alias("__size"), "__marks").join(sums, key, "left")
     s, k = F.coalesce("s", F.lit(0.0)), F.coalesce("k", F.lit(0))
     raised = s + F.signum(s) * rules.MARK * F.col("__marks")
     total = F.coalesce("p", F.lit(0.0)) + F.coalesce("m", F.lit(0.0)) + F.col("__size") - k

@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of questions or candidates.
-QUESTION_BLOCK, CANDIDATE_BLOCK = 256, 4096
-#: Questions, and bytes of their vectors, that are sent to every executor at a time; one block at least.
-PASS_QUESTIONS, PASS_BYTES = 16_384, 64 << 20
+#: Questions that meet a block of candidates at once, and bytes of such a block.
+QUESTION_BLOCK, CANDIDATE_BYTES = 256, 8 << 20
+#: Questions, and bytes of their vectors, that are sent to every executor at a time. They stand beside every block of
+#: candidates, so they are fewer than those.
+PASS_QUESTIONS, PASS_BYTES = 16_384, 4 << 20
 #: By so much a product of blocks may differ from the exact similarity.
 SLACK = 1e-9
 
@@ -23,8 +24,8 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
 
 
-def _pack(size: int, key: pa.DataType):
-    """Rows to blocks of one dimension each: keys, and the vectors in one matrix."""
+def _pack(most: int, key: pa.DataType):
+    """Rows to blocks of one dimension and about so many bytes each: keys, and the vectors in one matrix."""
     schema = pa.schema([("dim", pa.int32()), ("keys", pa.list_(key)), ("vectors", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +39,7 @@ def _pack(size: int, key: pa.DataType):
             for k, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
                 got = np.asarray(vector.values.to_numpy(zero_copy_only=False), np.float64)
                 held.setdefault(len(got), []).append((k, got))
-                if len(held[len(got)]) >= size:
+                if 8 * len(got) * len(held[len(got)]) >= most:
                     yield block(len(got))
         for dim in list(held):
             yield block(dim)
@@ -77,17 +78,19 @@ def _meet(k: int, key: pa.DataType):
         for batch in batches:
             for n in range(batch.num_rows):
                 row = {name: batch.column(name)[n].as_py() for name in batch.schema.names}
-                q = np.frombuffer(row["asked"], np.float64).reshape(-1, row["dim"])
+                asked = np.frombuffer(row["asked"], np.float64).reshape(-1, row["dim"])
                 c = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
                 keys = np.array(row["keys"], np.int64 if pa.types.is_integer(key) else object)
-                least = np.array([heaps[i][0][-1] if i in heaps and len(heaps[i][0]) == k else -np.inf for i in row["ids"]])
-                for r, similarity, found in nearest_in_blocks(q, c, keys, k, least):
-                    i = row["ids"][r]
-                    if i in heaps:
-                        similarity, found = np.append(heaps[i][0], similarity), np.append(heaps[i][1], found)
-                        best = _best(similarity, found, k)
-                        similarity, found = similarity[best], found[best]
-                    heaps[i] = similarity, found
+                for first in range(0, len(asked), QUESTION_BLOCK):
+                    q, ids = asked[first : first + QUESTION_BLOCK], row["ids"][first : first + QUESTION_BLOCK]
+                    least = np.array([heaps[i][0][-1] if i in heaps and len(heaps[i][0]) == k else -np.inf for i in ids])
+                    for r, similarity, found in nearest_in_blocks(q, c, keys, k, least):
+                        i = ids[r]
+                        if i in heaps:
+                            similarity, found = np.append(heaps[i][0], similarity), np.append(heaps[i][1], found)
+                            best = _best(similarity, found, k)
+                            similarity, found = similarity[best], found[best]
+                        heaps[i] = similarity, found
         for first in range(0, len(heaps), 1024):
             part = list(heaps.items())[first : first + 1024]
             ids = np.repeat([i for i, _ in part], [len(s) for _, (s, _) in part])
@@ -100,8 +103,8 @@ def _meet(k: int, key: pa.DataType):
 def nearest_many(data: DataFrame, questions: DataFrame, k: int, key: str, vector: str = "embedding", n_questions: int | None = None) -> DataFrame:
     """query_id, ``key``, similarity and rank (from 1) of the k rows most similar to each question, ties by ``key``.
 
-    ``questions`` has query_id (long, unique) and vector. Blocks of questions go to the executors in passes of a bounded
-    size and meet the candidates where they are read: no candidate is shuffled. A task keeps a heap for each question, and
+    ``questions`` has query_id (long, unique) and vector. Questions go to the executors in passes of a bounded
+    size and meet the blocks of candidates where they are read: no candidate is shuffled. A task keeps a heap for each question, and
     a ranked window merges what the tasks kept. ``n_questions`` saves a count where it is known, at least roughly.
 
     Rows without a key or a vector, or with a null component, are no candidates; a question meets the vectors of its own
@@ -112,25 +115,25 @@ def nearest_many(data: DataFrame, questions: DataFrame, k: int, key: str, vector
     listed = lambda c: F.col(c).cast("array<double>")
     good = lambda df, c: df.where(F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()))
     rows = good(data.where(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias("key"), listed(vector).alias("v")), "v")
-    blocks = rows.mapInArrow(_pack(CANDIDATE_BLOCK, arrow), f"dim int, keys array<{kind}>, vectors binary")
+    blocks = rows.mapInArrow(_pack(CANDIDATE_BYTES, arrow), f"dim int, keys array<{kind}>, vectors binary")
     asked = good(questions.select(F.col("query_id").cast("long").alias("query_id"), listed("vector").alias("v")), "v")
     n_questions = asked.count() if n_questions is None else n_questions
     widest = asked.agg(F.max(F.size("v"))).first()[0] or 1
-    n_blocks = max(1, -(-n_questions // QUESTION_BLOCK))
-    per_pass = max(1, min(PASS_QUESTIONS // QUESTION_BLOCK, PASS_BYTES // (8 * widest * QUESTION_BLOCK)))
-    dealt = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"), "query_id", "v")
+    per_pass = max(1, min(PASS_QUESTIONS, PASS_BYTES // (8 * widest)))
+    passes = max(1, -(-n_questions // per_pass))
+    dealt = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(passes)).alias("pass"), "query_id", "v")
 
-    def one_pass(first: int) -> DataFrame:
-        part = dealt.where((F.col("block") >= first) & (F.col("block") < first + per_pass)).groupBy("block").applyInArrow(_asked, "dim int, ids array<long>, asked binary")
+    def one_pass(nth: int) -> DataFrame:
+        part = dealt.where(F.col("pass") == nth).groupBy("pass").applyInArrow(_asked, "dim int, ids array<long>, asked binary")
         return blocks.join(F.broadcast(part), "dim").mapInArrow(_meet(k, arrow), f"query_id long, key {kind}, similarity double")
 
-    met = reduce(DataFrame.unionAll, [one_pass(first) for first in range(0, n_blocks, per_pass)])
+    met = reduce(DataFrame.unionAll, [one_pass(nth) for nth in range(passes)])
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("key", key)
 
 
 def _asked(questions: pa.Table) -> pa.Table:
-    """One block of questions, by dimension."""
+    """The questions of a pass, by dimension."""
     by_dim: dict[int, list] = {}
     for i, v in zip(questions.column("query_id").to_pylist(), questions.column("v").to_pylist()):
         by_dim.setdefault(len(v), []).append((i, v))

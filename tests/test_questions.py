@@ -22,10 +22,10 @@ def _exact(keys, c, q, k):
     return [(key, -s) for s, key in sorted(out)[:k]]
 
 
-@pytest.mark.parametrize("per_pass", [16_384, 256])
+@pytest.mark.parametrize("per_pass", [16_384, 200])
 def test_nearest_many_is_brute_force(spark, monkeypatch, per_pass):
     monkeypatch.setattr(knn, "PASS_QUESTIONS", per_pass)
-    monkeypatch.setattr(knn, "CANDIDATE_BLOCK", 100)
+    monkeypatch.setattr(knn, "CANDIDATE_BYTES", 6400)
     r = np.random.default_rng(1)
     c = r.normal(0, 1, (700, 8))
     c[300:350], c[600] = c[0], 0  # ties, and a vector without length

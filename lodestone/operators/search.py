@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import rules, vectors
 from lodestone.functions.text import normalize_for_match, query_terms, quoted_phrases, tokens_for_match
 from lodestone.operators.chunking import passages
+from lodestone.session import written
 
 
 def scored(data: DataFrame, query_vector: list[float], vector: str = "embedding") -> DataFrame:
@@ -177,7 +178,8 @@ def detect_targets(filenames: DataFrame, questions: DataFrame) -> DataFrame:
 
     A token join with a prefix filter: a name that holds a share s of a target's n tokens holds one of its n - ceil(s * n) + 1
     rarest, so only those are joined to the names' tokens, and a token that most names hold is looked up only by targets
-    that have no rarer ones. The share itself is taken from the whole of both sides.
+    that have no rarer ones, or whose rarest leads to no name with all of their tokens. The share itself is taken from the whole
+    of both sides.
     """
     quoted, phrases = F.contains("query", F.lit('"')), quoted_phrases(F.col("query"))
     cued = F.exists(F.array(*map(F.lit, rules.DOCUMENT_CUES)), lambda c: F.contains(F.lower("query"), c))
@@ -189,9 +191,13 @@ def detect_targets(filenames: DataFrame, questions: DataFrame) -> DataFrame:
     spread = asked.select("*", F.explode("tokens").alias("token")).join(rarity, "token", "left")
     by_rarity = Window.partitionBy("query_id", "nth").orderBy(F.coalesce("df", F.lit(0)), "token")
     most = F.size("tokens") - F.greatest(F.ceil(F.col("least") * F.size("tokens") - F.lit(1e-9)), F.lit(1)) + 1
-    rarest = spread.withColumn("__at", F.row_number().over(by_rarity)).where((F.col("__at") <= most) & F.col("df").isNotNull())
+    rarest = written(spread.withColumn("__at", F.row_number().over(by_rarity)).where((F.col("__at") <= most) & F.col("df").isNotNull()).select("query_id", "token", "tokens", "least", "__at"), "rarest")
     share = F.size(F.array_intersect("tokens", "held")) / F.size("tokens")
-    met = rarest.select("query_id", "token", "tokens", "least").join(held, "token").select("query_id", "filename", "least", share.alias("score")).where(F.col("score") >= F.col("least"))
+    meet = lambda rows: rows.join(held, "token").select("query_id", "filename", "least", share.alias("score")).where(F.col("score") >= F.col("least"))
+    # A name that holds all of a target holds its rarest token: where one does, no other token is looked up.
+    first = written(meet(rarest.where("__at = 1")), "aims")
+    whole = first.where("score = 1").select("query_id").distinct()
+    met = first.unionByName(meet(rarest.where("__at > 1").join(whole, "query_id", "left_anti")))
     best = met.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "filename")).alias("best"))
     return best.select("query_id", "best.filename", (-F.col("best.minus")).alias("score"))
 

@@ -24,8 +24,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    size = norm(a)
-    return F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+    # The vector and its norm are bound as elements of arrays: inside the inner lambda they would be worked out again for each component.
+    scaled = lambda y: F.transform(y.v, lambda x: F.when(y.size > 0, x.cast("double") / y.size).otherwise(0.0))
+    sized = lambda v: F.get(F.transform(F.array(F.struct(v.alias("v"), norm(v).alias("size"))), scaled), F.lit(0))
+    return F.get(F.transform(F.array(a), sized), F.lit(0))
 
 
 def squared_l2(a: Column, b: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from lodestone.functions import rules, vectors
+from lodestone.functions import rules
 from lodestone.functions.text import sentences_of, tokens_for_match
 
 
@@ -47,7 +47,7 @@ class HashingEmbedder:
 
 
 class LetterEmbedder:
-    """Unit vectors of letter counts a to z: a built-in expression."""
+    """Unit vectors of letter counts a to z, in Arrow batches: the bytes of a text are counted once, not once a letter."""
 
     letters = "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,8 +57,16 @@ class LetterEmbedder:
         return (out / size if size else out).tolist()
 
     def column(self, text: Column) -> Column:
-        t = F.lower(F.coalesce(text, F.lit("")))
-        return vectors.unit(F.array(*[F.regexp_count(t, F.lit(c)).cast("double") for c in self.letters]))
+        first = ord(self.letters[0])
+
+        def vectors_of(texts: pa.Array) -> pa.Array:
+            # Bytes of a to z stand in no other character of UTF-8.
+            counts = np.array([np.bincount(np.frombuffer(t.as_buffer(), np.uint8), minlength=256)[first : first + len(self.letters)] for t in texts], float).reshape(-1, len(self.letters))
+            size = np.sqrt((counts**2).sum(1, keepdims=True))
+            flat = np.divide(counts, size, out=np.zeros_like(counts), where=size > 0).ravel()
+            return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * len(self.letters), pa.array(flat, pa.float64()))
+
+        return arrow_udf(vectors_of, "array<double>")(F.lower(F.coalesce(text, F.lit(""))))
 
 
 class TokenCounter(Protocol):

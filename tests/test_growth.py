@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import vectors
 from lodestone.operators import chunking, search
 from lodestone.plans import ingest
 from lodestone.seams import LetterEmbedder
@@ -64,3 +65,22 @@ def test_only_repeated_new_texts_are_shuffled(spark, monkeypatch):
         monkeypatch.setattr(ingest, "BROADCAST_IDS", most)
         got = ingest.embed_new(chunks, known, LetterEmbedder())
         assert sorted((r.chunk_id, r.text, round(sum(r.embedding), 3)) for r in got.collect()) == [("b", "bb", 1.0), ("c", "cc", 1.0), ("d", "dd", 1.0)]
+
+
+def test_letters_are_counted_once_a_text(spark, tmp_path):
+    texts = [None, "", "  ", "aBKé zZz", *[f"{k} Some words of a longer text, " * 400 for k in range(300)]]
+    spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    rows, embedder = spark.read.parquet(str(tmp_path / "t")), LetterEmbedder()
+    began = time.perf_counter()
+    got = {r.id: r.v for r in rows.select("id", embedder.column(F.col("text")).alias("v")).collect()}
+    assert time.perf_counter() - began < 15  # worked out again for each component, 4 MB took over a minute
+    assert all(got[k] == embedder.one(t) for k, t in enumerate(texts))
+
+
+def test_a_norm_is_worked_out_once_a_vector(spark):
+    text = F.repeat(F.lit("some words "), 4000)
+    slow = F.array(*[F.regexp_count(F.concat(text, F.col("id").cast("string")), F.lit(c)).cast("double") for c in "abcdefghij"])
+    began = time.perf_counter()
+    got = spark.range(0, 400, 1, 4).select(vectors.unit(slow).alias("v")).collect()
+    assert time.perf_counter() - began < 15
+    assert all(abs(sum(x * x for x in r.v) - 1) < 1e-9 for r in got)

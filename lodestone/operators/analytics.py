@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from lodestone.functions import rules
 from lodestone.functions.text import plain_tokens, words
+from lodestone.operators import consistency
 
 
 def token_rows(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -109,17 +117,67 @@ def concordance(docs: DataFrame, key: str, word: str, width: int = 5) -> DataFra
     return hits.select(key, "place", F.array_join(F.slice("__w", begin + 1, F.col("place") - begin + width + 1), " ").alias("line"))
 
 
+#: Rows of an Arrow batch that are opened as Python objects at once.
+OPENED = 500
+
+
+def _in_slices(made) -> Callable[[pa.Array], pa.Array]:
+    """``made`` of a batch, a few rows at a time."""
+    return lambda rows: pa.concat_arrays([made(rows.slice(k, OPENED)) for k in range(0, max(len(rows), 1), OPENED)])
+
+
+def token_counts(text: Column) -> Column:
+    """(token, tf) of the distinct ``plain_tokens`` of a text, counted within the row in Arrow batches."""
+    kind, stop = pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int64())])), frozenset(rules.STOP_WORDS)
+
+    def counted(low: pa.Array) -> pa.Array:
+        find, ends, tokens, counts = re.compile("[a-z]+|[0-9]+(?:\\.[0-9]+)*").findall, [0], [], []
+        for t in low:
+            found = Counter(find(t.as_py() or ""))
+            for w in stop & found.keys():
+                del found[w]
+            tokens += found
+            counts += found.values()
+            ends.append(len(tokens))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], fields=list(kind.value_type)))
+
+    return arrow_udf(_in_slices(counted), "array<struct<token:string,tf:bigint>>")(F.lower(text))
+
+
 def tf_idf(docs: DataFrame, key: str, most_terms: int = 1000) -> DataFrame:
-    """Smoothed, length-normalised tf-idf over the most frequent terms; one row per document and term."""
-    # Counted within each task first, so a row per distinct word and document is moved; both uses below read that exchange.
-    counts = token_rows(docs, key).groupBy(key, "token").agg(F.count("*").alias("tf"))
-    terms = counts.groupBy("token").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.col("total").desc(), "token").limit(most_terms)
+    """Smoothed, length-normalised tf-idf over the most frequent terms; one row per document and term.
+
+    Rows of one key are one document; a null key counts as a document and has no weights. A document of one row is
+    counted, weighed and normalised within it; only rows whose key stands more than once are counted by shuffle.
+    """
+    once, again = consistency.told_apart(docs.select(key, "text"), key)
+    counts = once.select(key, token_counts(F.col("text")).alias("c"))
+    by_token = counts.select(F.explode("c").alias("c")).select("c.*")
+    if again is not None:
+        more = token_rows(again, key).groupBy(key, "token").agg(F.count("*").alias("tf"))
+        by_token = by_token.unionByName(more.select("token", "tf"))
+    terms = by_token.groupBy("token").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.col("total").desc(), "token").limit(most_terms)
     n = docs.agg(F.count("*").alias("n_docs"))
-    weight = F.col("tf") * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-    # The terms are at most most_terms rows; the document's length is summed within its own row's counts.
-    rows = counts.join(F.broadcast(terms), "token").join(F.broadcast(n)).select(key, "token", weight.alias("w"))
-    size = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return rows.join(size, key).select(key, "token", F.round(F.col("w") / F.col("size"), 6).alias("weight"))
+    terms = terms.join(F.broadcast(n)).select("token", (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+    idf = {r.token: r.idf for r in terms.collect()}  # at most most_terms rows
+    kind = pa.list_(pa.struct([("token", pa.string()), ("weight", pa.float64())]))
+
+    def weighed(counts: pa.Array) -> pa.Array:
+        tokens, tf = counts.flatten().field("token").to_pylist(), counts.flatten().field("tf").to_numpy()
+        weight = tf * np.array([idf.get(t, 0.0) for t in tokens], float)  # an idf is above 0
+        row = np.repeat(np.arange(len(counts)), counts.value_lengths().to_numpy())
+        size = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(counts)))
+        kept = np.flatnonzero(weight)
+        ends = np.searchsorted(row[kept], np.arange(len(counts) + 1)).astype(np.int32)
+        values = [pa.array([tokens[k] for k in kept.tolist()], pa.string()), pa.array(weight[kept] / size[row[kept]], pa.float64())]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, fields=list(kind.value_type)))
+
+    made = counts.select(key, F.explode(arrow_udf(_in_slices(weighed), "array<struct<token:string,weight:double>>")("c")).alias("w")).select(key, "w.token", "w.weight")
+    if again is not None:
+        held = more.join(F.broadcast(terms), "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w"))
+        size = held.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+        made = made.unionByName(held.join(size, key).select(key, "token", (F.col("w") / F.col("size")).alias("weight")))
+    return made.select(key, "token", F.round("weight", 6).alias("weight"))
 
 
 def concordance_lines(docs: DataFrame, key: str, word: str, width: int = 80) -> DataFrame:

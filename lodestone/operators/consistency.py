@@ -13,6 +13,27 @@ def new_rows(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return incoming.join(known.select(key), key, "left_anti")
 
 
+#: Rows of a key, or of a key and a value, that are sent to every executor; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sent_if_few(rows: DataFrame) -> DataFrame:
+    """``rows`` marked to be sent to every executor where their number allows it."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def told_apart(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key stands once, and the others (a null key with them); None where there are none.
+
+    Keys alone are counted by shuffle; the rows stay where they are read unless very many keys stand more than once.
+    """
+    again = rows.groupBy(key).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) | F.col(key).isNull()).select(F.col(key).alias("__again"))
+    if again.isEmpty():
+        return rows, None
+    again, same = sent_if_few(again), F.col(key).eqNullSafe(F.col("__again"))
+    return rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
+
+
 def with_new_parts(wholes: DataFrame, parts: DataFrame, known: DataFrame, whole_key: str, part_key: str) -> DataFrame:
     """Wholes (files) that have at least one part (chunk) that is not known yet."""
     return wholes.join(new_rows(parts, known, part_key).select(whole_key), whole_key, "left_semi")

@@ -202,7 +202,8 @@ def sentiment_in_context(docs: DataFrame, key: str, lexicon: DataFrame, text: st
     As the published VADER rules have it: a word in capitals in a text that is not all capitals counts more; each of the three
     words before a hit that is a booster adds to it or takes from it, less the further it stands; a negation among them turns
     and weakens it; up to four exclamation marks raise the whole. ``lexicon`` (word, valence) is a table of any size.
-    Every token carries the three before it, so tokens are told apart by one join with the lexicon and summed by document.
+    Every token carries the three before it, so tokens are told apart by one join with the lexicon and summed by document: where
+    they are read, unless the lexicon is too large to be sent.
     """
     whole, pattern = F.coalesce(F.col(text), F.lit("")), F.lit("[A-Za-z\\']+")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -213,7 +214,7 @@ def sentiment_in_context(docs: DataFrame, key: str, lexicon: DataFrame, text: st
     # The tokens beside themselves, moved by one, two and three places: what stands before each, nearest first.
     moved = [F.concat(F.array_repeat(F.lit(None).cast("string"), k), F.col("token")).alias(f"b{k}") for k in (1, 2, 3)]
     tokens = rows.select(key, "__mixed", F.explode(F.arrays_zip("token", "t", *moved)).alias("__z")).select(key, "__mixed", "__z.*")
-    hits = tokens.join(lexicon, F.col("token") == F.col("word"))
+    hits = tokens.join(consistency.sent_if_few(lexicon), F.col("token") == F.col("word"))
     sign, loud = F.signum("valence"), (F.col("t") == F.upper("t")) & (F.length("t") > 1) & F.col("__mixed")
     v = F.col("valence") + F.when(loud, sign * rules.EMPHASIS).otherwise(0.0)
     negated = F.lit(False)

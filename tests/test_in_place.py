@@ -42,3 +42,14 @@ def test_tf_idf_moves_no_counts_of_a_document(spark, tmp_path):
     made = analytics.tf_idf(spark.read.parquet(str(tmp_path / "d")).withColumnRenamed("id", "doc_id"), "doc_id", 50)
     assert "Exchange" not in _plan(made)
     assert made.count() == 3000 * 3 + 47  # some, words, w and the first 47 numbers
+
+
+def test_hits_of_a_lexicon_are_found_where_texts_are_read(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "not very GOOD, rather bad and good! x y z") for k in range(50)] + [(3, "good")], SCHEMA)
+    lexicon = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "word string, valence double")
+    made = analytics.sentiment_in_context(docs, "doc_id", lexicon)
+    by_token = lambda df: any("hashpartitioning(token" in line for line in _plan(df).split("\n"))
+    assert not by_token(made)
+    monkeypatch.setattr(consistency, "BROADCAST_ROWS", 1)
+    moved = analytics.sentiment_in_context(docs, "doc_id", lexicon)
+    assert by_token(moved) and sorted(moved.collect()) == sorted(made.collect())

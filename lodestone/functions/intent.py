@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from lodestone.functions import rules
 from lodestone.functions.text import query_terms
@@ -51,14 +53,13 @@ def is_skipped(kind: Column, of: Column) -> Column:
 
 def category(text: Column) -> Column:
     """The category with most of its phrases in the text; the first listed wins ties. Phrases in capitals match nothing in a lower-cased text, as listed."""
-    low = F.lower(text)
-    listed = {p for phrases in rules.CATEGORIES.values() for p in phrases if p == p.lower()}
+    listed = [(name, [(p, max(p.split(), key=len)) for p in phrases if p == p.lower()]) for name, phrases in rules.CATEGORIES.items()]
 
-    def held(phrase: str) -> Column:
-        # A text that lacks a listed part of the phrase lacks the phrase: then the text is not searched again.
-        part = min((q for q in listed if q != phrase and q in phrase), key=lambda q: (-len(q), q), default=None)
-        found = F.contains(low, F.lit(phrase))
-        return (F.contains(low, F.lit(part)) & found if part else found).cast("int")
+    def best(low: str) -> str:
+        # A text is searched for a phrase only where one of its distinct words holds the phrase's longest.
+        held = " ".join(set(low.split()))
+        scores = [sum(longest in held and (longest == p or p in low) for p, longest in phrases) for _, phrases in listed]
+        return listed[scores.index(max(scores))][0]
 
-    scores = [F.struct(sum((held(p) for p in phrases if p in listed), F.lit(0)).alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("name")) for k, (name, phrases) in enumerate(rules.CATEGORIES.items())]
-    return F.array_max(F.array(*scores))["name"]
+    # In Arrow batches: as a built-in expression each of the 150 phrases is searched for byte by byte.
+    return arrow_udf(lambda texts: pa.array([best(t.as_py() or "") for t in texts], pa.string()), "string")(F.lower(text))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,18 +112,30 @@ def lemmas(c: Column) -> Column:
 def pos_tags(c: Column) -> Column:
     """(text, pos) of every word, number and mark, by closed word classes and endings: a default where no tagger is plugged in."""
     found = F.regexp_extract_all(c, F.lit("\\p{L}+|[0-9]+(?:\\.[0-9]+)*|[^\\p{L}0-9\\s]"), F.lit(0))
-    return F.transform(found, lambda t: F.struct(t.alias("text"), _pos(t).alias("pos")))
+    # The tags alone come from Python: an Arrow batch asks once for each distinct token.
+    tags = arrow_udf(_tags, "array<string>")(found)
+    return F.when(found.isNotNull(), F.zip_with(found, tags, lambda t, pos: F.struct(t.alias("text"), pos.alias("pos"))))
 
 
-def _pos(t: Column) -> Column:
-    low = F.lower(t)
-    out = F.when(t.rlike("^[0-9]"), "NUM").when(~t.rlike("^\\p{L}"), "PUNCT")
+def _tags(tokens: pa.Array) -> pa.Array:
+    flat = tokens.flatten().dictionary_encode()
+    made = pa.array(list(map(_tag, flat.dictionary.to_pylist())), pa.string()).take(flat.indices)
+    ends = np.append(0, np.cumsum(tokens.value_lengths().fill_null(0).to_numpy())).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, made)
+
+
+def _tag(token: str) -> str:
+    first, low = unicodedata.category(token[0]), token.lower()
+    if "0" <= token[0] <= "9":
+        return "NUM"
+    if first[0] != "L":
+        return "PUNCT"
     for tag, held in rules.CLOSED_CLASSES.items():
-        out = out.when(low.isin(*held), tag)
-    out = out.when(t.rlike("^\\p{Lu}"), "PROPN")
-    for tag, ending in rules.OPEN_ENDINGS:
-        out = out.when(low.rlike(f".{{2,}}({ending})$"), tag)
-    return out.otherwise("NOUN")
+        if low in held:
+            return tag
+    if first == "Lu":
+        return "PROPN"
+    return next((tag for tag, endings in rules.OPEN_ENDINGS if any(low.endswith(e) and len(low) >= len(e) + 2 for e in endings.split("|"))), "NOUN")
 
 
 def personal_names(c: Column) -> Column:

@@ -60,12 +60,13 @@ def _runs(n_buckets: int):
         docs.sort(key=lambda d: d[0])
         sizes = np.array([len(x) for _, _, x in docs])
         ids = np.concatenate([x for _, _, x in docs])
-        doc = np.repeat(np.arange(len(docs)), sizes)
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        bucket = np.array([zlib.crc32(t.encode()) % n_buckets for t in tokens])
-        cell = bucket[ids] * (1 << 32) + np.array([s for _, s, _ in docs])[doc]
-        order = np.lexsort((ids, cell))  # stable: documents and places stay ascending
-        ids, doc, place, cell = ids[order], doc[order].astype(np.uint32), place[order].astype(np.uint32), cell[order]
+        doc = np.repeat(np.arange(len(docs), dtype=np.uint32), sizes)
+        place = np.arange(len(ids), dtype=np.uint32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.uint32), sizes)
+        bucket, part = np.array([zlib.crc32(t.encode()) % n_buckets for t in tokens], np.int32), np.array([s for _, s, _ in docs], np.int32)
+        order = np.lexsort((ids, part[doc], bucket[ids]))  # stable: documents and places stay ascending
+        ids, doc, place = ids[order], doc[order], place[order]
+        del order
+        cell = (bucket[ids].astype(np.int64) << 32) + part[doc]
         keys, rows = np.array([d for d, _, _ in docs], np.int64), []
         cells = _ends(cell)
         for lo, hi in zip(cells, cells[1:]):
@@ -78,8 +79,9 @@ def _runs(n_buckets: int):
         index: dict[str, int] = defaultdict(count().__next__)
         held, size = [], 0
         for batch in batches:
-            for doc, part, norm in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append((doc, part, np.array([index[t] for t in norm.split(" ")], np.int64)))
+            for doc, part, norm in zip(*batch.columns):
+                doc, part, norm = doc.as_py(), part.as_py(), norm.as_py()  # one text at a time
+                held.append((doc, part, np.array([index[t] for t in norm.split(" ")], np.int32)))
                 size += len(held[-1][2])
                 if size >= HELD:
                     yield run(held, list(index))
@@ -100,27 +102,32 @@ def _merge(runs: pa.Table) -> pa.Table:
     """The runs of one bucket and slice to blocks, by token."""
     index: dict[str, int] = defaultdict(count().__next__)
     ids, docs, places = [], [], []
+    # Documents stand as their place among those of the slice, and everything an occurrence has in four bytes each.
+    keys = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in runs.column("docs")]))
     for r in range(runs.num_rows):
         row = {c: runs.column(c)[r].as_py() for c in ("tokens", "sizes", "docs", "doc_at", "places")}
-        ids.append(np.repeat([index[t] for t in row["tokens"].split(" ")], np.frombuffer(row["sizes"], np.uint32)))
-        docs.append(np.frombuffer(row["docs"], np.int64)[np.frombuffer(row["doc_at"], np.uint32)])
-        places.append(np.frombuffer(row["places"], np.uint32).astype(np.int64))
+        ids.append(np.repeat(np.array([index[t] for t in row["tokens"].split(" ")], np.int32), np.frombuffer(row["sizes"], np.uint32)))
+        docs.append(np.searchsorted(keys, np.frombuffer(row["docs"], np.int64)).astype(np.int32)[np.frombuffer(row["doc_at"], np.uint32)])
+        places.append(np.frombuffer(row["places"], np.uint32))
     ids, docs, places = (np.concatenate(x) for x in (ids, docs, places))
     tokens = list(index)
     by_name = sorted(range(len(tokens)), key=tokens.__getitem__)
-    rank = np.empty(len(tokens), np.int64)
-    rank[by_name] = np.arange(len(tokens))
-    order = np.lexsort((places, docs, rank[ids]))
-    ids, docs, places = rank[ids][order], docs[order], places[order]
+    rank = np.empty(len(tokens), np.int32)
+    rank[by_name] = np.arange(len(tokens), dtype=np.int32)
+    ids = rank[ids]
+    order = np.lexsort((places, docs, ids))
+    ids, docs, places = ids[order], docs[order], places[order]
+    del index, order
     new = np.append(True, (np.diff(ids) != 0) | (np.diff(docs) != 0))  # a document of a token begins
     first = np.flatnonzero(new)  # places where it does
     token_at = _ends(ids)
     doc_at = np.searchsorted(first, token_at)  # documents before each token
-    nth = np.cumsum(new) - 1 - np.repeat(doc_at[:-1], np.diff(token_at))
-    packed, last, keys = (nth << WORD_BITS) + places, np.append(first[1:], len(ids)), docs[first]
+    last = np.append(first[1:], len(ids))
     rows = []
     for k, (lo, hi, a, b) in enumerate(zip(token_at.tolist(), token_at[1:].tolist(), doc_at.tolist(), doc_at[1:].tolist())):
-        rows.append((tokens[by_name[k]], b - a, hi - lo, pack_ascending(keys[a:b]), pack_ascending(last[a:b] - lo), pack_ascending(packed[lo:hi])))
+        packed = ((np.cumsum(new[lo:hi]) - 1) << WORD_BITS) + places[lo:hi]
+        rows.append((tokens[by_name[k]], b - a, hi - lo, pack_ascending(keys[docs[first[a:b]]]), pack_ascending(last[a:b] - lo), pack_ascending(packed)))
+    del ids, docs, places, new, first, last, tokens
     bucket, part = runs.column("bucket")[0].as_py(), runs.column("slice")[0].as_py()
     cols = [[bucket] * len(rows), [part] * len(rows), *zip(*rows)]
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, _BLOCK)], schema=_BLOCK)

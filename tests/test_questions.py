@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,16 @@ def test_the_whole_checked_answer_is_returned(spark):
     assert list(row.check.supported) == good and row.check.accurate == (good == sentences(row.answer)) and not set(row.check.unsupported) & set(good)
     new = [t for t in dict.fromkeys(tokens(row.answer)) if t not in tokens("how wings lift") and len(t) > 5 and t not in rules.STOP_WORDS]
     assert list(row.follow_ups) == [f"What else is known about {t}?" for t in new[:3]]
+
+
+def test_a_cell_is_merged_in_few_bytes_an_occurrence():
+    import tracemalloc
+
+    r, n = np.random.default_rng(2), 600_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array([0] * 600, pa.int32()), pa.array([" ".join(f"t{k}" for k in r.integers(0, 500, n // 600)) for _ in range(600)])], names=["doc", "slice", "norm"])
+    runs = pa.Table.from_batches(list(lexical_index._runs(1)(iter([batch]))))
+    tracemalloc.start()
+    made = lexical_index._merge(runs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(made.column("n_places").to_pylist()) == n and peak < 64 * n, peak / n

@@ -17,8 +17,8 @@ node are hashed to one of 2 ** ``SLOT_BITS`` slots, which counts the zeros and
 ones that followed in all training texts. In a context a word stands for itself
 only where it is frequent (a short code), else for its last two bytes: so what the
 slots are asked to tell apart follows the shape of the vocabulary and not the size of
-the corpus. The bits of a code after the first ``DEEP`` tell rare words apart, of which
-contexts know nothing; each counts as one bit, as its Huffman code means it.
+the corpus. Every bit of a code is asked of the contexts and mixed, up to ``DEEP`` bits, which four bytes hold; a code
+is longer only where a word's share of all tokens is below about 2 ** -32, and its bits after those count as one bit each.
 
 Mixing. The predictions, as logits, are summed with weights that a gate chooses:
 the kind of the decision and how much each context has seen. An adaptive
@@ -72,8 +72,8 @@ BUCKET_WORDS, LEAST_BUCKETS = 1_000_000, 64
 ORDERS, SLOT_BITS, PART_BITS = 2, 22, 16
 #: Partial tables that one step of the merge adds up.
 FAN = 32
-#: Bits of code that a word has at most to count as itself in a context of each order; bits of a code that contexts are asked for.
-FREQUENT, DEEP = (14, 9), 14
+#: Bits of code that a word has at most to count as itself in a context of each order; bits of a code that contexts are asked for: as many as a node's four bytes hold.
+FREQUENT, DEEP = (14, 9), 32
 #: Bytes of a spelled word that are a context of each order.
 LETTERS = (3, 4)
 #: Tokens that are worked on at once, and the first edges of blocks after which a document's weights move.

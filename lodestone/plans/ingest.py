@@ -9,30 +9,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import intent, rules, text
+from lodestone.functions import cleaning, intent, rules, segment, text
 from lodestone.operators import chunking, consistency
 from lodestone.seams import Embedder, annotate
 from lodestone.session import file_system
 from lodestone.sources import document_source, files, sinks
 
 
-def prepare(docs: DataFrame, abbreviations: dict[str, str] | None = None, annotator: str = "rules") -> DataFrame:
-    """filename, text, tokens, section_references, personal_names, entities, pos_tags, metadata and category of every document (filename, text).
+def prepare(docs: DataFrame, abbreviations: dict[str, str] | None = None, annotator: str = "rules", words: list[str] | None = None, lemma: Callable[[str], str] | None = None) -> DataFrame:
+    """filename, text, tokens, section_references, personal_names, entities, pos_tags, metadata and category of every document (filename, text; method and extraction_quality where the docs have them).
 
-    References, names, entities and tags read the text as it came; tokens (as lemmas) and category the
-    expanded and cleaned one. Persons are those of the annotator, or by default two capitalised words in a row.
+    References, names, entities and tags read the text as it came. The text is expanded, its connected words are split
+    by case and by a word list in falling frequency, and what is left of the filter and the stop words stands as lemmas; tokens
+    and category are those of this text. Persons are those of the annotator, or by default two capitalised words in a row.
     """
     raw = F.coalesce(F.col("text"), F.lit(""))
-    clean = text.drop_nonsense(text.split_connected(text.expand_abbreviations(raw, abbreviations or rules.ABBREVIATIONS)))
+    clean = cleaning.preprocessed(raw, abbreviations or rules.ABBREVIATIONS, segment.costs(words) if words else segment.english_costs(), lemma)
     refs = text.section_references(raw)
-    named = F.struct(*[text.metadata_field(raw, n).alias(a) for n, a in (("Title", "title"), ("Author\\(s\\)", "authors"), ("Tags", "tags"))], F.round(text.quality_score(raw), 3).alias("extraction_quality"))
+    kind = F.lower(F.regexp_extract("filename", "\\.([^./]+)$", 1))
+    method = F.col("method") if "method" in docs.columns else kind
+    score = F.col("extraction_quality") if "extraction_quality" in docs.columns else F.when(kind == "docx", 1.0).otherwise(text.quality_score(raw))
+    fields = [text.metadata_field(raw, n).alias(a) for n, a in (("Title", "title"), ("Author\\(s\\)", "authors"), ("Tags", "tags"))]
+    named = F.struct(*fields, kind.alias("source_type"), method.alias("extraction_method"), F.round(score, 3).alias("extraction_quality"), text.needs_review(kind, score).alias("needs_manual_review"))
     rows = docs.where(F.coalesce(F.col("filename"), F.lit("")) != "").select("filename", raw.alias("__raw"), clean.alias("text"), refs.alias("section_references"), annotate(raw, annotator).alias("__entities"), named.alias("metadata"))
     marked = F.transform("section_references", lambda r: F.struct(r.alias("text"), F.lit("SECTION_REF").alias("label")))
     persons = F.transform(F.filter("__entities", lambda e: e.label == "PERSON"), lambda e: e.text)
     names = F.when(F.size(persons) > 0, persons).otherwise(text.personal_names(F.col("__raw")))
     return rows.select(
-        "filename", "text", text.lemmas(F.col("text")).alias("tokens"), "section_references", names.alias("personal_names"), F.concat("__entities", marked).alias("entities"),
-        text.pos_tags(F.col("__raw")).alias("pos_tags"), "metadata", intent.category(F.col("__raw")).alias("category"),
+        "filename", "text", cleaning.tokens(F.col("text")).alias("tokens"), "section_references", names.alias("personal_names"), F.concat("__entities", marked).alias("entities"),
+        text.pos_tags(F.col("__raw")).alias("pos_tags"), "metadata", intent.category(F.col("text")).alias("category"),
     )
 
 
@@ -97,7 +102,7 @@ def embed_stream(spark: SparkSession, path: str, target: str, checkpoint: str, e
     document_source.register(spark)
 
     def write(batch: DataFrame, number: int) -> None:
-        texts = files.best(files.extract(batch, extractors)).select("filename", "text")
+        texts = files.best(files.extract(batch, extractors))
         new = embed_new(chunk(prepare(texts), most=most), embedded(spark, target, number), embedder)
         new.selectExpr(*[f"cast({f.split()[0]} AS {f.split()[1]}) AS {f.split()[0]}" for f in EMBEDDED.split(", ")]).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
